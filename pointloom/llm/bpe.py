@@ -191,7 +191,7 @@ class Encoder:
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Text without white space."""
-        if chunk[-1] in PUNCTUATION and len(chunk) > 1 and chunk[-2].isalpha():  # the mark is a piece of its own
+        if chunk[-1] in PUNCTUATION and len(chunk) > 1 and chunk[-2].lower()[-1].isalpha():  # the mark is a piece of its own
             return (self.seen.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.word(chunk[-1])
         plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         out: list[int] = []

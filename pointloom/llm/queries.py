@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, pii, quality
+from pointloom.llm import bpe, mixing, near_dups, pii, quality, secrets
 from pointloom.llm.common import documents
 
 
@@ -26,5 +27,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    count = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
+    text = lambda spans: pii.span_text(spans, secrets.KINDS)
+    return found.select(
+        "doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "added"))).alias("spans")
+    )
+
+
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op8_secrets, op9_near_dups, op10_bpe)}
 ORACLES: dict[str, str] = {}
