@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, lm, mixing, near_dups, pii, quality, secrets
+from pointloom.llm import bpe, lm, mixing, near_dups, neighbours, pii, quality, secrets
 from pointloom.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     count = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
@@ -49,5 +53,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op4_lm_score, op8_secrets, op9_near_dups, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op4_lm_score, op6_nearest, op8_secrets, op9_near_dups, op10_bpe)}
 ORACLES: dict[str, str] = {}
