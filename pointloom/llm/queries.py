@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, lm, mixing, near_dups, neighbours, pii, quality, secrets
+from pointloom.llm import bpe, licences, lm, mixing, near_dups, neighbours, pii, quality, secrets, token_counts
 from pointloom.llm.common import documents
 
 
@@ -31,10 +31,20 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("found.family"))), ",")
+    return found.select("doc_id", "n_candidates", F.size("found").cast("long").alias("n_paragraphs"), names.alias("families"), F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["line"], x["family"])), ",").alias("lines"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     count = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
@@ -53,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op4_lm_score, op6_nearest, op8_secrets, op9_near_dups, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op4_lm_score, op5_licences, op6_nearest, op7_token_counts, op8_secrets, op9_near_dups, op10_bpe)}
 ORACLES: dict[str, str] = {}
