@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Remembered chunks of text, words and pairs of tokens at most, a worker.
 MEMORY = 400_000
@@ -273,9 +274,11 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, path: str, pieces: bool = True) -> DataFrame:
-    """doc_id, ids array<int>, decoded string for each row's whole text. Null text is empty and has no ids; rows that repeat
-    are encoded alike; an empty table gives no rows. One narrow step, no shuffle."""
+def encode_decode(docs: DataFrame, path: str, pieces: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep``, ids array<int> and decoded string for each row's whole text. Null text is empty and has no
+    ids; rows that repeat are encoded alike; an empty table gives no rows. One narrow step, no shuffle. Columns of ``keep``
+    named ids or decoded give way."""
+    keep = tuple(c for c in keep if c not in ("ids", "decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -290,6 +293,7 @@ def encode_decode(docs: DataFrame, path: str, pieces: bool = True) -> DataFrame:
                     ends.append(ends[-1] + len(got))
                     texts.append(dec.decode(got))
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    rows = docs.select(F.struct(*keep).alias("row"), "text")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string").select("row.*", "ids", "decoded")

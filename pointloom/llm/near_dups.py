@@ -1,6 +1,6 @@
 """Near duplicates by MinHash: one-permutation hashing with optimal densification, banded buckets, star-shaped edges.
 
-A document's set is its distinct two-word shingles (as 64-bit hashes). One permutation deals the hashes into ``N_BINS``
+A document's set is its distinct word shingles, five words wide unless told otherwise, as 64-bit hashes. One permutation deals the hashes into ``N_BINS``
 bins; the least hash of a bin is its value, and an empty bin borrows from the bin that its own hash sequence names first
 among the filled ones. Bands of ``ROWS`` bins give the buckets. Documents with the same set are one class from the start and
 only the class enters the buckets. In a bucket each class is compared with one centre, so a bucket of n classes costs n - 1
@@ -24,6 +24,7 @@ from pointloom.llm.common import written
 N_BINS = 128
 ROWS = 4
 SIMILAR = 80  # per cent
+WIDTH = 5  # words in a shingle
 STAR_ROUNDS = 3
 MEMORY = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +33,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingles:
     """Hashes of the shingles of texts. Words are the bytes between ASCII white space, with A-Z made small."""
 
-    def __init__(self, width: int = 2):
+    def __init__(self, width: int = WIDTH):
         self.width, self.seen = width, {}
 
     def word(self, w: bytes) -> int:
@@ -90,11 +91,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """text_key, doc_id, n_shingles, set_hash (of the whole set) and one hash per band, from each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles()
+        make = Shingles(width)
         for batch in batches:
             sizes, sets, bands = [], [], []
             for text in batch.column(2).cast(pa.binary()):
@@ -115,12 +116,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.md5("text").alias("text_key"), "doc_id", "text").mapInArrow(run, f"text_key string, doc_id {kind}, n_shingles long, set_hash string, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: int, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``texts`` gives the row and text of the classes asked for. The sets are rebuilt from the
     texts next to each other, so a pair carries two texts for one narrow step and nothing larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles()
+        make = Shingles(width)
         for batch in batches:
             keep, last, left = [], None, None
             for a, x, y in zip(batch.column(0), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
@@ -158,12 +159,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and root: documents with one root are near duplicates of each other. Null text, empty text and text
     without words have an empty set, no root, and are linked with nothing. Rows that repeat are in one class; an empty table
     gives no rows. Only doc_id and text are used."""
     docs = docs.select("doc_id", "text")
-    made = written(sketches(docs), "near-sketches")
+    made = written(sketches(docs, width), "near-sketches")
     one = made.where("set_hash is not null").groupBy("set_hash").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = written(one.select(F.monotonically_increasing_id().alias("row"), "*"), "near-classes")
 
@@ -197,7 +198,7 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
             continue
-        new = written(confirmed(pairs, texts, similar), "near-edges")
+        new = written(confirmed(pairs, texts, similar, width), "near-edges")
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = new if edges is None else edges.unionByName(new)
         roots = components(reps, edges)
@@ -205,19 +206,19 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return made.select("doc_id", "n_shingles", "set_hash").join(final.hint("merge"), "set_hash", "left").select("doc_id", "n_shingles", "root")
 
 
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) and kept (whether it is this document).
     Documents without words are their own components. A component of rows without doc_id has a null id and keeps its rows."""
-    found = written(classes(docs, similar), "near-found")
+    found = written(classes(docs, similar, width), "near-found")
     least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = found.join(least.hint("merge"), "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """One document of each component, with its own columns: that with the least doc_id; of rows that share it, one.
     Rows whose component has no doc_id stay."""
-    gone = near_duplicates(docs, similar).where("not kept or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, similar, width).where("not kept or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone.where("_gone is not null").hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
     named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(left.where("doc_id is null"))

@@ -55,7 +55,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(documents(spark, sf_dir))
+    return near_dups.near_duplicates(documents(spark, sf_dir), width=2)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

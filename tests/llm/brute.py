@@ -79,14 +79,14 @@ def stats(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = WORDS.findall((text or "").translate(LETTERS))
-    return {tuple(w)} - {()} if len(w) < 2 else set(zip(w, w[1:]))
+    return {tuple(w)} - {()} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
-def near(texts: dict) -> dict:
+def near(texts: dict, width=2) -> dict:
     """doc_id -> (set size, component id), by comparing every pair that shares a shingle."""
-    sets, parent = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    sets, parent = {d: shingles(t, width) for d, t in texts.items()}, {d: d for d in texts}
 
     def top(d):
         while parent[d] != d:

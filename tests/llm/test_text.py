@@ -77,7 +77,7 @@ def test_near_dups(spark, sf, edges):  # noqa: F811
     for docs in both(spark, sf, edges):
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
         want = brute.near({r.doc_id: r.text for r in docs.collect()})
-        got = near_dups.near_duplicates(docs).collect()
+        got = near_dups.near_duplicates(docs, width=2).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -103,7 +103,7 @@ def test_near_dups_chains_and_crowds(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
-    assert got == brute.near(dict(rows))
+    assert got == brute.near(dict(rows), 5)
     left = near_dups.without_near_duplicates(docs)
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, (_, c) in got.items() if d == c) and left.columns == docs.columns
 
