@@ -1,6 +1,13 @@
-"""The registry of named queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from pointloom.plans import q_columns  # noqa: F401
+from pointloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-shot class metrics: class vectors from the even rows, cosine classes for the odd ones, IoU by class."""
+    return QUERIES["k9_seg_metrics"](spark, sf_dir)
