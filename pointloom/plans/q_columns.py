@@ -63,9 +63,9 @@ def _(t):
     return rounded(C.activate(t.points).select("point_id", *(e.alias(n) for n, e in C.covariance().items())))
 
 
-@query("b10_transform_points", "select point_id, round((x*2+y*0.5+1)/(x*0.01+2),9)+0 x, round((y*3-z+2)/(x*0.01+2),9)+0 y, round((z*0.5e0-4)/(x*0.01+2),9)+0 z from points")
+@query("b10_transform_points", "select point_id, round((x*2+y*0.5+1)/(x*0.013e0+2.7e0),9)+0 x, round((y*3-z+2)/(x*0.013e0+2.7e0),9)+0 y, round((z*0.5e0-4)/(x*0.013e0+2.7e0),9)+0 z from points")
 def _(t):
-    return rounded(C.transform_points(t.points, [[2, 0.5, 0, 1], [0, 3, -1, 2], [0, 0, 0.5, -4], [0.01, 0, 0, 2]]).select("point_id", *C.XYZ), 9)
+    return rounded(C.transform_points(t.points, [[2, 0.5, 0, 1], [0, 3, -1, 2], [0, 0, 0.5, -4], [0.013, 0, 0, 2.7]]).select("point_id", *C.XYZ), 9)
 
 
 @query("b11_rotate", """select point_id, round((x-25)*cos(0.7)-(y-26)*sin(0.7)+25,6)+0 x, round((x-25)*sin(0.7)+(y-26)*cos(0.7)+26,6)+0 y, round(z,6) z,
