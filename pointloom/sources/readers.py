@@ -87,8 +87,8 @@ def ingest_camera_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     lines = lambda n: spark.read.text(f"{path}/{n}.txt").where("value not like '#%' and value <> ''")
     w = F.split("value", " +")
     cameras = lines("cameras").select(w[0].cast("int").alias("camera"), w[1].alias("model"), w[2].cast("int").alias("width"), w[3].cast("int").alias("height"), F.transform(F.slice(w, 5, 100), lambda x: x.cast("double")).alias("params"))
-    # image lines end with a name; the line after each holds its points, so both are told apart by their form
-    pose = lines("images").where(F.size(w) == 10).where(~w[9].cast("double").isNotNull())
+    # image lines have ten words; the line after each holds triples, so ten words are never points
+    pose = lines("images").where(F.size(w) == 10)
     images = pose.select(w[0].cast("int").alias("image"), *(w[k].cast("double").alias(c) for k, c in enumerate(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), 1)), w[8].cast("int").alias("camera"), w[9].alias("name"))
     points = lines("points3D").select(w[0].cast("long").alias("track"), *(w[k].cast("double").alias(c) for k, c in enumerate("xyz", 1)), F.slice(w, 9, 100000).alias("t"))
     pairs = points.select("track", "x", "y", "z", F.posexplode("t").alias("k", "v"), "t").where("k % 2 = 0")
