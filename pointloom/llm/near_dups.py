@@ -4,8 +4,8 @@ A document's set is its distinct word shingles, five words wide unless told othe
 bins; the least hash of a bin is its value, and an empty bin borrows from the bin that its own hash sequence names first
 among the filled ones. Bands of ``ROWS`` bins give the buckets. Documents with the same set are one class from the start and
 only the class enters the buckets. In a bucket each class is compared with one centre, so a bucket of n classes costs n - 1
-pairs; buckets that hold several components after that get further centres, and the pairs that are left at the end are
-compared one by one. Every candidate pair is confirmed on the full sets before it links.
+pairs. Buckets that hold several components after that get a second centre. The documents of buckets that are still split
+then meet by their rarest shingles, an exact way that loses no similar pair among them. Every candidate pair is confirmed on the full sets before it links.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import written
@@ -25,7 +25,8 @@ N_BINS = 128
 ROWS = 4
 SIMILAR = 80  # per cent
 WIDTH = 5  # words in a shingle
-STAR_ROUNDS = 3
+STARS = 2
+ROWS_PER_FILE = 100_000
 MEMORY = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,24 +140,64 @@ def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(row, root): the least row that edges lead to. Each round every node takes the least root among its neighbours' and
-    then its root's root, so long chains close fast; the state is written out each round. Edges inside a component are
-    dropped as they become known."""
-    state = written(nodes.select("row", F.col("row").alias("root")), "near-roots")
-    links = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
+def prefix_pairs(open_rows: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: int, width: int) -> DataFrame:
+    """The pairs (a, b) of ``open_rows`` (row, root, n) that can be similar and have different roots, by prefix filtering.
+
+    Shingles are ordered from rare to frequent among these rows. Two similar sets share one of their rarest shingles: of the
+    first n - s n + 1 in the larger set and n - 2 s / (1 + s) n + 1 in the smaller, s being the similarity; and where they
+    meet, enough must be left in both. So each set is met by its rare shingles only, and no similar pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingles(width)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = [make.of(t.as_py()).view(np.int64) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(part.column(0)), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["row", "shingle"])
+
+    sets = written(texts(open_rows.select("row")).mapInArrow(run, "row long, shingle long"), "near-sets")
+    df = sets.groupBy("shingle").agg(F.count("*").alias("df"))
+    by_rarity = Window.partitionBy("row").orderBy("df", "shingle")
+    placed = sets.join(df.hint("merge"), "shingle").join(open_rows.hint("merge"), "row").withColumn("at", F.row_number().over(by_rarity))
+    # whole numbers throughout: ceil(s n) and ceil(2 s n / (1 + s))
+    whole = lambda top, under: F.floor((top + (under - 1)) / under)
+    n = F.col("n")
+    placed = placed.where((F.col("df") > 1) & (F.col("at") <= n - whole(similar * n, 100) + 1))
+    placed = written(placed.select("row", "root", "n", "shingle", "at", (F.col("at") <= n - whole(2 * similar * n, 100 + similar) + 1).alias("short")), "near-prefixes")
+    several = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    placed = placed.join(several.hint("merge"), "shingle", "left_semi")
+    small = placed.where("short").select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("row", "root", "n", "at")))
+    met = placed.join(small.hint("merge"), "shingle").where("root != root_s and (n_s < n or n_s = n and row_s != row)").where(F.col("n_s") * 100 >= similar * n)
+    left = F.least(n - F.col("at"), F.col("n_s") - F.col("at_s")) + 1
+    met = met.where(left * (100 + similar) >= similar * (n + F.col("n_s")))
+    return met.select(F.least("row", "row_s").alias("a"), F.greatest("row", "row_s").alias("b")).distinct()
+
+
+def packed(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """A written table of at most about ``rows`` rows, in no more files than these need."""
+    return written(df.coalesce(max(8, rows // ROWS_PER_FILE)), name)
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(row, root) of every row in ``edges``: the least row that edges lead to. Each round every root hooks on its least
+    neighbour and follows the hooks twice, so long chains close fast; links inside a component are dropped. ``rows`` bounds
+    the number of edges."""
+    both = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = packed(both(edges.select("a", "b")).distinct(), "near-links", 2 * rows)
+    state = None
     while True:
-        # links between roots: hooking the larger root on the least neighbour
-        root = lambda n: state.select(F.col("row").alias(n), F.col("root").alias(f"r{n}"))
-        between = written(links.join(root("a").hint("merge"), "a").join(root("b").hint("merge"), "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "near-links")
-        if between.isEmpty():
-            return state
-        hooks = written(between.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("root"), F.least("a", "low").alias("to")), "near-hooks")
-        for _ in range(2):  # jump along the hooks
+        hooks = packed(links.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "root"), "near-hooks", rows)
+        for _ in range(2):
             up = hooks.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            hooks = written(hooks.join(up.hint("merge"), "to", "left").select("root", F.coalesce("next", "to").alias("to")), "near-hooks")
-        state = written(state.join(hooks.hint("merge"), "root", "left").select("row", F.coalesce("to", "root").alias("root")), "near-roots")
-        links = between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+            hooks = packed(hooks.join(up.hint("merge"), "to").select("root", F.col("next").alias("to")), "near-hooks", rows)
+        state = hooks.select(F.col("root").alias("row"), F.col("to").alias("root")) if state is None else state.join(hooks.hint("merge"), "root", "left").select("row", F.coalesce("to", "root").alias("root"))
+        state = packed(state, "near-roots", rows)
+        end = lambda n: hooks.select(F.col("root").alias(n), F.col("to").alias(f"r{n}"))
+        moved = links.join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b").where("ra != rb")
+        links = packed(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "near-links", 2 * rows)
+        if links.isEmpty():
+            return state
 
 
 def classes(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
@@ -175,34 +216,35 @@ def classes(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> Data
     slots = reps.select("row", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     slots = written(slots.join(shared.hint("merge"), ["band", "key"], "left_semi"), "near-slots")
-    tested = edges = None
-    roots = reps.select("row", F.col("row").alias("root"))
-    for turn in range(STAR_ROUNDS + 1):
-        placed = slots.join(roots.hint("merge"), "row")
-        if turn:
-            mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-            placed = written(placed.join(mixed.hint("merge"), ["band", "key"], "left_semi"), "near-open")
-            if placed.isEmpty():
+    rows = slots.count()
+    tested = edges = roots = None
+    for turn in range(STARS + 1):
+        if roots is None:
+            state = slots.withColumn("root", F.col("row"))
+        else:
+            state = slots.join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        if turn:  # buckets that still hold several components
+            several = state.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+            state = packed(state.join(several.hint("merge"), ["band", "key"], "left_semi"), "near-open", rows)
+            if state.isEmpty():
                 break
-        if turn < STAR_ROUNDS:
-            centre = placed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("h"), "row", "root", "n_shingles")).alias("c"))
-            met = placed.join(centre.hint("merge"), ["band", "key"]).select("row", "root", "n_shingles", F.col("c.row").alias("other"), F.col("c.root").alias("other_root"), F.col("c.n_shingles").alias("other_n"))
+        if turn < STARS:
+            centre = state.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("h"), "row", "root", "n_shingles")).alias("c"))
+            met = state.join(centre.hint("merge"), ["band", "key"]).where((F.col("root") != F.col("c.root")) & (F.least("n_shingles", "c.n_shingles") * 100 >= similar * F.greatest("n_shingles", "c.n_shingles")))
+            pairs = met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")).distinct()
         else:
-            other = placed.select("band", "key", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n_shingles").alias("other_n"))
-            met = placed.join(other.hint("merge"), ["band", "key"]).where("row < other")
-        # sets whose sizes differ too much can't be similar
-        met = met.where("root != other_root").where(F.least("n_shingles", "other_n") * 100 >= similar * F.greatest("n_shingles", "other_n"))
-        pairs = met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+            pairs = prefix_pairs(state.select("row", "root", F.col("n_shingles").alias("n")).distinct(), texts, similar, width)
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty():
-            continue
-        new = written(confirmed(pairs, texts, similar, width), "near-edges")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(reps, edges)
-    final = reps.select("row", "set_hash").join(roots.hint("merge"), "row").select("set_hash", "root")
+        pairs = packed(pairs, "near-pairs", rows)
+        if not pairs.isEmpty():
+            new = packed(confirmed(pairs, texts, similar, width), "near-edges", rows)
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if not new.isEmpty():
+                edges = new if edges is None else edges.unionByName(new)
+                roots = components(edges, rows)
+    final = reps.select("row", "set_hash")
+    final = final.join(roots.hint("merge"), "row", "left").select("set_hash", F.coalesce("root", "row").alias("root")) if roots is not None else final.select("set_hash", F.col("row").alias("root"))
     return made.select("doc_id", "n_shingles", "set_hash").join(final.hint("merge"), "set_hash", "left").select("doc_id", "n_shingles", "root")
 
 
