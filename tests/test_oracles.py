@@ -7,16 +7,14 @@ from pointloom.plans import catalog
 from . import oracles
 
 SF = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="module")
-def con():
-    return oracles.connect(SF)
+#: Their SQL looks for neighbours in boxes that are wide enough from here on.
+DENSE = {"i7_remove_statistical_outliers": "/root/testdata/sf0.01", "i16_init_extent": "/root/testdata/sf0.01"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_oracle(spark, con, name):
-    assert oracles.compare(spark, con, SF, name, catalog.QUERIES, catalog.ORACLES) == ""
+def test_oracle(spark, name):
+    sf = DENSE.get(name, SF)
+    assert oracles.compare(spark, oracles.connect(sf), sf, name, catalog.QUERIES, catalog.ORACLES) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
