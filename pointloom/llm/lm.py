@@ -5,19 +5,20 @@ dealt into classes of equal count mass, and every other word is one unknown word
 count. So the model is a distribution over all texts. The recurrent network is gated (update and reset gate), its softmax is
 factored into class and word in class, and its output biases start from the corpus counts.
 
-Training: every training document gives one stretch of words, picked by a hash. Stretches are dealt at random over tasks;
-each task takes truncated back-propagation steps in numpy from common weights, and the weighted mean of all tasks' weights
-starts the next round. Scoring: documents of an Arrow batch are packed into lanes that advance together; windows follow each
+Training: every round reads all words of all training documents. Documents are dealt at random over tasks; a task reads many
+side by side, each in windows of ``STRETCH`` words from its start to its end, the state carried from window to window. Every
+window is one truncated back-propagation step in numpy from common weights, and the weighted mean of all tasks' weights starts
+the next round. Scoring: documents of an Arrow batch are packed into lanes that advance together; windows follow each
 other with the state carried over, and a document starts from the empty state wherever it stands in its lane.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ STRETCH = 24
 ROUNDS = 2
 LANES = 384
 WINDOW = 32
-#: Training stretches that one task takes, about; tasks grow with the corpus.
-TASK_ROWS = 6000
+#: Documents that a task trains on side by side.
+TRAIN_LANES = 192
+#: Training words that one task takes, about; tasks grow with the corpus.
+TASK_WORDS = 2_000_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -200,19 +203,46 @@ class Recurrent:
             out += np.bincount(own[real], weights=logp, minlength=len(docs))
         return out
 
-    def train(self, x: np.ndarray, rate: float = 0.1) -> float:
-        """One truncated back-propagation step over stretches (B x T ids); adaptive rates. Returns the mean log loss."""
+    def read(self, docs: Iterator[np.ndarray], rate: float = 0.1) -> int:
+        """One training pass over whole documents (ids that end with the end word). Each takes a lane from its first window to
+        its last, with the state carried over; the lane then goes to the next document. Returns the number of words read."""
+        docs, lanes, h, seen = iter(docs), [], np.zeros((0, self.h), np.float32), 0
+        while True:
+            going = [k for k, (ids, at) in enumerate(lanes) if at < len(ids)]
+            fresh = list(islice(docs, TRAIN_LANES - len(going)))
+            lanes = [lanes[k] for k in going] + [[ids, 0] for ids in fresh]
+            if not lanes:
+                return seen
+            h = np.concatenate([h[going], np.zeros((len(fresh), self.h), np.float32)])
+            x, sizes = np.zeros((len(lanes), STRETCH), np.int32), np.empty(len(lanes), np.int64)
+            for k, lane in enumerate(lanes):
+                part = lane[0][lane[1] : lane[1] + STRETCH]
+                x[k, : len(part)], sizes[k] = part, len(part)
+                lane[1] += STRETCH
+            self.train(x, rate, h, sizes, TRAIN_LANES * STRETCH)
+            seen += int(sizes.sum())
+
+    def train(self, x: np.ndarray, rate: float = 0.1, state: np.ndarray | None = None, sizes: np.ndarray | None = None, least: int = 1) -> float:
+        """One truncated back-propagation step over windows (B x T ids); adaptive rates. Returns the mean log loss.
+
+        ``state`` (B x H; empty at first if not given) is overwritten by the state after the window. Of each row the first
+        ``sizes`` ids count, the rest is padding. Gradients are means over the words, over ``least`` words if there are fewer.
+        """
         lex, n = self.lex, self.h
         table, rec, wc, bc, ww, bw = self.params
         size, steps = x.shape
-        h = np.zeros((size, n), np.float32)
+        h = np.zeros((size, n), np.float32) if state is None else state.copy()
         states, memo = [], []
         for t in range(steps):
             states.append(h)
             h, kept = self.step(h, x[:, t])
             memo.append(kept)
+        if state is not None:
+            state[:] = h
         s, y = np.concatenate(states), x.T.ravel()
-        scale = np.float32(1 / len(y))
+        real = slice(None) if sizes is None or (sizes == steps).all() else np.flatnonzero((np.arange(steps)[:, None] < sizes).ravel())
+        s, y = s[real], y[real]
+        scale = np.float32(1 / max(len(y), least))
         logits = s @ wc + bc
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -237,7 +267,9 @@ class Recurrent:
                 grads[4][a:b] += q.T @ s[at]
                 grads[5][a:b] += q.sum(0)
                 ds[at] += q @ ww[a:b]
-        ds = ds.reshape(steps, size, n)
+        spread = np.zeros((steps * size, n), ds.dtype)
+        spread[real] = ds
+        ds = spread.reshape(steps, size, n)
         dh = np.zeros((size, n), np.float32)
         da = np.empty((steps, size, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -252,7 +284,7 @@ class Recurrent:
             dh = dh * z + du @ rec.T + ds[t]
         by_word = np.argsort(y, kind="stable")
         used, begins = np.unique(y[by_word], return_index=True)
-        grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[by_word], begins)
+        grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[real][by_word], begins)
         self.update(grads, used, rate)
         return loss / len(y)
 
@@ -278,52 +310,41 @@ class Recurrent:
         return self
 
 
-def stretches(docs: DataFrame, shared) -> DataFrame:
-    """(h, ids): one stretch of STRETCH model words from each training document that is long enough, at a place that a hash
-    of the text picks."""
+def model_words(docs: DataFrame, shared) -> DataFrame:
+    """(row, ids): all words of each training document as the model knows them, the end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         get, unknown = lex.ids.get, lex.n_model
         for batch in batches:
-            hs, ids = [], []
-            for text, held in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-                if held.as_py():
-                    continue
-                words = tokens(text.as_py())
-                if len(words) >= STRETCH:
-                    h = zlib.crc32(text.as_py())
-                    at = h % (len(words) - STRETCH + 1)
-                    hs.append(zlib.crc32(b"order", h))
-                    ids.append([min(get(w, unknown), unknown) for w in words[at : at + STRETCH]])
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["h", "ids"])
+            rows, ids = [], []
+            for row, text, held in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
+                if not held.as_py():
+                    rows.append(row.as_py())
+                    ids.append(np.minimum([get(w, unknown) for w in tokens(text.as_py())], unknown).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
 
-    return docs.select("text", held_out()).mapInArrow(run, "h long, ids array<int>")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "text", held_out()).mapInArrow(run, "row long, ids array<int>")
 
 
 def fit(docs: DataFrame, shared, lex: Lexicon, rounds: int = ROUNDS) -> Recurrent:
-    """The network after ``rounds`` of training over one stretch of every training document. What comes back from a round is
-    one sum of weights, added up in Spark by blocks; its size is that of the network."""
+    """The network after ``rounds`` of training over all words of all training documents. What comes back from a round is one
+    sum of weights, added up in Spark by blocks; its size is that of the network."""
     spark = docs.sparkSession
     net = Recurrent(lex)
-    data = written(stretches(docs, shared), "lm-stretches")
-    n = data.count()
+    data = written(model_words(docs, shared), "lm-words")
+    n = data.agg(F.sum(F.size("ids"))).first()[0]
     if not n:
         return net
-    tasks = max(1, math.ceil(n / TASK_ROWS))
-    dealt = written(data.repartition(tasks, "h"), "lm-dealt")
+    # dealt by row, so that a text that occurs often goes to many tasks
+    dealt = written(data.repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")), "lm-dealt")
     block = 1 << 14
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            mine, seen = Recurrent(shared.value).load(start.value), 0
-            for batch in batches:
-                x = np.array(batch.column(1).flatten()).reshape(-1, STRETCH)
-                x = x[np.argsort(np.array(batch.column(0)), kind="stable")]
-                for i in range(0, len(x), 48):
-                    mine.train(x[i : i + 48], rate=0.1 / (1 + turn))
-                seen += len(x)
+            mine = Recurrent(shared.value).load(start.value)
+            seen = mine.read((np.asarray(ids.values) for batch in batches for ids in batch.column(1)), rate=0.1 / (1 + turn))
             if seen:
                 flat = mine.flat().astype(np.float64) * seen
                 parts = [flat[i : i + block] for i in range(0, len(flat), block)]

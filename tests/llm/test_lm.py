@@ -105,3 +105,75 @@ def test_edge_rows(spark, edges):  # noqa: F811
     assert {(r.n_tokens, r.doc_id) for r in got} >= {(1, 1), (1, 2), (1, 3), (2, 4)}
     assert lm.score(edges.limit(0)).collect() == []
     assert all(r.n_known == 0 for r in lm.score(edges.where("crc32(string(doc_id)) % 10 = 0")).collect())
+
+
+def test_training_reads_every_window_in_order():
+    lex, net, rng = small()
+    docs = [rng.integers(1, lex.n_model + 1, n).astype(np.int32) for n in (1, 5, 24, 25, 700, 48, 100)]
+    calls, train = [], net.train
+
+    def record(x, rate, state, sizes, least):
+        before = state.copy()
+        train(x, 0.0, state, sizes, least)
+        calls.append((x.copy(), before, state.copy(), sizes.copy()))
+
+    net.train, old = record, lm.TRAIN_LANES
+    try:
+        for lm.TRAIN_LANES in (1, 3, 50):
+            calls.clear()
+            assert net.read(iter(docs)) == sum(map(len, docs))
+            left = [(d, np.zeros((1, 6), np.float32), False) for d in docs]
+            for x, before, after, sizes in calls:
+                for k, n in enumerate(sizes):
+                    words = x[k, :n]
+                    at = next(i for i, (d, h, _) in enumerate(left) if len(words) == min(len(d), lm.STRETCH) and (d[:n] == words).all() and np.allclose(h, before[k], atol=1e-5))
+                    d, h, _ = left[at]
+                    for w in words:
+                        h, _ = net.step(h, np.array([w]))
+                    assert n < lm.STRETCH or np.allclose(h, after[k], atol=1e-5)
+                    left[at] = (d[n:], h, True)
+            assert all(len(d) == 0 for d, _, _ in left)
+    finally:
+        lm.TRAIN_LANES = old
+
+
+def test_padding_and_carried_state_in_the_gradient():
+    lex, net, rng = small()
+    x = rng.integers(0, lex.n_model + 1, (3, 7))
+    sizes, state = np.array([7, 2, 5]), rng.normal(0, 0.5, (3, 6))
+    net.params = [p.astype(np.float64) for p in net.params]
+
+    def loss():
+        h, total = state.copy(), 0.0
+        for t in range(7):
+            on = t < sizes
+            total -= net.log_probs(h[on], x[on, t]).sum()
+            h, _ = net.step(h, x[:, t])
+        return total / sizes.sum()
+
+    got = {}
+    net.update = lambda grads, used, rate: got.update(grads=grads, used=used)
+    assert net.train(x, 0.1, state.copy(), sizes) == pytest.approx(loss(), rel=1e-5)
+    for k, p in enumerate(net.params):
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            if k == 0:
+                at = (int(rng.choice(got["used"])), at[1])
+            want = got["grads"][k][int(np.searchsorted(got["used"], at[0])), at[1]] if k == 0 else got["grads"][k][at]
+            old = p[at]
+            p[at] = old + 1e-4
+            up = loss()
+            p[at] = old - 1e-4
+            down = loss()
+            p[at] = old
+            assert (up - down) / 2e-4 == pytest.approx(want, rel=2e-2, abs=2e-5)
+
+
+def test_all_training_words_reach_the_network(spark):
+    long, short = " ".join(f"w{i % 50}" for i in range(1000)), "one two"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([long, short, None, "", long])], "doc_id long, text string")
+    kept = {r.doc_id for r in docs.select("doc_id", lm.held_out()).collect() if not r.held_out}
+    lex = lm.Lexicon.of([(b"w0", 5), (b"one", 1)], 10, 4)
+    got = lm.model_words(docs, spark.sparkContext.broadcast(lex)).collect()
+    sizes = {0: 1001, 1: 3, 2: 1, 3: 1, 4: 1001}
+    assert sorted(len(r.ids) for r in got) == sorted(sizes[d] for d in kept)
