@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
 ``scan`` finds the base spans and all other candidates (runs that could be keys) of each whole text, with the characters
-around them. Findings label themselves: what the patterns accept is a secret, what looks alike and fails their rules is not.
+around them. Findings label themselves: what the patterns accept is a secret, plain words and numbers mostly are not.
 A convolutional network in numpy learns from a bounded sample of these labelled findings; its probabilities are calibrated on
 findings held out, and the threshold is the highest that keeps the wanted recall there. The network then judges every
-candidate, and those above the threshold are added to the base spans.
+run that the base spans don't cover whole, words and numbers too, and those that reach the threshold are added.
 """
 
 from __future__ import annotations
@@ -25,14 +25,12 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Runs that could be keys: at least 12 of these characters; a digit and a letter are asked for besides.
+#: Runs that could be keys: at least 12 of these characters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: The network's documented bound on labelled findings, and the characters that it sees at once.
 TRAIN_ROWS = 3000
 WINDOW, AROUND, STRIDE = 56, 12, 28
 RECALL = 0.98
-#: A candidate has to reach this calibrated probability, however low the recall threshold is.
-FLOOR = 0.9
 WIDTH, FILTERS, EMBED = 5, 24, 8
 
 
@@ -51,7 +49,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool | None]]:
-    """(start, end, label): base spans are True, runs that fail the patterns' rules False, all other key-like runs None."""
+    """(start, end, label): base spans are True, words and numbers False, all other key-like runs None. A run that base spans
+    cover in part is a candidate as a whole, so that no rest of a key stays."""
     for a, _, b in base:
         yield a, b, True
     taken = sorted((a, b) for a, _, b in base)
@@ -60,14 +59,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         a, b = m.span()
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if k < len(taken) and taken[k][0] < b:
+        covered, j = a, k
+        while j < len(taken) and taken[j][0] <= covered < b:
+            covered, j = max(covered, taken[j][1]), j + 1
+        if covered >= b:
             continue
-        run = m[0]
-        digits = sum(map(run.count, "0123456789"))
-        if digits and digits < len(run):
-            yield a, b, None
-        elif a % 64 == 0 or digits == len(run):  # plain words and numbers are no secrets; a few of the words will do
-            yield a, b, False
+        digits = sum(map(m[0].count, "0123456789"))
+        touched = k < len(taken) and taken[k][0] < b
+        yield a, b, None if touched or 0 < digits < b - a else False
 
 
 def views(text: str, start: int, end: int) -> list[str]:
@@ -101,7 +100,7 @@ FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label"
 
 def codes(texts: list[str]) -> np.ndarray:
     """Characters as numbers: printable ASCII, white space, anything else; 0 fills up."""
-    out = np.zeros((len(texts), WINDOW), np.int64)
+    out = np.zeros((len(texts), WINDOW), np.uint8)
     for i, t in enumerate(texts):
         raw = np.frombuffer(t[:WINDOW].encode("utf-32-le"), np.uint32).astype(np.int64)
         out[i, : len(raw)] = np.where((raw > 32) & (raw < 127), raw - 32, np.where(raw <= 32, 95, 96))
@@ -138,7 +137,7 @@ class Network:
         return np.concatenate([self.forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
+        return self.calibrated(self.raw(x))
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 1) -> None:
         rng, state = np.random.default_rng(seed), {}
@@ -161,33 +160,47 @@ class Network:
                     state[name] = m, v, t
                     setattr(self, name, getattr(self, name) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling on findings held out, then the highest threshold that keeps ``recall`` of their secrets."""
-        z, a, b = self.raw(x), 1.0, 0.0
+    def best(self, x: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The largest raw output over the views of each finding; ``sizes`` are their numbers of views, 1 at least."""
+        return np.maximum.reduceat(self.raw(x), np.cumsum([0, *sizes])[:-1]) if len(sizes) else np.zeros(0)
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, sizes: list[int] | None = None) -> None:
+        """Platt scaling on findings held out, then the highest threshold that keeps ``recall`` of their secrets. A finding has
+        one view, or as many as ``sizes`` says."""
+        z, a, b = self.raw(x) if sizes is None else self.best(x, sizes), 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a, b = a - 0.05 * ((p - y) * z).mean(), b - 0.2 * (p - y).mean()
         self.scale, self.shift = max(a, 1e-3), b
-        good = np.sort(self.probability(x)[y > 0])
+        good = np.sort(self.calibrated(z)[y > 0])
         self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 1.0
 
 
 def learn(found: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL, seed: int = 11) -> Network | None:
-    """A network from at most ``rows`` secrets and as many others, picked by a hash; a third is held out for calibration.
-    Without enough of both kinds there is none, and nothing is added."""
-    labelled = found.where("label is not null").select("label", F.xxhash64("row", "start", F.lit(seed)).alias("h"), F.col("views")[0].alias("view"))
-    sample = [r for flag in (True, False) for r in labelled.where(F.col("label") == flag).orderBy("h", "view").limit(rows).collect()]
-    x, y = codes([r.view for r in sample]), np.array([float(r.label) for r in sample])
-    held = np.array([r.h % 3 == 0 for r in sample], dtype=bool)
+    """A network from all views of at most ``rows`` secrets and as many others, picked by a hash; a third is held out for
+    calibration. Without enough of both kinds there is none, and nothing is added."""
+    labelled = found.where("label is not null").select("label", F.xxhash64("row", "start", F.lit(seed)).alias("h"), "views")
+    counts = dict(labelled.groupBy("label").count().collect())
+    sample = []
+    for flag in (True, False):
+        # only hashes below a level that surely leaves enough are sorted, so that tasks send few rows to the driver
+        level = min(2**64 - 1, (2 * rows + 1000) * 2**64 // counts.get(flag, 1)) - 2**63
+        sample += labelled.where((F.col("label") == flag) & (F.col("h") <= level)).orderBy("h", "views").limit(rows).collect()
+    y, held = np.array([float(r.label) for r in sample]), np.array([r.h % 3 == 0 for r in sample], dtype=bool)
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 5:
         return None
+    flat = lambda of: codes([v for r, h in zip(sample, held) if h == of for v in r.views])
+    sizes = np.array([len(r.views) for r in sample])
     net = Network.fresh(seed)
-    net.train(x[~held], y[~held])
-    net.calibrate(x[held], y[held], recall)
+    net.train(flat(False), np.repeat(y[~held], sizes[~held]))
+    net.calibrate(flat(True), y[held], recall, sizes[held].tolist())
     return net
 
 
-def find_secrets(docs: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL, floor: float = FLOOR) -> DataFrame:
+def find_secrets(docs: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL) -> DataFrame:
     """row, doc_id, base and added, both array<struct<start, rank, end>>; an added span takes the kind whose characters it
     has. Null text counts as empty; rows that repeat have the same spans each; an empty table gives no rows."""
     scanned = written(scan(docs), "secret-scan")
@@ -195,17 +208,15 @@ def find_secrets(docs: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL
     net = learn(found, rows, recall)
     if net is None:
         return scanned.select("row", "doc_id", "base", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)").alias("added"))
-    level = max(net.threshold, floor)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [v.as_py() for v in batch.column(3)]
-            p = net.probability(codes([t for v in lists for t in v]))
-            best = np.maximum.reduceat(p, np.cumsum([0, *map(len, lists)])[:-1]) if lists else p
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(best)], names=["row", "start", "end", "p"])
+            best = net.best(codes([t for v in lists for t in v]), [*map(len, lists)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(net.calibrated(best))], names=["row", "start", "end", "p"])
 
-    judged = found.where("label is null").select("row", "start", "end", "views").mapInArrow(judge, "row long, start int, end int, p double")
-    added = judged.where(F.col("p") >= level).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(0).alias("rank"), "end"))).alias("added"))
+    judged = found.where("label is null or not label").select("row", "start", "end", "views").mapInArrow(judge, "row long, start int, end int, p double")
+    added = judged.where(F.col("p") >= net.threshold).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(0).alias("rank"), "end"))).alias("added"))
     return scanned.select("row", "doc_id", "base").join(added.hint("merge"), "row", "left").select("row", "doc_id", "base", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")).alias("added"))
 
 

@@ -65,6 +65,26 @@ def test_network_gradient():
     assert abs(slope) < 1e-9 or np.sign(moved) == -np.sign(slope)
 
 
+def test_every_run_is_a_candidate():
+    text = "unquestionably 123456789012345 XyZ9Qwdeadbeefdeadbeef01Kq x deadbeefdeadbeef abcdefABCDEF01 password=abcdefghijkl012"
+    got = {text[a:b]: y for a, b, y in secrets.candidates(text, secrets.base_spans(text))}
+    assert got == {
+        "deadbeefdeadbeef01": True, "deadbeefdeadbeef": True, "password=abcdefghijkl012": True, "unquestionably": False, "123456789012345": False,
+        "XyZ9Qwdeadbeefdeadbeef01Kq": None, "abcdefABCDEF01": None,
+    }
+
+
+def test_rests_of_keys_go(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 16)))
+    hexa = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    rows = [(i, " ".join([*(word() for _ in range(12)), hexa(), word()])) for i in range(150)] + [(1000, "some words XyZ9Qwdeadbeefdeadbeef01Kq and more words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert got[1000] == "some words [SECRET] and more words"
+    assert all("[SECRET]" in t for t in got.values())
+
+
 def test_redaction(spark):
     text = "é before token: abcdefABCDEF0123456789abcdef after\nand password=deadbeefdeadbeef end"
     docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "clean", "en", "s", 5), (3, None, "en", "s", None), (None, text, "en", "s", 1)], SCHEMA).withColumn("spans", F.lit("clash"))
