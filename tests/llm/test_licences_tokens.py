@@ -66,3 +66,34 @@ def test_licence_edges(spark, edges):  # noqa: F811
     got = {r.doc_id: [x.family for x in r.found] for r in licences.scan(spark.createDataFrame(rows, SCHEMA).withColumn("line", F.lit(1))).collect()}
     assert got == {1: ["mit"], 2: [], 3: ["agpl-3.0"], 4: [], 5: []}
     assert licences.scan(edges).count() == edges.count() and licences.scan(edges.limit(0)).count() == 0
+
+
+def test_wrapped_licences(spark):
+    mit = """Copyright (c) 2001 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The end."""
+    bsd = """intro
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Some more."""
+    gpl = """#!/bin/sh
+#
+#  This program is free software: you can redistribute it and/or modify
+#  it under the terms of the GNU General Public License as published by
+#  the Free Software Foundation, either version 3 of the License, or
+#  (at your option) any later version.
+#
+#  And more."""
+    plain = "You need a driver license\nto rent a car here.\n\nShe asked for permission\nto leave early, and the copyright office\nis closed."
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate((mit, bsd, gpl, plain, "a\n" * 20000 + "license\n" + "\n" * 20000))]
+    got = {r.doc_id: [(x.line, x.family) for x in r.found] for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: [(2, "mit")], 1: [(2, "bsd")], 2: [(2, "gpl-3.0")], 3: [], 4: []}
