@@ -97,7 +97,7 @@ def near(texts: dict, width=2) -> dict:
     for d, s in sets.items():
         for x in s:
             holders[x].append(d)
-    pairs = {(a, b) for h in holders.values() if len(h) <= 400 for i, a in enumerate(h) for b in h[i + 1 :]}
+    pairs = {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :]}
     for a, b in pairs:
         n = len(sets[a] & sets[b])
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):

@@ -128,11 +128,29 @@ def test_near_dups_chains_and_crowds(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, (_, c) in got.items() if d == c) and left.columns == docs.columns
 
 
+def test_near_dups_large_group(spark):
+    """Many versions of one text, each changed at random: most pairs fall below the level, so links are sparse and
+    lists are long enough to be compared in blocks."""
+    rng = random.Random(4)
+    text = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = [(i, " ".join(f"n{rng.randrange(10**9)}" if rng.random() < 0.05 else w for w in text)) for i in range(1, 1200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs, width=2).collect()}
+    assert got == brute.near(dict(rows)) and 1 < len({c for _, c in got.values()}) < 1100
+
+
+def test_near_dups_keep_texts_that_share_an_id(spark):
+    rows = [(1, "one text of five words here"), (1, "another text with other words inside"), (1, "one text of five words here"), (None, "a third text that has no id"), (None, "a third text that has no id"), (None, "a fourth text that has no id"), (2, "one text of five words here"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    left = Counter((r.doc_id, r.text) for r in near_dups.without_near_duplicates(docs).collect())
+    assert left == Counter({rows[0]: 1, rows[1]: 1, rows[3]: 1, rows[5]: 1, (3, ""): 2})
+
+
 def test_near_dups_keep_rows_without_ids(spark, edges):  # noqa: F811
     left = near_dups.without_near_duplicates(edges)
     rows = left.collect()
     assert left.columns == edges.columns and sum(r.doc_id is None for r in rows) == 1
-    assert Counter(r.doc_id for r in rows if r.doc_id is not None).most_common(1)[0][1] == 1
+    assert Counter((r.doc_id, r.text) for r in rows if brute.words(r.text)).most_common(1)[0][1] == 1
 
 
 def test_bpe_against_the_library(spark, sf, edges):  # noqa: F811
