@@ -22,18 +22,18 @@ def recenter(df: DataFrame, mode: str = "min", ref: DataFrame | None = None) ->
     (``unit``, which also scales the farthest point to 1) is the origin; bounds are those of ``ref`` if given."""
     b = scene_bounds(df if ref is None else ref)
     at = {"min": ("min_x", "min_y", "min_z"), "box": ("centre_x", "centre_y", "min_z"), "unit": ("mean_x", "mean_y", "mean_z")}[mode]
-    d = df.join(F.broadcast(b.select("scene_id", *(F.col(a).alias(f"_{c}") for a, c in zip(at, XYZ)))), "scene_id")
+    d = df.join(b.select("scene_id", *(F.col(a).alias(f"_{c}") for a, c in zip(at, XYZ))), "scene_id")
     d = d.withColumns({c: F.col(c) - F.col(f"_{c}") for c in XYZ}).select(*df.columns)
     if mode != "unit":
         return d
     far = d.groupBy("scene_id").agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("_far"))
-    return d.join(F.broadcast(far), "scene_id").withColumns({c: F.col(c) / F.greatest("_far", F.lit(1e-12)) for c in XYZ}).select(*df.columns)
+    return d.join(far, "scene_id").withColumns({c: F.col(c) / F.greatest("_far", F.lit(1e-12)) for c in XYZ}).select(*df.columns)
 
 
 def auto_contrast(df: DataFrame, blend: float = 0.5, cols=("r", "g", "b")) -> DataFrame:
     """Stretches each channel of a scene to 0 - 255 and blends with the old value."""
     ends = df.groupBy("scene_id").agg(*(f(c).alias(f"_{c}{n}") for c in cols for n, f in (("l", F.min), ("h", F.max))))
-    d = df.join(F.broadcast(ends), "scene_id")
+    d = df.join(ends, "scene_id")
     wide = lambda c: (F.col(c) - F.col(f"_{c}l")) * 255 / F.greatest(F.col(f"_{c}h") - F.col(f"_{c}l"), F.lit(1))
     return d.withColumns({c: (1 - blend) * F.col(c) + blend * wide(c) for c in cols}).select(*df.columns)
 
@@ -224,7 +224,7 @@ def depth_scale(obs: DataFrame, min_rows: int = 10, min_range: float = 1e-3) ->
     """Per image, the scale and offset that map one depth onto another by medians and mean absolute deviations from them;
     images with too few rows or no range give 1 and 0. obs: image, a, b."""
     m = obs.groupBy("image").agg(F.count("*").alias("n"), F.percentile("a", F.lit(0.5)).alias("ma"), F.percentile("b", F.lit(0.5)).alias("mb"), (F.max("b") - F.min("b")).alias("range"))
-    d = obs.join(F.broadcast(m), "image").groupBy("image", "n", "ma", "mb", "range").agg(F.avg(F.abs(F.col("a") - F.col("ma"))).alias("sa"), F.avg(F.abs(F.col("b") - F.col("mb"))).alias("sb"))
+    d = obs.join(m, "image").groupBy("image", "n", "ma", "mb", "range").agg(F.avg(F.abs(F.col("a") - F.col("ma"))).alias("sa"), F.avg(F.abs(F.col("b") - F.col("mb"))).alias("sb"))
     good = (F.col("n") > min_rows) & (F.col("range") > min_range)
     d = d.withColumn("scale", F.when(good, F.col("sb") / F.col("sa")).otherwise(1.0))
     return d.select("image", "n", "scale", F.when(good, F.col("mb") - F.col("scale") * F.col("ma")).otherwise(0.0).alias("offset"))
@@ -247,6 +247,6 @@ def centroid_distance(df: DataFrame) -> DataFrame:
     """point_id and the Euclidean distance of its feature from the mean of all."""
     long = df.select("point_id", F.posexplode("feat").alias("pos", "v"))
     mean = long.groupBy("pos").agg(F.avg("v").alias("m"))
-    return long.join(F.broadcast(mean), "pos").groupBy("point_id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("distance"))
+    return long.join(mean, "pos").groupBy("point_id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("distance"))
 
 

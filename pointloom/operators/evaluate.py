@@ -146,7 +146,7 @@ def part_iou(df: DataFrame, parts: DataFrame) -> DataFrame:
     """(category, shapes, iou): mean over a category's parts, then over its shapes; a part absent on both sides counts 1.
     df: shape, category, part, pred; parts: category, part."""
     p, g = F.col("pred"), F.col("part")
-    shapes = df.select("shape", "category").distinct().join(F.broadcast(parts), "category")
+    shapes = df.select("shape", "category").distinct().join(parts, "category")
     t = df.groupBy("shape", F.col("part").alias("k")).agg(F.count("*").alias("t"), F.count_if(p == g).alias("i"))
     q = df.groupBy("shape", F.col("pred").alias("k")).agg(F.count("*").alias("p"))
     d = shapes.withColumnRenamed("part", "k").join(t, ["shape", "k"], "left").join(q, ["shape", "k"], "left").fillna(0, ["t", "i", "p"])
@@ -183,7 +183,7 @@ def instance_ap(matches: DataFrame, preds: DataFrame, gt: DataFrame, thresholds=
     # precision and recall at each score, then the area under the precision envelope
     by = hits.groupBy("class", "threshold", "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
     down = Window.partitionBy("class", "threshold").orderBy(F.desc("score"))
-    c = by.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down)}).join(F.broadcast(total), "class")
+    c = by.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down)}).join(total, "class")
     c = c.withColumns({"recall": F.col("ctp") / F.col("gts"), "precision": F.col("ctp") / (F.col("ctp") + F.col("cfp"))})
     tail = Window.partitionBy("class", "threshold").orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
     c = c.withColumn("best", F.max("precision").over(tail)).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0)))
@@ -216,7 +216,7 @@ def prototype_consistency(df: DataFrame, temp: float = 0.1, seed: int = 0, min_r
     ``temp``, with the diagonal as target."""
     big = df.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("segment")
     half = F.conv(F.substring(draw(seed), 1, 1), 16, 10).cast("int") % 2
-    long = df.join(F.broadcast(big), "segment").select("segment", half.alias("h"), F.posexplode("feat").alias("pos", "v"))
+    long = df.join(big, "segment").select("segment", half.alias("h"), F.posexplode("feat").alias("pos", "v"))
     m = long.groupBy("segment", "h", "pos").agg(F.avg("v").alias("v"))
     side = lambda h, s: m.where(F.col("h") == h).select(F.col("segment").alias(s), "pos", F.col("v").alias(f"v{s}"))
     c = side(0, "a").join(side(1, "b"), "pos").groupBy("a", "b").agg((F.sum(F.col("va") * F.col("vb")) / F.sqrt(F.sum(F.col("va") * F.col("va")) * F.sum(F.col("vb") * F.col("vb"))) / temp).alias("z"))
@@ -253,7 +253,7 @@ def collapse_check(pred: DataFrame, gt: DataFrame, tol: float = 1e-6) -> DataFra
 
 def quality_gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """(name, value, status, factor) of each metric against its limit. metrics: name, value; limits: name, limit, higher."""
-    d = metrics.join(F.broadcast(limits), "name")
+    d = metrics.join(limits, "name")
     good = F.when(F.col("higher"), F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit"))
     return d.select("name", "value", F.when(good, "pass").otherwise("fail").alias("status"), F.when(F.col("higher"), F.col("value") / F.col("limit")).otherwise(F.col("limit") / F.col("value")).alias("factor"))
 

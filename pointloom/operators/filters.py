@@ -20,11 +20,11 @@ def filter_outliers(df: DataFrame, lo: float = 0.01, hi: float = 0.99, min_point
     """Adds ``kept``: whether a point is inside the box of exact percentiles of its scene. Where fewer than ``min_points``
     would stay, the nearest ones to the scene's median are kept instead."""
     ends = [f(c).alias(f"_{c}{n}") for c in XYZ for n, f in (("l", lambda c: F.percentile(c, F.lit(lo))), ("h", lambda c: F.percentile(c, F.lit(hi))), ("m", lambda c: F.percentile(c, F.lit(0.5))))]
-    d = df.join(F.broadcast(df.groupBy("scene_id").agg(*ends)), "scene_id")
+    d = df.join(df.groupBy("scene_id").agg(*ends), "scene_id")
     inside = d.withColumn("_in", sum((F.col(c).between(F.col(f"_{c}l"), F.col(f"_{c}h")).cast("int") for c in XYZ)) == 3)
     few = inside.groupBy("scene_id").agg((F.count_if("_in") < min_points).alias("_few"))
     d2 = sum((F.col(c) - F.col(f"_{c}m")) * (F.col(c) - F.col(f"_{c}m")) for c in XYZ)
-    d = inside.join(F.broadcast(few), "scene_id").withColumn("_d2", F.when(F.col("_few"), d2))
+    d = inside.join(few, "scene_id").withColumn("_d2", F.when(F.col("_few"), d2))
     # only the scenes that fall back are sorted
     sparse = d.where("_few").withColumn("_n", F.row_number().over(Window.partitionBy("scene_id").orderBy("_d2", "point_id")))
     out = sparse.withColumn("kept", F.col("_n") <= min_points).drop("_n").unionByName(d.where("not _few").withColumn("kept", F.col("_in")))
@@ -34,7 +34,7 @@ def filter_outliers(df: DataFrame, lo: float = 0.01, hi: float = 0.99, min_point
 def crop_aabb(df: DataFrame, ref: DataFrame, margin: float = 0.0) -> DataFrame:
     """Points inside the bounds of the reference points of their scene, widened by ``margin``."""
     box = ref.groupBy("scene_id").agg(*(f(c).alias(f"_{c}{n}") for c in XYZ for n, f in (("l", F.min), ("h", F.max))))
-    d = df.join(F.broadcast(box), "scene_id")
+    d = df.join(box, "scene_id")
     for c in XYZ:
         d = d.where(F.col(c).between(F.col(f"_{c}l") - margin, F.col(f"_{c}h") + margin))
     return d.select(*df.columns)
@@ -70,7 +70,7 @@ def filter_pixels(df: DataFrame, grazing: float = 0.15, far: float = 65535) -> D
 def filter_scenes_valid(df: DataFrame, share: float = 0.5, flag: str = "valid") -> DataFrame:
     """All points of the scenes whose valid share is at least ``share``."""
     good = df.groupBy("scene_id").agg(F.avg(F.col(flag).cast("double")).alias("_share")).where(F.col("_share") >= share).select("scene_id")
-    return df.join(F.broadcast(good), "scene_id", "left_semi")
+    return df.join(good, "scene_id", "left_semi")
 
 
 def filter_boxes(df: DataFrame, counts=("lidar", "radar")) -> DataFrame:
@@ -97,7 +97,7 @@ def check_alignment(points: DataFrame, cells: DataFrame, labels: DataFrame) -> D
     labels outside the list, and cells whose points disagree on their scene."""
     rules = [
         ("unknown_cell", points.join(cells, ["scene_id", "grid_id"], "left_anti")), ("empty_cell", cells.join(points, ["scene_id", "grid_id"], "left_anti")),
-        ("unknown_label", points.join(F.broadcast(labels), "segment", "left_anti")), ("missing_xyz", points.where("x is null or y is null or z is null")),
+        ("unknown_label", points.join(labels, "segment", "left_anti")), ("missing_xyz", points.where("x is null or y is null or z is null")),
     ]
     out = None
     for name, bad in rules:

@@ -295,7 +295,7 @@ def encode_codebook(df: DataFrame, centres: DataFrame, metric: str = "l2") -> Da
 
 
 def decode_codebook(coded: DataFrame, centres: DataFrame) -> DataFrame:
-    return coded.join(F.broadcast(centres), "code").select("point_id", "code", "feat")
+    return coded.join(centres, "code").select("point_id", "code", "feat")
 
 
 def codebook(df: DataFrame, k: int, rounds: int = 8, metric: str = "l2") -> DataFrame:
@@ -323,7 +323,7 @@ def codebook_two_level(df: DataFrame, k: int, leaf_k: int, rounds: int = 6) -> D
     d2 = F.aggregate(F.zip_with("feat", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     for turn in range(rounds + 1):
         listed = leaf.groupBy("code").agg(F.collect_list(F.struct("leaf", "c")).alias("_l"))
-        best = rooted.join(F.broadcast(listed), "code").withColumn("_x", F.explode("_l")).select("point_id", "feat", "code", "_x.leaf", "_x.c").withColumn("_d", F.round(d2, 12))
+        best = rooted.join(listed, "code").withColumn("_x", F.explode("_l")).select("point_id", "feat", "code", "_x.leaf", "_x.c").withColumn("_d", F.round(d2, 12))
         near = saved(best.groupBy("point_id", "code").agg(F.min_by(F.struct("leaf", "feat"), F.struct("_d", "leaf")).alias("b")).select("point_id", "code", "b.leaf", "b.feat"), "leaves")
         if turn == rounds:
             return near.select("point_id", "code", "leaf")

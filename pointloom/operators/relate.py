@@ -44,7 +44,7 @@ def label_segments(points: DataFrame, groups: DataFrame, classes: DataFrame) ->
     segments (array); classes: class, label."""
     g = groups.select("group_order", "class", F.explode("segments").alias("segment_id"))
     last = g.groupBy("segment_id").agg(F.max("group_order").alias("group_order"), F.max_by("class", "group_order").alias("class"))
-    return points.join(last, "segment_id", "left").join(F.broadcast(classes), "class", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return points.join(last, "segment_id", "left").join(classes, "class", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def multi_label(points: DataFrame, groups: DataFrame) -> DataFrame:
@@ -59,13 +59,13 @@ def multi_label(points: DataFrame, groups: DataFrame) -> DataFrame:
 
 def remap_labels(df: DataFrame, mapping: DataFrame, col: str = "segment") -> DataFrame:
     """``col`` through a table (old, new); what the table lacks becomes -1."""
-    return df.join(F.broadcast(mapping.withColumnRenamed("old", col)), col, "left").withColumn(col, F.coalesce("new", F.lit(-1))).drop("new")
+    return df.join(mapping.withColumnRenamed("old", col), col, "left").withColumn(col, F.coalesce("new", F.lit(-1))).drop("new")
 
 
 def merge_label_maps(maps: DataFrame) -> DataFrame:
     """Per-scene (scene_id, id, name) maps in one id space over sorted names: adds new_id."""
     names = maps.select("name").distinct().withColumn("new_id", F.row_number().over(Window.orderBy("name")) - 1)
-    return maps.join(F.broadcast(names), "name")
+    return maps.join(names, "name")
 
 
 def filter_class_map(mapping: DataFrame, thresh: int, kind: str = "target") -> DataFrame:

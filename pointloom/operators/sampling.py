@@ -40,7 +40,7 @@ def voxel_fragments(df: DataFrame, size: float) -> DataFrame:
     d = cell(df, size).select("scene_id", "point_id", *CELL)
     d = d.withColumns({"_at": F.row_number().over(by_cell("point_id")) - 1, "_n": F.count("*").over(Window.partitionBy("scene_id", *CELL))})
     top = d.groupBy("scene_id").agg(F.max("_n").alias("_top"))
-    d = d.join(F.broadcast(top), "scene_id")
+    d = d.join(top, "scene_id")
     return d.select("scene_id", F.explode(F.sequence(F.col("_at"), F.col("_top") - 1, F.col("_n"))).alias("fragment"), "point_id")
 
 
@@ -90,14 +90,14 @@ def lattice_crops(df: DataFrame, radius: float, step: float, max_crops: int, min
     d = d.where(sum((F.col(f"k{c}") * step - F.col(c)) ** 2 for c in XYZ) <= radius * radius)
     count = d.groupBy("scene_id", "kx", "ky", "kz").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
     top = count.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "kx", "ky", "kz"))).where(F.col("_at") <= max_crops)
-    return d.join(F.broadcast(top.drop("_n", "_at")), ["scene_id", "kx", "ky", "kz"], "left_semi").select("scene_id", "kx", "ky", "kz", "point_id")
+    return d.join(top.drop("_n", "_at"), ["scene_id", "kx", "ky", "kz"], "left_semi").select("scene_id", "kx", "ky", "kz", "point_id")
 
 
 def windows_of(df: DataFrame, size: float, stride: float) -> DataFrame:
     """Each point with every window (wx, wy) of the plane that holds it, by arithmetic; windows start at multiples of the
     stride below extent + stride - size, after moving the scene's minimum to 0."""
     b = df.groupBy("scene_id").agg(*(f(c).alias(f"_{c}{n}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))))
-    d = df.join(F.broadcast(b), "scene_id")
+    d = df.join(b, "scene_id")
     for c in "xy":
         at, extent = F.col(c) - F.col(f"_{c}l"), F.col(f"_{c}h") - F.col(f"_{c}l")
         first, last = F.greatest(F.floor((at - size) / stride) + 1, F.lit(0)), F.floor(at / stride)
@@ -110,14 +110,14 @@ def chunk(df: DataFrame, size: float, stride: float, min_size: int, max_chunks:
     d = windows_of(df, size, stride).select("scene_id", "wx", "wy", "point_id")
     n = d.groupBy("scene_id", "wx", "wy").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_size)
     n = n.withColumn("chunk_id", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "wx", "wy")) - 1).where(F.col("chunk_id") < max_chunks)
-    return d.join(F.broadcast(n.drop("_n")), ["scene_id", "wx", "wy"]).select("scene_id", "chunk_id", "wx", "wy", "point_id")
+    return d.join(n.drop("_n"), ["scene_id", "wx", "wy"]).select("scene_id", "chunk_id", "wx", "wy", "point_id")
 
 
 def chunk_pair(chunks: DataFrame, df: DataFrame, ref: DataFrame, size: float, stride: float, key: str = "ref_id") -> DataFrame:
     """Reference points by the same windows as the chunks that survive; windows are placed by the bounds of ``df``."""
     b = df.groupBy("scene_id").agg(*(f(c).alias(f"_{c}{n}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))))
     keep = chunks.select("scene_id", "chunk_id", "wx", "wy").distinct()
-    d = ref.join(F.broadcast(b), "scene_id").join(F.broadcast(keep), "scene_id")
+    d = ref.join(b, "scene_id").join(keep, "scene_id")
     inside = [(F.col(c) - F.col(f"_{c}l") >= F.col(f"w{c}") * stride) & (F.col(c) - F.col(f"_{c}l") < F.col(f"w{c}") * stride + size) for c in "xy"]
     return d.where(inside[0] & inside[1]).select("scene_id", "chunk_id", key)
 
@@ -157,7 +157,7 @@ def farthest_sample(df: DataFrame, m: int) -> DataFrame:
         out.append(picks.select("scene_id", F.lit(step).alias("step"), "p.point_id"))
         if step == m - 1:
             break
-        d = d.join(F.broadcast(picks), "scene_id").withColumn("_d", F.least("_d", sum((F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in XYZ))).drop("p")
+        d = d.join(picks, "scene_id").withColumn("_d", F.least("_d", sum((F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in XYZ))).drop("p")
         if step % 4 == 3:
             d = saved(d, "distances")
         picks = d.groupBy("scene_id").agg(F.max_by(F.struct("point_id", *XYZ), F.struct("_d", -F.col("point_id"))).alias("p"))
@@ -191,13 +191,13 @@ def sphere_cover(df: DataFrame, n: int, rounds: int = 64) -> DataFrame:
     out = []
     for crop in range(rounds):
         open_ = d.where("not _in").groupBy("scene_id").agg(F.min_by(F.struct("point_id", *XYZ), F.struct("_cover", "point_id")).alias("p"))
-        near = d.join(F.broadcast(open_), "scene_id").withColumn("_d2", sum((F.col(c) - F.col(f"p.{c}")) ** 2 for c in XYZ))
+        near = d.join(open_, "scene_id").withColumn("_d2", sum((F.col(c) - F.col(f"p.{c}")) ** 2 for c in XYZ))
         near = near.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy("_d2", "point_id"))).where(F.col("_at") <= n)
         near = saved(near.select("scene_id", "point_id", "_d2"), "crop")
         if near.isEmpty():
             break
         out.append(near.select("scene_id", F.lit(crop).alias("crop"), "point_id"))
         far = near.groupBy("scene_id").agg(F.greatest(F.max("_d2"), F.lit(1e-12)).alias("_far"))
-        gain = near.join(F.broadcast(far), "scene_id").select("scene_id", "point_id", F.pow(1 - F.sqrt(F.col("_d2") / F.col("_far")), F.lit(2.0)).alias("_gain"))
+        gain = near.join(far, "scene_id").select("scene_id", "point_id", F.pow(1 - F.sqrt(F.col("_d2") / F.col("_far")), F.lit(2.0)).alias("_gain"))
         d = saved(d.join(gain, ["scene_id", "point_id"], "left").select("scene_id", "point_id", *XYZ, (F.col("_cover") + F.coalesce("_gain", F.lit(0.0))).alias("_cover"), (F.col("_in") | F.col("_gain").isNotNull()).alias("_in")), "cover")
     return reduce(DataFrame.unionByName, out)

@@ -1,13 +1,14 @@
 """Neighbourhoods of points, all exact, all by equi-joins on cells.
 
 A point within distance r of another stands in one of the 27 cells of size r round it. So radius joins explode a point's cell
-to its neighbours and join on (scene, cell). Nearest neighbours do the same with a cell that should hold enough, and repeat
-with cells of twice the size for those queries whose k-th neighbour may lie outside.
+to its neighbours and join on (scene, cell). Nearest neighbours are looked for in tiles with a margin; queries whose k-th
+neighbour may lie outside go on with wider margins.
 """
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from pointloom.operators.graph import components
 from pointloom.operators.sampling import draw
 
 CELL = ("cx", "cy", "cz")
+#: Points of either side in one tile; tiles with more are dealt into parts.
+TILE = 20_000
 
 
 def around(df: DataFrame, size: float, reach: int = 1) -> DataFrame:
@@ -35,49 +38,130 @@ def sided(df: DataFrame, key: str, side: str, *more: str) -> DataFrame:
     return df.select("scene_id", F.col(key).alias(f"{side}id"), *(F.col(c).alias(f"{side}{c}") for c in XYZ), *more)
 
 
-def near_cells(queries: DataFrame, refs: DataFrame, size: float, metric: str = "l2") -> DataFrame:
-    """Candidate pairs from touching cells, with their squared distance (L2 or L1): scene_id, qid, rid, d2. The smaller side, the
-    queries, is what is repeated 27 times."""
+def near_cells(queries: DataFrame, refs: DataFrame, size: float) -> DataFrame:
+    """Candidate pairs from touching cells, with their squared distance: scene_id, qid, rid, d2. The queries are what is
+    repeated 27 times."""
     to_cell = lambda d, side: d.select("*", *(F.floor(F.col(f"{side}{c}") / size).cast("long").alias(f"c{c}") for c in XYZ))
-    q = to_cell(queries, "q")
-    for c in CELL:
-        q = q.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    return q.join(to_cell(refs, "r").hint("merge"), ["scene_id", *CELL]).withColumn("d2", gap2() if metric == "l2" else F.pow(sum((F.abs(F.col(f"q{c}") - F.col(f"r{c}")) for c in XYZ), F.lit(0.0)), F.lit(2.0)))
+    return spread(to_cell(queries, "q")).join(to_cell(refs, "r").hint("merge"), ["scene_id", *CELL]).withColumn("d2", gap2())
 
 
-def good_cell(refs: DataFrame, k: int) -> float:
-    """A cell size at which a ball of that radius holds about 1.5 k points on average: one aggregate over the refs."""
-    b = refs.groupBy("scene_id").agg(F.count("*").alias("n"), *((F.max(c) - F.min(c) + 1e-9).alias(f"e{c}") for c in XYZ)).agg(F.sum("n").alias("n"), F.sum(F.col("ex") * F.col("ey") * F.col("ez")).alias("v"), F.max(F.greatest("ex", "ey", "ez")).alias("e")).first()
-    if not b.n:
-        return 1.0
-    return max(min((0.36 * k * b.v / b.n) ** (1 / 3), b.e), b.e / 4096, 1e-6)
+def spread(d: DataFrame) -> DataFrame:
+    """Each row once for its cell and the 26 that touch it."""
+    for c in CELL:
+        d = d.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return d
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, query_key: str = "point_id", ref_key: str = "ref_id", size: float | None = None, not_self: bool = False, metric: str = "l2") -> DataFrame:
+def scene_reach(queries: DataFrame, refs: DataFrame, k: int, reach: float | None) -> DataFrame:
+    """(scene_id, reach, last) for scenes with refs: a distance within which a query has about 3 k refs of its scene on
+    average, and how often it has to be doubled to go beyond the scene."""
+    b = refs.groupBy("scene_id").agg(F.count("*").alias("n"), *(f(f"r{c}").alias(f"{n}{c}") for c in XYZ for n, f in (("l", F.min), ("h", F.max))))
+    a = queries.groupBy("scene_id").agg(*(f(f"q{c}").alias(f"q{n}{c}") for c in XYZ for n, f in (("l", F.min), ("h", F.max))))
+    edge = [F.col(f"h{c}") - F.col(f"l{c}") + 1e-9 for c in XYZ]
+    longest = F.greatest(*edge)
+    ball = F.pow(0.72 * k * edge[0] * edge[1] * edge[2] / F.col("n"), F.lit(1 / 3))
+    own = F.lit(float(reach)) if reach else F.greatest(F.least(ball, longest), longest / 4096, F.lit(1e-6))
+    extent = F.greatest(*(F.greatest(f"h{c}", f"qh{c}") - F.least(f"l{c}", f"ql{c}") for c in XYZ), F.lit(1e-9))
+    d = b.join(a, "scene_id").withColumn("reach", own)
+    return d.select("scene_id", "reach", F.greatest(F.floor(F.log2(extent / F.col("reach"))) + 1, F.lit(0)).cast("int").alias("last"))
+
+
+def nearest_in_tile(k: int, not_self: bool, metric: str):
+    """The function that a tile's queries and refs go through: for each query its ``k`` best refs, ties to the smaller id.
+    Distances are worked out for some queries at a time, so memory does not grow with their number."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = np.array(right["rid"], dtype=np.int64)
+        by_id = np.argsort(ids, kind="stable")
+        ids, refs = ids[by_id], [np.array(right[f"r{c}"])[by_id] for c in XYZ]
+        asked, places = np.array(left["qid"], dtype=np.int64), [np.array(left[f"q{c}"]) for c in XYZ]
+        ends, gaps, found = [np.zeros(1, np.int64)], [], []
+        step = max(1, 1_000_000 // max(1, len(ids)))
+        for i in range(0, len(asked), step):
+            mine = asked[i : i + step]
+            if not len(ids):
+                ends.append(np.zeros(len(mine), np.int64))
+                continue
+            apart = [p[i : i + step, None] - r[None, :] for p, r in zip(places, refs)]
+            if metric == "l2":
+                d = apart[0] * apart[0]
+                d += apart[1] * apart[1]
+                d += apart[2] * apart[2]
+            else:
+                d = np.abs(apart[0]) + np.abs(apart[1]) + np.abs(apart[2])
+                d *= d
+            if not_self:
+                d[mine[:, None] == ids[None, :]] = np.inf
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(mine), np.finfo(float).max)
+            row, col = np.nonzero(d <= np.minimum(kth, np.finfo(float).max)[:, None])
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[at < k], col[at < k]
+            ends.append(np.bincount(row, minlength=len(mine)))
+            gaps.append(d[row, col])
+            found.append(ids[col])
+        at = pa.array(np.cumsum(np.concatenate(ends)), pa.int32())
+        flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
+        near = pa.StructArray.from_arrays([flat(gaps, pa.float64()), flat(found, pa.int64())], names=["d2", "rid"])
+        return left.select(ASKED).append_column("near", pa.ListArray.from_arrays(at, near))
+
+    return run
+
+
+#: What a query carries from round to round.
+ASKED = ["scene_id", "qid", "qx", "qy", "qz", "reach", "last", "need"]
+
+
+def knn(queries: DataFrame, refs: DataFrame, k: int, query_key: str = "point_id", ref_key: str = "ref_id", reach: float | None = None, not_self: bool = False, metric: str = "l2") -> DataFrame:
     """(scene_id, qid, rank, rid, d2): the exact ``k`` nearest refs in the scene of each query, ties to the smaller id.
-    ``not_self`` leaves out the ref of the query's own id. Scenes with fewer refs give what they have."""
-    size = size or good_cell(refs, k)
+    ``not_self`` leaves out the ref of the query's own id. Scenes with fewer refs give what they have.
+
+    Space is cut into tiles four reaches wide. A query goes to its own tile, a ref to every tile that it is within reach of,
+    which is three or four in the mean; each tile is one group. A query is done when its k-th neighbour is not farther than
+    the reach; otherwise it waits for the reach that this distance needs, so isolated queries never meet more than the refs
+    about them. Tiles with very many points are dealt into parts, whose best refs then meet by query.
+    """
     q, r = saved(sided(queries, query_key, "q"), "knn-queries"), saved(sided(refs, ref_key, "r"), "knn-refs")
-    ends = q.select(*(F.col(f"q{c}").alias(c) for c in XYZ)).unionByName(r.select(*(F.col(f"r{c}").alias(c) for c in XYZ)))
-    extent = ends.agg(F.greatest(*(F.max(c) - F.min(c) for c in XYZ))).first()[0] or 0.0
-    order = Window.partitionBy("qid").orderBy("d2", "rid")
-    out = None
+    sizes = saved(scene_reach(q, r, k, reach), "knn-reach")
+    kind = q.schema["scene_id"].dataType.simpleString()
+    schema = f"scene_id {kind}, qid bigint, qx double, qy double, qz double, reach double, last int, need int, near array<struct<d2:double,rid:bigint>>"
+    q = q.select("scene_id", F.col("qid").cast("long").alias("qid"), "qx", "qy", "qz").join(sizes, "scene_id").withColumn("need", F.lit(0))
+    r = r.withColumn("rid", F.col("rid").cast("long")).join(sizes.drop("last"), "scene_id")
+    level, out = 0, None
+    tile = ["scene_id", *CELL, "part", "share"]
     while True:
-        last = size > extent  # every ref is in a touching cell now
-        met = near_cells(q, r, size, metric)
-        met = met.where("qid <> rid") if not_self else met
-        top = met.select("scene_id", "qid", "rid", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        top = saved(top, "knn-top")
-        if last:
-            done = top
+        h = F.col("reach") * 2.0**level
+        asked = q.where(F.col("need") <= level).select("*", *(F.floor(F.col(f"q{c}") / (4 * h)).cast("long").alias(f"c{c}") for c in XYZ))
+        there = r
+        for c in XYZ:
+            there = there.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"r{c}") - h) / (4 * h)).cast("long"), F.floor((F.col(f"r{c}") + h) / (4 * h)).cast("long"))))
+        if level:  # most tiles have no query left
+            there = there.join(asked.select("scene_id", *CELL).distinct().hint("merge"), ["scene_id", *CELL], "left_semi")
+        count = lambda d, name: d.groupBy("scene_id", *CELL).agg(F.count("*").alias(name))
+        full = saved(count(there, "n_refs").join(count(asked, "n_asked").hint("merge"), ["scene_id", *CELL]).where(F.greatest("n_refs", "n_asked") > TILE), "knn-full")
+        split = not full.isEmpty()
+        if split:  # refs of a full tile go to one of its parts, queries to all of them, and the other way with shares
+            n = lambda c: F.coalesce(F.ceil(F.col(c) / TILE).cast("int"), F.lit(1))
+            asked, there = (d.join(full.hint("merge"), ["scene_id", *CELL], "left") for d in (asked, there))
+            asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), n("n_refs") - 1))).withColumn("share", F.pmod(F.xxhash64("qid"), n("n_asked")).cast("int"))
+            there = there.withColumn("share", F.explode(F.sequence(F.lit(0), n("n_asked") - 1))).withColumn("part", F.pmod(F.xxhash64("rid"), n("n_refs")).cast("int"))
         else:
-            sure = top.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("qid")
-            done = top.join(sure.hint("merge"), "qid", "left_semi")
-            q = saved(q.join(sure.hint("merge"), "qid", "left_anti"), "knn-queries")
+            asked, there = (d.withColumns({"part": F.lit(0), "share": F.lit(0)}) for d in (asked, there))
+        top = asked.select(*ASKED, *tile[1:]).groupBy(*tile).cogroup(there.select(*tile, "rid", "rx", "ry", "rz").groupBy(*tile)).applyInArrow(nearest_in_tile(k, not_self, metric), schema)
+        if split:
+            top = top.groupBy(*ASKED).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        top = saved(top, "knn-top")
+        kth = F.sqrt(F.try_element_at("near", F.lit(k))["d2"])
+        sure = (F.col("last") <= level) | ((F.size("near") == k) & F.coalesce(kth <= h, F.lit(False)))
+        done = top.where(sure).select("scene_id", "qid", F.posexplode("near").alias("rank", "p")).select("scene_id", "qid", (F.col("rank") + 1).alias("rank"), "p.rid", "p.d2")
         out = done if out is None else out.unionByName(done)
-        if last or q.isEmpty():
-            return out.select("scene_id", "qid", "rank", "rid", "d2")
-        size *= 2
+        known = F.ceil(F.log2(kth / F.col("reach"))).cast("int")
+        later = top.where(~sure).withColumn("need", F.least("last", F.when(F.size("near") == k, F.greatest(F.lit(level + 1), known)).otherwise(level + 1)))
+        q = saved(q.where(F.col("need") > level).unionByName(later.drop("near")), "knn-queries")
+        level = q.agg(F.min("need")).first()[0]
+        if level is None:
+            return out
 
 
 def radius_join(queries: DataFrame, refs: DataFrame, r: float, query_key: str = "point_id", ref_key: str = "ref_id") -> DataFrame:
@@ -99,8 +183,16 @@ def ball_query(queries: DataFrame, refs: DataFrame, rmin: float, rmax: float, n:
 
 
 def radius_pairs(df: DataFrame, r: float, key: str = "point_id") -> DataFrame:
-    """(scene_id, a, b, d2): all pairs of different points closer than ``r``, a < b."""
-    return radius_join(df, df, r, key, key).where("qid < rid").select("scene_id", F.col("qid").alias("a"), F.col("rid").alias("b"), "d2")
+    """(scene_id, a, b, d2): all pairs of different points closer than ``r``, a < b. Of two touching cells one looks at the
+    other, so a point goes to 14 cells and every pair is worked out once."""
+    p = sided(df, key, "q").select("*", *(F.floor(F.col(f"q{c}") / r).cast("long").alias(f"c{c}") for c in XYZ))
+    steps = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    ahead = p.withColumn("_step", F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(CELL, step))) for step in steps))))
+    ahead = ahead.select(*(c for c in p.columns if c not in CELL), *((F.col(c) + F.col(f"_step.{c}")).alias(c) for c in CELL), (sum(F.abs(F.col(f"_step.{c}")) for c in CELL) == 0).alias("_own"))
+    there = p.select("scene_id", *CELL, *(F.col(f"q{c}").alias(f"r{c}") for c in ("id", *XYZ)))
+    met = ahead.join(there.hint("merge"), ["scene_id", *CELL]).withColumn("d2", gap2())
+    met = met.where((F.col("d2") < r * r) & (~F.col("_own") | (F.col("qid") < F.col("rid"))))
+    return met.select("scene_id", F.least("qid", "rid").alias("a"), F.greatest("qid", "rid").alias("b"), "d2")
 
 
 def transfer_nearest(queries: DataFrame, refs: DataFrame, cols, limit: float | None = None, query_key: str = "point_id", ref_key: str = "ref_id") -> DataFrame:
@@ -183,7 +275,7 @@ def remove_statistical_outliers(df: DataFrame, k: int, ratio: float) -> DataFram
     """(point_id, mean): points whose mean distance to ``k`` neighbours is at most the scene's mean plus ``ratio`` deviations."""
     m = knn(df, df, k, "point_id", "point_id", not_self=True).groupBy("scene_id", "qid").agg(F.avg(F.sqrt("d2")).alias("mean"))
     s = m.groupBy("scene_id").agg((F.avg("mean") + ratio * F.stddev_samp("mean")).alias("cut"))
-    return m.join(F.broadcast(s), "scene_id").where(F.col("mean") <= F.col("cut")).select(F.col("qid").alias("point_id"), "mean")
+    return m.join(s, "scene_id").where(F.col("mean") <= F.col("cut")).select(F.col("qid").alias("point_id"), "mean")
 
 
 def overlap(clouds: DataFrame, voxel: float) -> DataFrame:
@@ -195,7 +287,7 @@ def overlap(clouds: DataFrame, voxel: float) -> DataFrame:
     met = near_cells(both("q"), both("r"), 1.5 * voxel).where((F.col("d2") < 2.25 * voxel * voxel) & (F.col("qcloud") != F.col("rcloud")))
     hit = met.select("qcloud", "rcloud", "qid").distinct().groupBy("qcloud", "rcloud").agg(F.count("*").alias("hit"))
     n = v.groupBy(F.col("cloud").alias("qcloud")).agg(F.count("*").alias("n"))
-    share = hit.join(F.broadcast(n), "qcloud").withColumn("share", F.col("hit") / F.col("n"))
+    share = hit.join(n, "qcloud").withColumn("share", F.col("hit") / F.col("n"))
     return share.groupBy(F.least("qcloud", "rcloud").alias("a"), F.greatest("qcloud", "rcloud").alias("b")).agg(F.max("share").alias("ratio"))
 
 
@@ -289,11 +381,11 @@ def pixel_normals(pixels: DataFrame) -> DataFrame:
 def mask_nms(members: DataFrame, scores: DataFrame, iou: float, inside: float = 0.9, keep: int = 3) -> DataFrame:
     """Masks that no mask of higher score overlaps by more than ``iou`` or contains by more than ``inside``; if none stays,
     the best ``keep``. members: mask, pixel; scores: mask, score."""
-    n = members.groupBy("mask").agg(F.count("*").alias("n")).join(F.broadcast(scores), "mask")
+    n = members.groupBy("mask").agg(F.count("*").alias("n")).join(scores, "mask")
     a, b = members.select(F.col("mask").alias("a"), "pixel"), members.select(F.col("mask").alias("b"), "pixel")
     both = a.join(b.hint("merge"), "pixel").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
     side = lambda s: n.select(F.col("mask").alias(s), F.col("n").alias(f"n{s}"), F.col("score").alias(f"s{s}"))
-    d = both.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b").where((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))))
+    d = both.join(side("a"), "a").join(side("b"), "b").where((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))))
     bad = d.where((F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) > iou) | (F.col("k") / F.col("na") > inside)).select(F.col("a").alias("mask")).distinct()
     kept = n.join(bad, "mask", "left_anti")
     rest = n.withColumn("_at", F.row_number().over(Window.orderBy(F.desc("score"), "mask"))).where(F.col("_at") <= keep).drop("_at")

@@ -25,7 +25,7 @@ def patches(ranked: DataFrame, size: int) -> DataFrame:
     """(scene_id, patch, slot, point_id): patches of ``size`` along the curve; the last one is filled up from the points just
     before it, unless the scene has no more than one patch."""
     n = ranked.groupBy("scene_id").agg(F.count("*").alias("_n"))
-    d = ranked.join(F.broadcast(n), "scene_id").withColumns({"patch": F.floor(F.col("rank") / size), "slot": F.col("rank") % size})
+    d = ranked.join(n, "scene_id").withColumns({"patch": F.floor(F.col("rank") / size), "slot": F.col("rank") % size})
     # the points that the last patch of a scene borrows
     lack = (size - F.col("_n") % size) % size
     last = F.floor((F.col("_n") - 1) / size)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 VIEWS = {
-    "points": """select ((l_orderkey*10 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey as point_id, cast(l_suppkey % 8 as int) as scene_id,
+    "points": """select (((l_orderkey*10 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey)*100 + cast(l_quantity as bigint) as point_id, l_orderkey*7 + l_linenumber as code, cast(l_suppkey % 8 as int) as scene_id,
         case when l_suppkey % 8 < 5 then 'train' when l_suppkey % 8 < 7 then 'val' else 'test' end as split,
         l_quantity as x, l_extendedprice/2000e0 as y, round(l_discount*100e0) as z,
         cast(l_partkey % 256 as int) as r, cast(l_suppkey % 256 as int) as g, cast(l_orderkey % 256 as int) as b, round(l_tax*100e0) - 4e0 as opacity_logit,
@@ -21,7 +21,8 @@ VIEWS = {
         (l_partkey % 7) - 3.5e0 as q0, l_linenumber * 1e0 as q1, round(l_discount*100e0)/10e0 as q2, 1e0 as q3,
         case when l_returnflag = 'N' then -1 else l_linenumber - 1 end as segment, cast(l_partkey % 50 as int) as instance, l_linestatus = 'F' as valid,
         cast(case when l_partkey % 11 = 0 then -1 when l_partkey % 3 = 0 then l_partkey % 7 else l_linenumber - 1 end as int) as pred from lineitem""",
-    "ref_points": "select point_id as ref_id, scene_id, x, y, z, segment, instance from points where point_id % 10 = 0",
+    "ref_points": """select o_orderkey as ref_id, cast(o_custkey % 8 as int) as scene_id, o_orderkey % 50 + 1e0 as x, o_totalprice/10000e0 as y, cast(floor(o_custkey/8e0) as bigint) % 11 * 1e0 as z,
+        cast(case when o_orderstatus = 'O' then -1 else o_orderkey % 7 end as int) as segment, cast(o_custkey % 50 as int) as instance from orders""",
     "features": "select vec_id as point_id, cast(vec_id % 5 as int) as scene_id, cast(embedding as {doubles}) as feat, label as segment from embeddings",
     "contrib": "select l_partkey as point, l_suppkey as view, l_linenumber - 1 as class, l_extendedprice/1e5 as weight from lineitem",
     "mask_members": "select distinct l_suppkey % 30 as mask, l_partkey as pixel from lineitem",

@@ -217,10 +217,11 @@ def _(t):
 
 @query("e17_instance_boxes", """with m as (select scene_id, instance, s, row_number() over (partition by scene_id, instance order by s is null, n desc, s) rn from (select scene_id, instance, case when segment=-1 then null else segment end s, count(*) n from points group by 1,2,3) q),
     b as (select scene_id, instance, count(*) n, min(x) min_x, max(x) max_x, avg(y) mean_y from points group by 1,2)
-    select b.scene_id, b.instance, n, min_x, max_x, round(mean_y,6) mean_y, case when s in (1,4) then -1 else coalesce(s,-1) - (case when s>1 then 1 else 0 end) - (case when s>4 then 1 else 0 end) end "label", dense_rank() over (partition by b.scene_id order by b.instance)-1 dense_id
+    select b.scene_id, b.instance, n, min_x, max_x, round(mean_y*n,6) sum_y, case when s in (1,4) then -1 else coalesce(s,-1) - (case when s>1 then 1 else 0 end) - (case when s>4 then 1 else 0 end) end "label", dense_rank() over (partition by b.scene_id order by b.instance)-1 dense_id
     from b join m on b.scene_id=m.scene_id and b.instance=m.instance where rn=1""")
 def _(t):
-    return rounded(A.instance_boxes(t.points, (1, 4)).select("scene_id", "instance", "n", "min_x", "max_x", "mean_y", "label", "dense_id"))
+    # the sum is exact to six digits where the mean may lie on the edge of rounding
+    return rounded(A.instance_boxes(t.points, (1, 4)).select("scene_id", "instance", "n", "min_x", "max_x", (F.col("mean_y") * F.col("n")).alias("sum_y"), "label", "dense_id"))
 
 
 @query("e18_vote_labels", """select point, cast(case when w/total >= 0.3 then class else -1 end as int) "label", round(w/total,6) share from (select point, class, w, sum(w) over (partition by point) total, row_number() over (partition by point order by w desc, class) rn

@@ -133,14 +133,14 @@ PROJ = """select point_id, scene_id, frame, depth, focal*right_/depth+width/2e0
 
 @query("b19_project", f"select frame, count(*) n, count(*) filter (where depth>0.01 and u>=0 and u<width and v>=0 and v<height) seen, round(avg(depth),6) depth from ({PROJ}) w group by frame")
 def _(t):
-    d = C.project(t.points.join(F.broadcast(t.cameras), F.col("frame") % 8 == F.col("scene_id")))
+    d = C.project(t.points.join(t.cameras, F.col("frame") % 8 == F.col("scene_id")))
     return rounded(d.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("seen").alias("seen"), F.avg("depth").alias("depth")))
 
 
 @query("b20_unproject", """with q as (select k.frame, u, v, depth, c, s, px, py, pz, (u+0.5e0-320e0)/500e0 a, (v+0.5e0-240e0)/500e0 b from pixels p join cameras k on k.frame = p.frame)
     select frame, u, v, round(depth,9) depth, round(px-c*depth+s*a*depth,9)+0 x, round(py-s*depth-c*a*depth,9)+0 y, round(pz-b*depth,9)+0 z, round(pz-b*depth/sqrt(1+a*a+b*b),9)+0 ray_z from q""")
 def _(t):
-    d = t.pixels.join(F.broadcast(t.cameras), "frame")
+    d = t.pixels.join(t.cameras, "frame")
     d = C.unproject(C.unproject(d, ray=True).withColumn("ray_z", F.col("z")))
     return rounded(d.select(F.col("frame").cast("int").alias("frame"), "u", "v", "depth", *C.XYZ, "ray_z"), 9)
 

@@ -21,7 +21,7 @@ def nearest(k, queries="ref_points", qid="ref_id", refs="points", rid="point_id"
         on q.scene_id=r.scene_id and abs(q.x-r.x) <= {box} and abs(q.y-r.y) <= {box} {more} qualify rank <= {k}"""
 
 
-@query("d1_knn", f"select scene_id, qid, rank, rid, round(d2,6) d2 from ({nearest(8)}) n")
+@query("d1_knn", f"select scene_id, qid, rank, rid, round(d2,6) d2 from ({nearest(8, box=14)}) n")
 def _(t):
     return rounded(S.knn(t.ref_points, t.points, 8, "ref_id", "point_id").withColumn("rank", F.col("rank").cast("long")))
 
@@ -45,7 +45,7 @@ def _(t):
     return rounded(S.radius_pairs(t.points, 1.5))
 
 
-@query("d5_transfer_nearest", f"select p.point_id, cast(case when sqrt(d2) <= 2 then r.segment else -1 end as int) segment, cast(case when sqrt(d2) <= 2 then r.instance else -1 end as int) instance from points p left join ({nearest(1, 'points', 'point_id', 'ref_points', 'ref_id')}) n on p.point_id=n.qid left join ref_points r on r.ref_id=n.rid")
+@query("d5_transfer_nearest", f"select p.point_id, cast(case when sqrt(d2) <= 2 then r.segment else -1 end as int) segment, cast(case when sqrt(d2) <= 2 then r.instance else -1 end as int) instance from points p left join ({nearest(1, 'points', 'point_id', 'ref_points', 'ref_id', '', 16)}) n on p.point_id=n.qid left join ref_points r on r.ref_id=n.rid")
 def _(t):
     return S.transfer_nearest(t.points, t.ref_points, ["segment", "instance"], 2.0)
 
@@ -55,42 +55,45 @@ def _(t):
     return S.slice_reference(t.points.where("x < 20 and y < 20"), t.ref_points, 3, 2.0).select("ref_id")
 
 
-FP = "(select p.point_id, p.scene_id, p.x, p.y, p.z, f.pid fid, f.segment from (select *, row_number() over (order by point_id) k from points) p join (select vec_id pid, label segment, row_number() over (order by vec_id) k from embeddings) f on p.k=f.k)"
+#: Every point with the feature that its code names.
+FP = "(select p.point_id, p.scene_id, p.x, p.y, p.z, e.vec_id fid, e.label segment from points p join embeddings e on e.vec_id = p.code % (select count(*) from embeddings))"
 
 
 def feature_points(t):
-    """Features placed at the first points in order of id."""
-    from pyspark.sql import Window
-
+    """Every point with the feature that its code names: fid, feat and segment are those of the feature."""
     n = t.features.count()
-    p = t.points.select("point_id", "scene_id", *C.XYZ).orderBy("point_id").limit(n).withColumn("k", F.row_number().over(Window.orderBy("point_id")))
-    f = t.features.select(F.col("point_id").alias("fid"), "feat", "segment").withColumn("k", F.row_number().over(Window.orderBy("fid")))
-    return p.join(f, "k").drop("k")
+    f = t.features.select(F.col("point_id").alias("fid"), "feat", "segment")
+    return t.points.select("point_id", "scene_id", *C.XYZ, (F.col("code") % n).alias("fid")).join(f, "fid")
+
+
+def fp_nearest(k, box=10):
+    return f"select q.scene_id, q.point_id qid, q.fid qf, r.point_id rid, r.fid rf, {D2} d2, row_number() over (partition by q.point_id order by {D2}, r.point_id) rank from {FP} q join {FP} r on q.scene_id=r.scene_id and q.point_id<>r.point_id and abs(q.x-r.x) <= {box} and abs(q.y-r.y) <= {box} qualify rank <= {k}"
 
 
-def fp_nearest(k):
-    return f"select q.scene_id, q.point_id qid, q.fid qf, r.point_id rid, r.fid rf, {D2} d2, row_number() over (partition by q.point_id order by {D2}, r.point_id) rank from {FP} q join {FP} r on q.scene_id=r.scene_id and q.point_id<>r.point_id qualify rank <= {k}"
+def mixed_sum(feat="feat"):
+    """One number of a feature in which every component has its own weight."""
+    return F.aggregate(F.transform(feat, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, x: s + x)
 
 
-@query("d7_group_neighbors", f"select qid, cast(rank as int) rank, pos, round(v,6)+0 v from ({fp_nearest(4)}) n join long_features f on f.point_id=n.rf")
+@query("d7_group_neighbors", f"select qid, cast(rank as int) rank, round(sum(v*(pos+1)),6)+0 v from ({fp_nearest(4)}) n join long_features f on f.point_id=n.rf group by 1,2")
 def _(t):
     p = feature_points(t)
     g = S.group_neighbors(S.knn(p, p, 4, "point_id", "point_id", not_self=True), p, "point_id")
-    return rounded(g.select("qid", "rank", F.posexplode("feat").alias("pos", "v")).withColumn("pos", F.col("pos").cast("long")))
+    return rounded(g.select("qid", "rank", mixed_sum().alias("v")))
 
 
-@query("d8_neighbor_diff", f"select qid, cast(rank as int) rank, a.pos, round(a.v-b.v,6)+0 v from ({fp_nearest(4)}) n join long_features a on a.point_id=n.qf join long_features b on b.point_id=n.rf and a.pos=b.pos")
+@query("d8_neighbor_diff", f"select qid, cast(rank as int) rank, round(sum((a.v-b.v)*(a.pos+1)),6)+0 v from ({fp_nearest(4)}) n join long_features a on a.point_id=n.qf join long_features b on b.point_id=n.rf and a.pos=b.pos group by 1,2")
 def _(t):
     p = feature_points(t)
     d = S.neighbor_diff(S.knn(p, p, 4, "point_id", "point_id", not_self=True), p, p, "point_id", "point_id")
-    return rounded(d.select("qid", "rank", F.posexplode("feat").alias("pos", "v")).withColumn("pos", F.col("pos").cast("long")))
+    return rounded(d.select("qid", "rank", mixed_sum().alias("v")))
 
 
-@query("d8_neighbor_aggregate", f"select qid, pos, round(sum(v/rank),6)+0 v from ({fp_nearest(4)}) n join long_features f on f.point_id=n.rf group by 1,2")
+@query("d8_neighbor_aggregate", f"select qid, round(sum(v/rank*(pos+1)),6)+0 v from ({fp_nearest(4)}) n join long_features f on f.point_id=n.rf group by 1")
 def _(t):
     p = feature_points(t)
     g = S.group_neighbors(S.knn(p, p, 4, "point_id", "point_id", not_self=True), p, "point_id")
-    return rounded(S.neighbor_aggregate(g, 1 / F.col("rank")))
+    return rounded(S.neighbor_aggregate(g, 1 / F.col("rank")).groupBy("qid").agg(F.sum(F.col("v") * (F.col("pos") + 1)).alias("v")))
 
 
 @query("d9_expand_grid", "select p.point_id, round(g.v,9) v from points p join (select scene_id, instance, avg(y) v from points where segment >= 0 group by 1,2) g on p.scene_id=g.scene_id and p.instance=g.instance")
@@ -109,9 +112,14 @@ PROJ = """select point_id, frame, depth, focal*right_/depth+width/2e0 u, focal*d
     (select p.point_id, frame, focal, width, height, -(c*(x-px)+s*(y-py)) depth, -(c*(y-py)-s*(x-px)) right_, -(z-pz) down from points p join cameras k on k.frame % 8 = p.scene_id) q"""
 
 
-@query("d11_visible", f"select point_id, frame, round(depth,9) depth, round(u,9) u, round(v,9) v from ({PROJ}) w where depth>0.01 and u>=0 and u<width and v>=0 and v<height")
+#: Keeps short decimals off the edges of rounding, where engines may differ in the last bit.
+EDGE = 3.14159e-8
+
+
+@query("d11_visible", f"select point_id, frame, round(depth+{EDGE},6) depth, round(u+{EDGE},6) u, round(v+{EDGE},6) v from ({PROJ}) w where depth>0.01 and u>=0 and u<width and v>=0 and v<height")
 def _(t):
-    return rounded(R.visible(t.points, t.cameras, F.col("frame") % 8 == F.col("scene_id")), 9)
+    d = R.visible(t.points, t.cameras, F.col("frame") % 8 == F.col("scene_id"))
+    return rounded(d.withColumns({c: F.col(c) + EDGE for c in ("depth", "u", "v")}))
 
 
 @query("d12_observations", "select l_suppkey image, l_partkey track, p_size x from lineitem join part on l_partkey=p_partkey where l_linenumber < 4")
@@ -212,7 +220,7 @@ def _(t):
 VOTE = "select qid, s, row_number() over (partition by qid order by s is null, n desc, s) rn, n from (select qid, case when r.segment=-1 then null else r.segment end s, count(*) n from ({nn}) k join ref_points r on r.ref_id=k.rid group by 1,2) c"
 
 
-@query("i1_neighbor_vote", f"select qid point_id, cast(coalesce(s,-1) as int) \"label\", case when s is null then 0 else n end votes from ({VOTE.format(nn=nearest(5, 'points', 'point_id', 'ref_points', 'ref_id', '', 14))}) v where rn=1")
+@query("i1_neighbor_vote", f"select qid point_id, cast(coalesce(s,-1) as int) \"label\", case when s is null then 0 else n end votes from ({VOTE.format(nn=nearest(5, 'points', 'point_id', 'ref_points', 'ref_id', '', 20))}) v where rn=1")
 def _(t):
     return S.neighbor_vote(t.points, t.ref_points, 5)
 
@@ -222,13 +230,13 @@ def _(t):
     return S.cluster_vote(t.points)
 
 
-@query("i3_interpolate", f"""with n as (select *, 1/(sqrt(d2)+1e-8) w0 from (select q.scene_id, q.ref_id qid, r.fid rf, {D2} d2, row_number() over (partition by q.ref_id order by {D2}, r.point_id) rank from ref_points q join {FP} r on q.scene_id=r.scene_id qualify rank <= 3) a)
-    select qid, pos, round(sum(w0*v)/sum(w0),6)+0 v from n join long_features f on f.point_id=n.rf group by 1,2""")
+@query("i3_interpolate", f"""with n as (select *, 1/(sqrt(d2)+1e-8) w0 from (select q.scene_id, q.ref_id qid, r.fid rf, {D2} d2, row_number() over (partition by q.ref_id order by {D2}, r.point_id) rank from ref_points q join {FP} r on q.scene_id=r.scene_id and abs(q.x-r.x) <= 12 and abs(q.y-r.y) <= 12 qualify rank <= 3) a), g as (select qid, pos, sum(w0*v)/sum(w0) v from n join long_features f on f.point_id=n.rf group by 1,2)
+    select qid, round(sum(v*(pos+1)),6)+0 v from g group by 1""")
 def _(t):
-    return rounded(S.interpolate(feature_points(t), t.ref_points, 3, "point_id", "ref_id"))
+    return rounded(S.interpolate(feature_points(t), t.ref_points, 3, "point_id", "ref_id").groupBy("qid").agg(F.sum(F.col("v") * (F.col("pos") + 1)).alias("v")))
 
 
-@query("i4_upsample_labels", f"select p.point_id, cast(coalesce(r.segment,-1) as int) segment from points p left join ({nearest(1, 'points', 'point_id', 'ref_points', 'ref_id')}) n on p.point_id=n.qid left join ref_points r on r.ref_id=n.rid")
+@query("i4_upsample_labels", f"select p.point_id, cast(coalesce(r.segment,-1) as int) segment from points p left join ({nearest(1, 'points', 'point_id', 'ref_points', 'ref_id', '', 16)}) n on p.point_id=n.qid left join ref_points r on r.ref_id=n.rid")
 def _(t):
     return S.transfer_nearest(t.points, t.ref_points, ["segment"])
 
@@ -279,12 +287,12 @@ def _(t):
     return rounded(S.neighbor_agreement(p, p, 4))
 
 
-@query("i13_merge_singletons", f"""with c as (select scene_id, cx, cy, cz, count(*) n, min(fid) fid, (scene_id*1000000+cx*10000+cy*100+cz) cell_id from (select *, cast(floor(x/6) as bigint) cx, cast(floor(y/6) as bigint) cy, cast(floor(z/6) as bigint) cz from {FP} p) q group by 1,2,3,4),
+@query("i13_merge_singletons", f"""with c as (select scene_id, cx, cy, cz, count(*) n, min(fid) fid, (scene_id*1000000+cx*10000+cy*100+cz) cell_id from (select *, cast(floor(x/2) as bigint) cx, cast(floor(y/2) as bigint) cy, cast(floor(z/2) as bigint) cz from {FP} p) q group by 1,2,3,4),
     k as (select s.scene_id, s.cell_id, o.cell_id to_, s.fid a, o.fid b, row_number() over (partition by s.cell_id order by abs(s.cx-o.cx)+abs(s.cy-o.cy)+abs(s.cz-o.cz), o.cell_id) rn from c s join c o on s.scene_id=o.scene_id where s.n=1 and o.n>1),
     d as (select k.scene_id, cell_id, to_, sum(a.v*b.v)/greatest(sqrt(sum(a.v*a.v))*sqrt(sum(b.v*b.v)),1e-12) s from k join long_features a on a.point_id=k.a join long_features b on b.point_id=k.b and a.pos=b.pos where rn <= 27 group by 1,2,3)
     select scene_id, cell_id, to_ "to" from (select *, row_number() over (partition by cell_id order by round(s,9) desc, to_) r from d) e where r=1""")
 def _(t):
-    p = C.cell(feature_points(t), 6.0)
+    p = C.cell(feature_points(t), 2.0)
     c = p.groupBy("scene_id", *S.CELL).agg(F.count("*").alias("n"), F.min_by("feat", "fid").alias("feat"))
     c = c.withColumn("cell_id", F.col("scene_id") * 1000000 + F.col("cx") * 10000 + F.col("cy") * 100 + F.col("cz"))
     return S.merge_singletons(c)

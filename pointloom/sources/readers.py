@@ -124,7 +124,7 @@ def ingest_annotations(spark: SparkSession, path: str, classes: dict, default: i
     names = spark.createDataFrame(list(classes.items()), "name string, segment int")
     d = d.select(part(-2).alias("room"), part(-1).alias("file"), F.regexp_extract(part(-1), r"^([^_]+)_", 1).alias("name"), *(w[k].cast("double").alias(c) for k, c in enumerate(("x", "y", "z", "r", "g", "b"))))
     ranks = d.select("room", "file").distinct().withColumn("instance", F.dense_rank().over(Window.partitionBy("room").orderBy("file")) - 1)
-    return d.join(F.broadcast(names), "name", "left").join(ranks, ["room", "file"]).withColumn("segment", F.coalesce("segment", F.lit(default))).drop("file", "name")
+    return d.join(names, "name", "left").join(ranks, ["room", "file"]).withColumn("segment", F.coalesce("segment", F.lit(default))).drop("file", "name")
 
 
 def concat_datasets(dfs, loop: int = 1) -> DataFrame:
@@ -138,7 +138,7 @@ def concat_datasets(dfs, loop: int = 1) -> DataFrame:
 def assign_split(df: DataFrame, rule, key: str = "scene_id") -> DataFrame:
     """Adds split: by a list of (name, first, last) id ranges, or by a table (key, split); the rest is train."""
     if isinstance(rule, DataFrame):
-        return df.join(F.broadcast(rule), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+        return df.join(rule, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
     out = F.lit("train")
     for name, lo, hi in rule:
         out = F.when(F.col(key).between(lo, hi), name).otherwise(out)
