@@ -16,6 +16,7 @@ import codecs
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ MEMORY_WORDS = 150_000
 MEMORY_PAIRS = 600_000
 PUNCTUATION = frozenset(".,;:!?")
 FLUSH = 4
+#: Characters of a text, and ids, that are worked on at a time.
+STRETCH = 1 << 16
+DECODE = 4096
 #: White space of the Unicode standard, which the file's normaliser replaces.
 UNICODE_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_CONTROLS = regex.compile("[\x1c-\x1f]")
@@ -213,18 +217,37 @@ class Encoder:
             got = seen.get(c)
             out.extend(self.chunk(c) if got is None else got)
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """A long text in parts that end before white space, so that no chunk is cut."""
+        start = 0
+        while len(text) - start > STRETCH:
+            cut = UNICODE_SPACE.search(text, start + STRETCH)
+            if cut is None:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:] if start else text
+
+    def plain(self, text: str, out: list[int]) -> None:
+        """Text between special tokens."""
+        for part in self.stretches(text):
+            self.segment(part, out)
+
     def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text. Besides them, memory is bounded by a stretch of text and, in a chunk without white space,
+        by the transducer's window."""
         out: list[int] = []
         if not text:
             return out
-        if self.specials is not None and "<|" in text:
-            for k, part in enumerate(self.specials.split(text)):
-                if k % 2:
-                    out.append(self.v.special[part])
-                elif part:
-                    self.segment(part, out)
+        if self.specials is not None and any(s in text for s in self.v.special):
+            at = 0
+            for m in self.specials.finditer(text):
+                self.plain(text[at : m.start()], out)
+                out.append(self.v.special[m[0]])
+                at = m.end()
+            self.plain(text[at:], out)
         else:
-            self.segment(text, out)
+            self.plain(text, out)
         return out
 
 
@@ -237,6 +260,7 @@ class Decoder:
         self.v, self.pieces, self.first = vocab, pieces, True
         self.value = {c: b for b, c in enumerate(vocab.letters)}
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.led = {i: b" " + p.encode("utf-8") for i, p in vocab.pieces.items()} if pieces else {}
 
     def raw(self, i: int) -> bytes:
         piece = self.v.pieces.get(i)
@@ -257,11 +281,20 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
     def decode(self, ids: Iterable[int]) -> str:
-        """A whole list at once: the same states, the bytes in one go."""
-        if self.pieces:
-            pieces = self.v.pieces
-            return " ".join([pieces[i] for i in ids if i in pieces])
-        return self.machine.decode(b"".join([self.raw(i) for i in ids])) + self.close()
+        """A whole list: the same state machine, fed with the bytes of some ids at a time."""
+        out, ids = [], iter(ids)
+        while part := [*islice(ids, DECODE)]:
+            if self.pieces:
+                raw = b"".join([self.led[i] for i in part if i in self.led])
+                if self.first and raw:
+                    raw, self.first = raw[1:], False
+            else:
+                raw = b"".join([self.raw(i) for i in part])
+            out.append(self.machine.decode(raw))
+        out.append(self.close())
+        self.machine.reset()
+        self.first = True
+        return "".join(out)
 
 
 _loaded: dict[str, Encoder] = {}

@@ -146,6 +146,7 @@ class Recurrent:
         logits = states @ wc
         logits += bc
         cls = lex.cls[words]
+        logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(words)), cls]
         np.exp(logits, out=logits)
         out = picked - np.log(logits.sum(axis=1))
@@ -157,6 +158,7 @@ class Recurrent:
             if b - a > 1:
                 inner = states[at] @ ww[a:b].T
                 inner += bw[a:b]
+                inner -= inner.max(axis=1, keepdims=True)
                 own = inner[np.arange(len(at)), words[at] - a]
                 np.exp(inner, out=inner)
                 out[at] += own - np.log(inner.sum(axis=1))
@@ -176,30 +178,30 @@ class Recurrent:
             k = int(fill.argmin())
             lane_of[k].append(d)
             fill[k] += sizes[d]
-        length = int(fill.max())
-        words = np.zeros((length, lanes), np.int32)
-        owner = np.full((length, lanes), -1, np.int32)
-        fresh = np.zeros((length, lanes), bool)
-        for k, mine in enumerate(lane_of):
-            at = 0
-            for d in mine:
-                words[at : at + sizes[d], k], owner[at : at + sizes[d], k], fresh[at, k] = docs[d], d, True
-                at += sizes[d]
-        h = np.zeros((lanes, self.h), np.float32)
         alive = np.argsort(-fill, kind="stable")  # long lanes first, so that finished ones fall off the end
-        words, owner, fresh, fill = words[:, alive], owner[:, alive], fresh[:, alive], fill[alive]
-        for start in range(0, length, WINDOW):
-            stop = min(start + WINDOW, length)
+        fill, lane_of = fill[alive], [lane_of[k] for k in alive]
+        # one run of words a lane; only the windows of all lanes are ever laid side by side
+        run = [np.concatenate([docs[d] for d in mine]) for mine in lane_of]
+        owners = [np.repeat(np.array(mine, np.int32), sizes[mine]) for mine in lane_of]
+        h = np.zeros((lanes, self.h), np.float32)
+        for start in range(0, int(fill.max()), WINDOW):
             live = int(np.searchsorted(-fill, -start, side="left"))
+            wide = min(WINDOW, int(fill[0]) - start)
+            words, owner, before = np.zeros((wide, live), np.int32), np.full((wide, live), -1, np.int32), np.full(live, -1, np.int32)
+            for k in range(live):
+                n = min(wide, len(run[k]) - start)
+                words[:n, k], owner[:n, k] = run[k][start : start + n], owners[k][start : start + n]
+                before[k] = owners[k][start - 1] if start else -1
+            fresh = owner != np.concatenate((before[None], owner[:-1]))
             h = h[:live]
-            states = np.empty((stop - start, live, self.h), np.float32)
-            for t in range(start, stop):
-                h[fresh[t, :live]] = 0
-                states[t - start] = h
-                h, _ = self.step(h, words[t, :live])
-            own = owner[start:stop, :live].ravel()
+            states = np.empty((wide, live, self.h), np.float32)
+            for t in range(wide):
+                h[fresh[t]] = 0
+                states[t] = h
+                h, _ = self.step(h, words[t])
+            own = owner.ravel()
             real = own >= 0
-            logp = self.log_probs(states.reshape(-1, self.h)[real], words[start:stop, :live].ravel()[real])
+            logp = self.log_probs(states.reshape(-1, self.h)[real], words.ravel()[real])
             out += np.bincount(own[real], weights=logp, minlength=len(docs))
         return out
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import let, word_count, written
+from pointloom.llm.common import let, numbered, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -59,18 +59,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return w.select("skey", "source_size", "slot", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken (words that the mix takes, repeats
     counted; the pass that meets the target takes part of a document), and ``positions``, one training position per pass
     that takes at least half of the document; ``position`` is the first start, null if nothing is taken.
 
     Null text has no words and null sources are one source, last in order. Rows that repeat count as often as they occur;
-    equal rows may exchange their places. An empty table gives an empty result. Columns besides doc_id, text and source are
-    not used.
+    equal rows may exchange their places. An empty table gives an empty result. Very long texts are only counted. Columns
+    besides doc_id, text and source are not used; those named in ``carry`` come along, under names that the result has not.
     """
     spark = docs.sparkSession
     sized = written(
-        docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 64 - (N_BUCKETS - 1).bit_length()).cast("int")),
+        docs.select("doc_id", *carry, "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 64 - (N_BUCKETS - 1).bit_length()).cast("int")),
         "mix-sizes",
     )
     buckets = written(sized.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
@@ -85,14 +85,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
     segs = F.element_at(F.array(*map(segments, schedules)), F.col("slot") % len(schedules) + 1)
     when = lambda k: invert_demand(segs, (F.col("offset") + k * F.col("source_size")) / F.greatest(F.col("goal"), F.lit(1)))
     at = F.filter(F.array(*(F.when((2 * part >= F.col("size")) & (part > 0), when(k)) for k, part in enumerate(parts))), lambda x: x.isNotNull())
-    out = d.select("doc_id", "size", "source_size", "target", sum(parts[1:], parts[0]).alias("taken"), F.when(parts[0] > 0, when(0)).alias("position"), at.alias("positions"))
+    out = d.select("doc_id", *carry, "size", "source_size", "target", sum(parts[1:], parts[0]).alias("taken"), F.when(parts[0] > 0, when(0)).alias("position"), at.alias("positions"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents as the mix takes them, in training order: one row for each whole pass (a last pass counts if it takes
-    at least half of the document). ``doc_id`` has to be unique; rows without one stay out of the mix."""
-    plan = mix(docs, **how).where("doc_id is not null").select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_position"))
-    plan = written(plan, "mix-plan")
-    joined = docs.join(plan.hint("merge"), F.col("doc_id") == F.col("_mix_id"))
-    return joined.orderBy("_mix_position", "_mix_id").select(*docs.columns)
+    at least half of the document). Rows are told apart by a number of their own, so those that repeat or share an id, and
+    those without one, all take part. An empty table gives no rows."""
+    whole = numbered(docs, "mix-documents")
+    plan = mix(whole.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **how)
+    plan = written(plan.select("row", F.explode("positions").alias("position")), "mix-plan")
+    return whole.join(plan.hint("merge"), "row").orderBy("position", "row").select("doc.*")

@@ -169,13 +169,13 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", query
     asked = packed(rows.where(query).groupBy("id").agg(F.min("vector").alias("vector")), QUERIES, "ann-queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, last = shared.value, None
         for batch in batches:
-            for ids, matrix, q_ids, q_matrix in zip(*(batch.column(i) for i in range(4))):
-                v = np.frombuffer(matrix.as_py(), np.float64).reshape(-1, dim)
-                names = np.frombuffer(ids.as_py(), np.int64)
+            for ids, matrix, q_ids, q_matrix, block in zip(*(batch.column(i) for i in range(5))):
+                if block != last:  # a block meets its blocks of queries one after the other, and is dropped into leaves once
+                    v = np.frombuffer(matrix.as_py(), np.float64).reshape(-1, dim)
+                    names, at, last = np.frombuffer(ids.as_py(), np.int64), f.leaves(v), block
                 q = np.frombuffer(q_matrix.as_py(), np.float64).reshape(-1, dim)
-                at = f.leaves(v)
                 margins = q @ f.normal.T - f.offset
                 out = [[], [], []]
                 for i, name in enumerate(np.frombuffer(q_ids.as_py(), np.int64)):
@@ -193,6 +193,6 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", query
     keys = max(1, blocks.count())
     sent = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("place"))
     placed = blocks.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(keys)).cast("int"))
-    met = placed.join(sent.hint("merge"), "place").select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(search, "query_id long, vec_id long, score double")
+    met = placed.join(sent.hint("merge"), "place").select("ids", "matrix", "q_ids", "q_matrix", "block").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,8 @@
 """Quality rules: a decision list learned by sequential covering from labelled statistics.
 
 ``text_stats`` takes statistics of every whole text with built-in functions. ``learn_rules`` grows threshold conjunctions
-(such as "symbols per word above 0.9 and words under 400") that single out documents labelled as poor, prunes each on
-documents held back, and keeps it if it stays precise. Every count it needs is one grouped aggregate over all labelled
+(such as "symbols per word above 0.9 and words under 400") that single out documents labelled as poor or as good, prunes each on
+documents held back, and keeps it if it stays precise. The rules are a list: the first that holds decides. Every count it needs is one grouped aggregate over all labelled
 documents; only a few hundred counts reach the driver. ``verdict`` turns the list into one CASE expression.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +23,19 @@ N_CUTS = 24
 MAX_RULES = 8
 MAX_TERMS = 3
 MIN_PRECISION = 0.95
+#: A rule that keeps documents has to be right more often, since most documents are good.
+GOOD_PRECISION = 0.99
 MIN_COVER = 8
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Documents for which every (feature, above, cut) holds are poor."""
+    """Documents for which every (feature, above, cut) holds are poor, or good."""
 
     terms: tuple[tuple[str, bool, float], ...]
     hits: int
     misses: int
+    poor: bool = True
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -90,7 +94,10 @@ def base_failed() -> Column:
 
 def learn_rules(stats: DataFrame, labels: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
     """The decision list from all labelled documents that pass the base rule. Two thirds, by a hash of doc_id, grow rules
-    and one third prunes and judges them. No labels, or one class only, give an empty list, which keeps everything.
+    and one third prunes and judges them. Each turn grows a rule for the class that its first term gains most on, poor or
+    good; if the pruned rule is not precise, it is dropped with nothing removed and the other class has its turn; if both
+    fail, the list ends. An accepted rule takes the documents that it covers with it, so later rules hold for what is left,
+    just as the ordered CASE reads them. No labels, or one class only, give an empty list, which keeps everything.
     Labels that are null, and labels of unknown documents, are left out."""
     feats = [c for c in stats.columns if c.startswith("f_")]
     labelled = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -110,52 +117,64 @@ def learn_rules(stats: DataFrame, labels: DataFrame, min_precision: float = MIN_
         return out
 
     def tally(df: DataFrame) -> dict:
+        """feature -> bin -> [poor, good]"""
         out: dict = {}
         for k, b, poor, n in df.select("poor", F.posexplode("bins").alias("k", "b")).groupBy("k", "b", "poor").count().collect():
             out.setdefault(k, {}).setdefault(b, [0, 0])[0 if poor else 1] += n
         return out
 
-    def best_term(df: DataFrame):
-        """The cut with the largest information gain over the rows that ``df`` still covers."""
-        counts, best = tally(df), (0.0, None, 0, 0)
+    def best_term(counts: dict, poor: bool):
+        """(gain, term, others covered) of the cut with the largest information gain for a class."""
+        best = (0.0, None, 0)
         if not counts:
             return best
-        all_p, all_n = (sum(v[i] for v in counts[min(counts)].values()) for i in (0, 1))
+        own, other = (0, 1) if poor else (1, 0)
+        all_p, all_n = (sum(v[i] for v in counts[min(counts)].values()) for i in (own, other))
         old = math.log2(max(all_p, 1e-9) / max(all_p + all_n, 1))
         for k, hist in counts.items():
             p = n = 0
             for b in range(len(cuts[feats[k]])):
-                p, n = p + hist.get(b, (0, 0))[0], n + hist.get(b, (0, 0))[1]
+                p, n = p + hist.get(b, (0, 0))[own], n + hist.get(b, (0, 0))[other]
                 for above, pp, nn in ((False, p, n), (True, all_p - p, all_n - n)):
                     if pp and pp + nn < all_p + all_n:
                         gain = pp * (math.log2(pp / (pp + nn)) - old)
-                        best = max(best, (gain, (k, above, b), pp, nn), key=lambda x: (x[0], x[1] is not None and (-x[1][0], x[1][1], -x[1][2])))
+                        best = max(best, (gain, (k, above, b), nn), key=lambda x: (x[0], (-x[1][0], x[1][1], -x[1][2]) if x[1] else ()))
         return best
 
-    rules: list[Rule] = []
-    left = rows
-    for _ in range(MAX_RULES):
+    def grown(left: DataFrame, poor: bool, first) -> list:
+        gain, term, n = first
         terms: list = []
-        while len(terms) < MAX_TERMS:
-            gain, term, _, n = best_term(left.where("grow").where(holds(terms)))
-            if term is None or gain <= 0:
-                break
+        while term is not None and gain > 0:
             terms.append(term)
-            if n == 0:
+            if n == 0 or len(terms) == MAX_TERMS:
+                break
+            gain, term, n = best_term(tally(left.where("grow").where(holds(terms))), poor)
+        return terms
+
+    def pruned(left: DataFrame, poor: bool, terms: list) -> tuple[tuple, int, int]:
+        """The part of the conjunction that does best on the rows held back, with what it covers there; any term may go."""
+        subsets = [c for size in range(1, len(terms) + 1) for c in combinations(terms, size)]
+        tests = left.where("not grow").select(*(F.count_if(holds(c) & (F.col("poor") == own)).alias(f"{i}{own}") for i, c in enumerate(subsets) for own in (True, False))).first()
+        hits, misses = ([tests[f"{i}{own}"] for i in range(len(subsets))] for own in (poor, not poor))
+        best = max(range(len(subsets)), key=lambda i: (round((hits[i] + 1) / (hits[i] + misses[i] + 2), 3), hits[i], -len(subsets[i])))
+        return subsets[best], hits[best], misses[best]
+
+    rules: list[Rule] = []
+    left = rows
+    while len(rules) < MAX_RULES:
+        counts = tally(left.where("grow"))
+        firsts = {poor: best_term(counts, poor) for poor in (True, False)}
+        for poor in sorted(firsts, key=lambda c: (-firsts[c][0], not c)):
+            terms = grown(left, poor, firsts[poor])
+            if not terms:
+                continue
+            terms, hits, misses = pruned(left, poor, terms)
+            if hits >= MIN_COVER and hits / (hits + misses) >= (min_precision if poor else GOOD_PRECISION):
+                rules.append(Rule(tuple((feats[k], above, cuts[feats[k]][b]) for k, above, b in terms), hits, misses, poor))
+                left = left.where(~holds(terms))
                 break
-        if not terms:
-            break
-        # prune: the prefix of the conjunction that does best on the rows held back
-        tests = left.where("not grow").select(*(F.count_if(holds(terms[:i]) & (F.col("poor") == poor)).alias(f"{'n' if not poor else 'p'}{i}") for i in range(1, len(terms) + 1) for poor in (True, False))).first()
-        worth = {i: (tests[f"p{i}"] + 1) / (tests[f"p{i}"] + tests[f"n{i}"] + 2) for i in range(1, len(terms) + 1)}
-        size = max(worth, key=lambda i: (round(worth[i], 3), -i))
-        hits, misses = tests[f"p{size}"], tests[f"n{size}"]
-        terms = terms[:size]
-        if hits >= MIN_COVER and hits / (hits + misses) >= min_precision:
-            rules.append(Rule(tuple((feats[k], above, cuts[feats[k]][b]) for k, above, b in terms), hits, misses))
-        elif hits + misses >= MIN_COVER or not rules:
+        else:
             break  # what is left can't be told apart precisely
-        left = left.where(~holds(terms))
     return rules
 
 
@@ -163,12 +182,14 @@ def verdict(rules: list[Rule]) -> Column:
     """kept: false if the base rule fails, else the first rule that holds decides, and true if none does."""
     out = F.when(base_failed(), F.lit(False))
     for rule in rules:
-        out = out.when(rule.column(), F.lit(False))
+        out = out.when(rule.column(), F.lit(not rule.poor))
     return out.otherwise(F.lit(True))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the statistics, base_failed and kept for each row of ``docs``. Rows that repeat are judged alike."""
+    """doc_id, the statistics, base_failed and kept for each row of ``docs``. Null text counts as empty and fails the base rule;
+    rows that repeat are judged alike; very long texts are read whole; an empty table gives no rows. Only doc_id and text are
+    used."""
     stats = written(text_stats(docs), "quality-stats")
     rules = learn_rules(stats, labels)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
@@ -176,7 +197,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns. A row goes if its doc_id and text are judged poor, so rows that
-    share an id, or have none, are told apart."""
+    share an id, or have none, are told apart. Columns of any name stay as they are; an empty table gives no rows."""
     stats = written(text_stats(docs), "quality-stats")
     rules = learn_rules(stats, labels)
     gone = stats.where(~verdict(rules)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()

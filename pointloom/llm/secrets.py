@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
 ``scan`` finds the base spans and all other candidates (runs that could be keys) of each whole text, with the characters
-around them. Findings label themselves: what the patterns accept is a secret, plain words and numbers mostly are not.
+around them. Findings label themselves: what the patterns accept is a secret, plain words and numbers mostly are not, and
+neither is what begins like a pattern and is too short for it.
 A convolutional network in numpy learns from a bounded sample of these labelled findings; its probabilities are calibrated on
 findings held out, and the threshold is the highest that keeps the wanted recall there. The network then judges every
 run that the base spans don't cover whole, words and numbers too, and those that reach the threshold are added.
@@ -25,6 +26,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: Beginnings of both that are too short; of hexadecimal ones those that stand alone and hold a digit.
+SHORT_ACCESS = re.compile(r"AKIA[A-Z0-9]{0,13}(?![A-Z0-9])")
+SHORT_HEX = re.compile(r"\b(?=[a-f]*[0-9])[0-9a-f]{6,15}\b")
 #: Runs that could be keys: at least 12 of these characters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: The network's documented bound on labelled findings, and the characters that it sees at once.
@@ -48,12 +52,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool | None]]:
-    """(start, end, label): base spans are True, words and numbers False, all other key-like runs None. A run that base spans
-    cover in part is a candidate as a whole, so that no rest of a key stays."""
-    for a, _, b in base:
-        yield a, b, True
+def kind_of(run: str) -> int:
+    """The kind whose characters a run has: its place in KINDS."""
+    return 1 if ACCESS.fullmatch(run) else 2 if HEX.fullmatch(run) else 0
+
+
+def look_alikes(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What begins like a finding of the patterns and is too short to be one; ``taken`` are the base spans."""
+    low = text.lower()
+    short = [m.span() for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < 12] if any(h in low for h in ASSIGN_HINTS) else []
+    short += [m.span() for m in SHORT_ACCESS.finditer(text)] if "AKIA" in text else []
+    short += [m.span() for m in SHORT_HEX.finditer(text)]
+    yield from ((a, b) for a, b in short if not any(x < b and a < y for x, y in taken))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool | None, int]]:
+    """(start, end, label, rank): base spans are True, words and numbers False, all other key-like runs None. A run that base spans
+    cover in part is a candidate as a whole, so that no rest of a key stays. Look-alikes that the patterns refuse are False too;
+    their rank is -1, since they serve the training alone."""
+    for a, r, b in base:
+        yield a, b, True, r
     taken = sorted((a, b) for a, _, b in base)
+    for a, b in look_alikes(text, taken):
+        yield a, b, False, -1
     k = 0
     for m in RUN.finditer(text):
         a, b = m.span()
@@ -66,7 +87,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             continue
         digits = sum(map(m[0].count, "0123456789"))
         touched = k < len(taken) and taken[k][0] < b
-        yield a, b, None if touched or 0 < digits < b - a else False
+        yield a, b, None if touched or 0 < digits < b - a else False, kind_of(m[0])
 
 
 def views(text: str, start: int, end: int) -> list[str]:
@@ -76,7 +97,7 @@ def views(text: str, start: int, end: int) -> list[str]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (array of start, rank, end) and found (array of start, end, label, views), one row per document."""
+    """row, doc_id, base (array of start, rank, end) and found (array of start, end, label, rank, views), one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,17 +106,17 @@ def scan(docs: DataFrame) -> DataFrame:
                 t = text.as_py() or ""
                 spans = base_spans(t)
                 base.append([{"start": a, "rank": r, "end": b} for a, r, b in spans])
-                found.append([{"start": a, "end": b, "label": y, "views": views(t, a, b)} for a, b, y in candidates(t, spans)])
+                found.append([{"start": a, "end": b, "label": y, "rank": r, "views": views(t, a, b)} for a, b, y, r in candidates(t, spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, BASE), pa.array(found, FOUND)], names=["row", "doc_id", "base", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {kind}, base array<struct<start:int,rank:int,end:int>>, found array<struct<start:int,end:int,label:boolean,views:array<string>>>"
+        run, f"row long, doc_id {kind}, base array<struct<start:int,rank:int,end:int>>, found array<struct<start:int,end:int,label:boolean,rank:int,views:array<string>>>"
     )
 
 
 BASE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.bool_()), ("views", pa.list_(pa.string()))]))
+FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.bool_()), ("rank", pa.int32()), ("views", pa.list_(pa.string()))]))
 
 
 def codes(texts: list[str]) -> np.ndarray:
@@ -211,12 +232,12 @@ def find_secrets(docs: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [v.as_py() for v in batch.column(3)]
+            lists = [v.as_py() for v in batch.column(4)]
             best = net.best(codes([t for v in lists for t in v]), [*map(len, lists)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(net.calibrated(best))], names=["row", "start", "end", "p"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(net.calibrated(best))], names=["row", "start", "end", "rank", "p"])
 
-    judged = found.where("label is null or not label").select("row", "start", "end", "views").mapInArrow(judge, "row long, start int, end int, p double")
-    added = judged.where(F.col("p") >= net.threshold).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(0).alias("rank"), "end"))).alias("added"))
+    judged = found.where("rank >= 0 and (label is null or not label)").select("row", "start", "end", "rank", "views").mapInArrow(judge, "row long, start int, end int, rank int, p double")
+    added = judged.where(F.col("p") >= net.threshold).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
     return scanned.select("row", "doc_id", "base").join(added.hint("merge"), "row", "left").select("row", "doc_id", "base", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")).alias("added"))
 
 

@@ -99,6 +99,37 @@ def test_pii_learns_contexts(spark):
         assert all(text.index(x) and not x.endswith(".") for x in added)
 
 
+def test_pii_new_instances_bring_new_contexts(spark):
+    """Numbers learned after one phrase are met again after another, which no seed has; numbers seen only there are found."""
+    rng = random.Random(8)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    spaced = lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}"
+    filler = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet velit sed".split()) for _ in range(6))
+    twice = [number() for _ in range(40)]
+    texts = [f"{filler()} kindly phone +1-{number()} {filler()}" for _ in range(150)] + [f"{filler()} kindly phone {x} {filler()}" for x in twice]
+    texts += [f"{filler()} reach desk {x} {filler()}" for x in twice] + [f"{filler()} reach desk {number()} {filler()}" for _ in range(8)] + [f"{filler()} reach desk {spaced()} {filler()}" for _ in range(4)]
+    texts += [f"{filler()} part no. {number()} {filler()}" for _ in range(200)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: len(r.added) for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(242)] == [0] * 150 + [1] * 92 and sum(got[i] for i in range(242, 442)) <= 6
+
+
+def test_rules_of_both_kinds(spark):
+    """Good documents inside the region of poor ones come out by a rule of their own, wherever it stands in the list."""
+    rng = random.Random(6)
+    stats, labels = [], []
+    for i in range(3000):
+        x, y = rng.random(), rng.random()
+        stats.append((i, 100, 0, x, y))
+        labels.append((i, int(not (x > 0.6 and y < 0.8)), 0))
+    stats = spark.createDataFrame(stats, "doc_id long, n_words long, n_repeat_words long, f_x double, f_y double")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = quality.learn_rules(stats, labels)
+    assert rules and all(r.hits / (r.hits + r.misses) >= 0.9 for r in rules)
+    judged = stats.join(labels, "doc_id").select("quality", quality.verdict(rules).alias("kept")).collect()
+    assert sum(r.kept == (r.quality == 1) for r in judged) >= 0.95 * len(judged)
+
+
 def test_text_stats(spark, sf, edges):
     for docs in both(spark, sf, edges):
         rows = docs.select("doc_id", "text").collect()
