@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as Parquet
 and read back as the next one's documents. All but the last return the columns of documents.
+
+In every stage null texts count as empty, rows that repeat or share an id are told apart, texts are read whole however long
+they are, columns of any other name come along, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays. Sets are those of pairs of words, the set similarity 0.8."""
+    """Of each group of near duplicates one document stays. Sets are those of five words in a row, the set similarity is 0.8 or
+    more, as for every stage on word shingles whose contract names no other width. Documents without words all stay."""
     return near_dups.without_near_duplicates(docs)
 
 
