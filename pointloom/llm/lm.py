@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import written
+from pointloom.llm.common import scratch, written
 
 #: The end of a text as a word: no word is empty, so it can't clash.
 END = b""
@@ -393,7 +393,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     lex = Lexicon.of(top_words(counts, TOP_WORDS), total, distinct)
     shared = spark.sparkContext.broadcast(lex)
-    net = spark.sparkContext.broadcast(fit(docs, shared, lex, rounds).flat())
+    with scratch(spark):  # the training words go when the network is there
+        net = spark.sparkContext.broadcast(fit(docs, shared, lex, rounds).flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import let, numbered, word_count, written
+from pointloom.llm.common import let, numbered, scratch, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -94,6 +94,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     at least half of the document). Rows are told apart by a number of their own, so those that repeat or share an id, and
     those without one, all take part. An empty table gives no rows."""
     whole = numbered(docs, "mix-documents")
-    plan = mix(whole.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **how)
-    plan = written(plan.select("row", F.explode("positions").alias("position")), "mix-plan")
+    with scratch(docs.sparkSession):
+        plan = mix(whole.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=("row",), **how)
+        plan = written(plan.select("row", F.explode("positions").alias("position")), "mix-plan", keep=True)
     return whole.join(plan.hint("merge"), "row").orderBy("position", "row").select("doc.*")

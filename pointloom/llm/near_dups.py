@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import numbered, written
+from pointloom.llm.common import numbered, scratch, written
 
 N_BINS = 128
 ROWS = 4
@@ -276,7 +276,13 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
 def classes(numbered_docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """row, doc_id, n_shingles and root of (row, doc_id, text) with unique rows: documents with one root are near duplicates
     of each other. Null text, empty text and text without words have an empty set, no root, and are linked with nothing. Rows
-    that repeat are in one class; an empty table gives no rows."""
+    that repeat are in one class; an empty table gives no rows. The result is a written table; all others are removed."""
+    with scratch(numbered_docs.sparkSession):
+        return written(rooted(numbered_docs, similar, width), "near-found", keep=True)
+
+
+def rooted(numbered_docs: DataFrame, similar: int, width: int) -> DataFrame:
+    """What ``classes`` writes."""
     made = written(sketches(numbered_docs, width), "near-sketches")
     # the least row stands for its class, so its text is met by a key that no other row has
     reps = written(made.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("c")).select("set_hash", "c.*"), "near-classes")
@@ -335,7 +341,8 @@ def classes(numbered_docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) and kept (whether it is this document).
     Documents without words are their own components. A component of rows without doc_id has a null id and keeps its rows."""
-    found = written(classes(numbered(docs.select("doc_id", "text"), "near-documents").select("row", "doc.*"), similar, width), "near-found")
+    with scratch(docs.sparkSession):
+        found = classes(numbered(docs.select("doc_id", "text"), "near-documents").select("row", "doc.*"), similar, width)
     least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = found.join(written(least, "near-least").hint("merge"), "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
@@ -346,7 +353,7 @@ def without_near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int
     share it, one. Rows whose text has no words all stay. No row leaves because of its doc_id: different texts that share
     one, or have none, are told apart."""
     whole = numbered(docs, "near-documents")
-    found = written(classes(whole.select("row", "doc.doc_id", "doc.text"), similar, width), "near-found")
+    found = classes(whole.select("row", "doc.doc_id", "doc.text"), similar, width)
     keeper = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("k")).select("k.row")
     kept = written(found.where("root is null").select("row").unionByName(keeper), "near-kept")
     return whole.join(kept.hint("merge"), "row", "left_semi").select("doc.*")

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, WORD, let, written
+from pointloom.llm.common import SPACE, WORD, let, scratch, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -198,8 +198,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns. A row goes if its doc_id and text are judged poor, so rows that
     share an id, or have none, are told apart. Columns of any name stay as they are; an empty table gives no rows."""
-    stats = written(text_stats(docs), "quality-stats")
-    rules = learn_rules(stats, labels)
-    gone = stats.where(~verdict(rules)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    with scratch(docs.sparkSession):
+        stats = written(text_stats(docs), "quality-stats")
+        rules = learn_rules(stats, labels)
+        gone = written(stats.where(~verdict(rules)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "quality-gone", keep=True)
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     return whole.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti").select("_row.*")
