@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.columns import dot, norm
+from pointloom.functions.columns import cosine, dot, norm
 from pointloom.operators.aggregate import majority_label  # noqa: F401
 from pointloom.operators.sampling import draw
 
@@ -242,13 +242,17 @@ def valid_separation(df: DataFrame) -> DataFrame:
 
 def collapse_check(pred: DataFrame, gt: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Largest and mean difference of two feature sets, the share of equal rows, and the mean cosine over all pairs of
-    predictions, exactly, from the mean unit vector."""
+    predictions, exactly, from the mean unit vector, and the share of drawn pairs whose cosine is 0.95 or more."""
     j = pred.select("point_id", F.col("feat").alias("p")).join(gt.select("point_id", F.col("feat").alias("g")), "point_id")
     gaps = F.zip_with("p", "g", lambda a, b: F.abs(a - b))
     s = j.select(F.array_max(gaps).alias("m"), (F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.size("p")).alias("l")).agg(F.count("*").alias("n"), F.max("m").alias("largest"), F.avg("l").alias("mean"), F.avg((F.col("m") <= tol).cast("double")).alias("equal"))
     u = pred.select(F.posexplode(F.transform("feat", lambda x: x / F.greatest(norm(F.col("feat")), F.lit(1e-12)))).alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("s"), F.count("*").alias("k"))
     c = u.agg(((F.sum(F.col("s") * F.col("s")) - F.max("k")) / (F.max("k") * (F.max("k") - 1))).alias("pair_cosine"))
-    return s.join(c)
+    # drawn pairs: neighbours in the order of md5, inside the 256 stretches of its first two digits
+    order = Window.partitionBy(F.substring("_d", 1, 2)).orderBy("_d")
+    met = pred.select(F.md5(F.col("point_id").cast("string")).alias("_d"), F.col("feat").alias("a")).withColumn("b", F.lead("a").over(order)).where("b is not null")
+    alike = met.agg(F.avg((cosine(F.col("a"), F.col("b")) >= 0.95).cast("double")).alias("alike_pairs"))
+    return s.join(F.broadcast(c)).join(F.broadcast(alike))
 
 
 def quality_gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:

@@ -94,11 +94,15 @@ def embedding_outliers(a: DataFrame, b: DataFrame, percent: float = 0.95, method
 
 def check_alignment(points: DataFrame, cells: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per rule and its number of violations: cell ids of points that the cell table lacks, cells without points,
-    labels outside the list, and cells whose points disagree on their scene."""
+    labels outside the list, missing coordinates, and cells whose points have different labels (-1 is none); then one row per
+    attribute with the number of its values."""
     rules = [
         ("unknown_cell", points.join(cells, ["scene_id", "grid_id"], "left_anti")), ("empty_cell", cells.join(points, ["scene_id", "grid_id"], "left_anti")),
         ("unknown_label", points.join(labels, "segment", "left_anti")), ("missing_xyz", points.where("x is null or y is null or z is null")),
     ]
+    mixed = points.groupBy("scene_id", "grid_id").agg(F.min(F.when(F.col("segment") >= 0, F.col("segment"))).alias("lo"), F.max("segment").alias("hi"))
+    rules.append(("mixed_cell", mixed.where("lo is not null and lo < hi")))
+    rules += [(f"count_{c}", points.where(F.col(c).isNotNull())) for c in ("x", "segment", "instance")]
     out = None
     for name, bad in rules:
         row = bad.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")

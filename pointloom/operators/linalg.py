@@ -167,12 +167,31 @@ def procrustes(df: DataFrame, class_vectors: DataFrame) -> np.ndarray:
 
 
 def separability(df: DataFrame) -> DataFrame:
-    """Per class: its nearest other class by the cosine of centroids, and the mean distance of its rows to the centroid."""
+    """Per class: its nearest other class by the cosine of centroids, the spread of its rows about the centroid, and the ratio of
+    the mean distance to the other centroids to that spread."""
     m = df.select("segment", F.posexplode("feat").alias("pos", "v")).groupBy("segment", "pos").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
     side = lambda a: m.select(F.col("segment").alias(a), "pos", F.col("m").alias(f"m{a}"))
     c = side("a").join(side("b"), "pos").where("a <> b").groupBy("a", "b").agg((F.sum(F.col("ma") * F.col("mb")) / F.sqrt(F.sum(F.col("ma") * F.col("ma")) * F.sum(F.col("mb") * F.col("mb")))).alias("cos"))
     best = c.withColumn("_at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where("_at = 1").select(F.col("a").alias("segment"), F.col("b").alias("nearest"), "cos")
-    return best.join(m.groupBy("segment").agg(F.sqrt(F.sum("s")).alias("spread")), "segment")
+    apart = side("a").join(side("b").hint("merge"), "pos").where("a <> b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("ma") - F.col("mb")) * (F.col("ma") - F.col("mb")))).alias("d"))
+    apart = apart.groupBy(F.col("a").alias("segment")).agg(F.avg("d").alias("between"))
+    spread = m.groupBy("segment").agg(F.sqrt(F.sum("s")).alias("spread"))
+    return best.join(spread, "segment").join(apart, "segment").withColumn("ratio", F.col("between") / F.greatest("spread", F.lit(1e-12)))
+
+
+def centroid_cosines(df: DataFrame) -> DataFrame:
+    """(a, b, cos) of all class means, a < b."""
+    m = df.select("segment", F.posexplode("feat").alias("pos", "v")).groupBy("segment", "pos").agg(F.avg("v").alias("m"))
+    side = lambda a: m.select(F.col("segment").alias(a), "pos", F.col("m").alias(f"m{a}"))
+    p = lambda x, y: F.sum(F.col(x) * F.col(y))
+    return side("a").join(side("b").hint("merge"), "pos").where("a < b").groupBy("a", "b").agg((p("ma", "mb") / F.sqrt(p("ma", "ma") * p("mb", "mb"))).alias("cos"))
+
+
+def rotation_quality(df: DataFrame, class_vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
+    """Mean squared distance and mean cosine of the rows to the vectors of their classes, before and after a rotation."""
+    d = times(df.select("segment", "feat"), rotation, out="after").join(class_vectors.select(F.col("label").alias("segment"), F.col("feat").alias("t")), "segment")
+    gap = lambda c: F.avg(F.aggregate(F.zip_with(c, "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    return d.agg(F.count("*").alias("n"), gap("feat").alias("before"), gap("after").alias("after"), F.avg(cosine(F.col("feat"), F.col("t"))).alias("cosine_before"), F.avg(cosine(F.col("after"), F.col("t"))).alias("cosine_after"))
 
 
 def silhouette(df: DataFrame) -> DataFrame:
@@ -217,20 +236,34 @@ def jm_gaussian(df: DataFrame, min_rows: int = 10, reg: float = 1e-6) -> DataFra
     return df.sparkSession.createDataFrame(rows, "a int, b int, jm double")
 
 
-def jm_histogram(df: DataFrame, bins: int = 32) -> DataFrame:
-    """(a, b, jm) from histograms of the length of features: ``bins`` edges between the 0.1 and 99.9 percentiles give one bin
-    less, and values outside are left out."""
-    d = df.select("segment", norm(F.col("feat")).alias("x"))
-    ends = d.agg(F.percentile("x", F.lit(0.001)).alias("lo"), F.percentile("x", F.lit(0.999)).alias("hi"))
-    d = d.join(F.broadcast(ends)).where("x >= lo and x <= hi")
+def jm_histogram(df: DataFrame, bins: int = 32, mode: str = "norm", projections: int = 8, seed: int = 0) -> DataFrame:
+    """(a, b, jm) from histograms of single numbers per row: ``bins`` edges between the 0.1 and 99.9 percentiles give one bin
+    less, and values outside are left out. ``norm`` takes the length of features; ``dimensions`` each component, and
+    ``projections`` seeded random directions, of which the mean, the geometric mean and the distance of the product of overlaps
+    are given as jm, geometric and product."""
+    from pointloom.functions.columns import drawn
+
+    if mode == "norm":
+        d = df.select("segment", F.lit(0).alias("axis"), norm(F.col("feat")).alias("x"))
+    elif mode == "dimensions":
+        d = df.select("segment", F.posexplode("feat").alias("axis", "x"))
+    else:
+        at = F.transform("feat", lambda v, i: v * (2 * drawn(seed, F.col("axis"), i) - 1))
+        d = df.withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(projections - 1)))).select("segment", "axis", F.aggregate(at, F.lit(0.0), lambda s, x: s + x).alias("x"))
+    ends = d.groupBy("axis").agg(F.percentile("x", F.lit(0.001)).alias("lo"), F.percentile("x", F.lit(0.999)).alias("hi"))
+    d = d.join(ends.hint("merge"), "axis").where("x >= lo and x <= hi")
     b = F.least(F.floor((F.col("x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * (bins - 1)), F.lit(bins - 2))
-    h = d.groupBy("segment", b.alias("bin")).agg(F.count("*").alias("n"))
-    h = h.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("segment")))
-    side = lambda a: h.select(F.col("segment").alias(a), "bin", F.col("p").alias(f"p{a}"))
-    k = h.select("segment").distinct()
-    pairs = k.withColumnRenamed("segment", "a").join(k.withColumnRenamed("segment", "b"), F.col("a") < F.col("b"))
-    s = side("a").join(side("b"), "bin").where("a < b").groupBy("a", "b").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("bc"))
-    return pairs.join(s, ["a", "b"], "left").select("a", "b", (2 * (1 - F.coalesce("bc", F.lit(0.0)))).alias("jm"))
+    h = d.groupBy("axis", "segment", b.alias("bin")).agg(F.count("*").alias("n"))
+    h = h.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("axis", "segment")))
+    side = lambda a: h.select("axis", F.col("segment").alias(a), "bin", F.col("p").alias(f"p{a}"))
+    k = h.select("axis", "segment").distinct()
+    pairs = k.withColumnRenamed("segment", "a").join(k.withColumnRenamed("segment", "b"), "axis").where("a < b")
+    s = side("a").join(side("b").hint("merge"), ["axis", "bin"]).where("a < b").groupBy("axis", "a", "b").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("bc"))
+    each = pairs.join(s, ["axis", "a", "b"], "left").select("a", "b", F.coalesce("bc", F.lit(0.0)).alias("bc")).withColumn("jm", 2 * (1 - F.col("bc")))
+    if mode == "norm":
+        return each.select("a", "b", "jm")
+    log = lambda c: F.log(F.greatest(c, F.lit(1e-12)))
+    return each.groupBy("a", "b").agg(F.avg("jm").alias("jm"), F.exp(F.avg(log(F.col("jm")))).alias("geometric"), (2 * (1 - F.exp(F.sum(log(F.col("bc")))))).alias("product"))
 
 
 def cross_scene_similarity(df: DataFrame, mode: str = "pairs") -> DataFrame:
@@ -280,10 +313,10 @@ def compare_subspaces(bases: DataFrame, r: int) -> DataFrame:
                 c = np.clip(np.linalg.svd(va.T @ vb, compute_uv=False), 0, 1)
                 angle = np.arccos(c)
                 p, q = (np.asarray(x) / np.sum(x) for x in (t.sa, t.sb))
-                rows.append((t.a, t.b, float(angle.mean()), float(np.sqrt((angle**2).sum())), float((c**2).mean()), float((p * np.log(p / q)).sum()), float(np.abs(np.cumsum(p - q)).sum()), float(np.abs((va * vb).sum(0)).mean())))
-            yield pd.DataFrame(rows, columns=["a", "b", "mean_angle", "grassmann", "similarity", "kl", "emd", "stability"])
+                rows.append((t.a, t.b, float(angle.mean()), float(np.sqrt((angle**2).sum())), float((c**2).mean()), float((p * np.log(p / q)).sum()), float(np.abs(np.cumsum(p - q)).sum()), float(np.abs((va * vb).sum(0)).mean()), float(np.corrcoef(p, q)[0, 1]) if len(p) > 1 else 1.0))
+            yield pd.DataFrame(rows, columns=["a", "b", "mean_angle", "grassmann", "similarity", "kl", "emd", "stability", "correlation"])
 
-    return pairs.mapInPandas(run, "a int, b int, mean_angle double, grassmann double, similarity double, kl double, emd double, stability double")
+    return pairs.mapInPandas(run, "a int, b int, mean_angle double, grassmann double, similarity double, kl double, emd double, stability double, correlation double")
 
 
 def encode_codebook(df: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:

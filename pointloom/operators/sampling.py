@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,9 +55,15 @@ def voxel_sample_labeled(df: DataFrame, size: float, key: str = "ref_id") -> Dat
     return cell(df, size).groupBy("scene_id", *CELL).agg(F.min(F.struct((F.col("segment") == -1).alias("u"), F.col(key), F.col("segment"))).alias("b")).select("scene_id", *CELL, f"b.{key}", "b.segment")
 
 
-def sample_cells(df: DataFrame, size: float, lo: float, hi: float, seed: int = 0) -> DataFrame:
-    """A share of each cell's points, drawn per cell between ``lo`` and ``hi``, at least one point."""
+def sample_cells(df: DataFrame, size: float, lo: float = 0.2, hi: float = 0.8, seed: int = 0, mode: str = "ratio") -> DataFrame:
+    """A share of each cell's points, drawn per cell between ``lo`` and ``hi``, at least one point; ``single`` takes one drawn
+    point per cell, ``dense`` all. With lo = hi = 0.5 the ratio mode gives the sparse half of a pair whose other half is dense."""
     d = cell(df, size)
+    if mode == "dense":
+        return d
+    if mode == "single":
+        rest = F.struct(*(c for c in df.columns if c != "scene_id"))
+        return d.groupBy("scene_id", *CELL).agg(F.min_by(rest, F.struct(draw(seed), "point_id")).alias("row")).select("scene_id", "row.*", *CELL)
     ratio = lo + (hi - lo) * drawn(seed, F.col("scene_id"), F.col("cx"), F.col("cy"), F.col("cz"))
     w = Window.partitionBy("scene_id", *CELL)
     d = d.withColumns({"_n": F.count("*").over(w), "_at": F.row_number().over(by_cell(draw(seed), "point_id"))})
@@ -76,7 +83,9 @@ def distance2(center) -> Column:
 def sphere_crop(df: DataFrame, n: int, center) -> DataFrame:
     """The ``n`` points of each scene that are nearest to a centre; ties by id."""
     d = df.withColumn("_d2", distance2(center))
-    return d.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy("_d2", "point_id"))).where(F.col("_at") <= n).drop("_d2", "_at")
+    for keys in (["scene_id", F.pmod(F.xxhash64("point_id"), F.lit(64))], ["scene_id"]):  # of each bucket first, so no task ranks a scene
+        d = d.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_d2", "point_id"))).where(F.col("_at") <= n)
+    return d.drop("_d2", "_at")
 
 
 def lattice_crops(df: DataFrame, radius: float, step: float, max_crops: int, min_points: int) -> DataFrame:
@@ -88,8 +97,8 @@ def lattice_crops(df: DataFrame, radius: float, step: float, max_crops: int, min
     for c in XYZ:
         d = d.withColumn(f"k{c}", F.explode(near(c))).where(F.abs(F.col(f"k{c}") * step - F.col(c)) <= radius)
     d = d.where(sum((F.col(f"k{c}") * step - F.col(c)) ** 2 for c in XYZ) <= radius * radius)
-    count = d.groupBy("scene_id", "kx", "ky", "kz").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
-    top = count.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "kx", "ky", "kz"))).where(F.col("_at") <= max_crops)
+    full = d.groupBy("scene_id", "kx", "ky", "kz").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
+    top = full.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "kx", "ky", "kz"))).where(F.col("_at") <= max_crops)
     return d.join(top.drop("_n", "_at"), ["scene_id", "kx", "ky", "kz"], "left_semi").select("scene_id", "kx", "ky", "kz", "point_id")
 
 
@@ -117,9 +126,12 @@ def chunk_pair(chunks: DataFrame, df: DataFrame, ref: DataFrame, size: float, st
     """Reference points by the same windows as the chunks that survive; windows are placed by the bounds of ``df``."""
     b = df.groupBy("scene_id").agg(*(f(c).alias(f"_{c}{n}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))))
     keep = chunks.select("scene_id", "chunk_id", "wx", "wy").distinct()
-    d = ref.join(b, "scene_id").join(keep, "scene_id")
-    inside = [(F.col(c) - F.col(f"_{c}l") >= F.col(f"w{c}") * stride) & (F.col(c) - F.col(f"_{c}l") < F.col(f"w{c}") * stride + size) for c in "xy"]
-    return d.where(inside[0] & inside[1]).select("scene_id", "chunk_id", key)
+    d = ref.join(b, "scene_id")
+    for c in "xy":  # the windows that hold a point follow from its place
+        at = F.col(c) - F.col(f"_{c}l")
+        first, last = F.greatest(F.floor((at - size) / stride) + 1, F.lit(0)), F.floor(at / stride)
+        d = d.where(last >= first).withColumn(f"w{c}", F.explode(F.sequence(first, last)))
+    return d.join(keep.hint("merge"), ["scene_id", "wx", "wy"]).select("scene_id", "chunk_id", key)
 
 
 def sample_per_class(df: DataFrame, per_class: int, total: int, seed: int = 0) -> DataFrame:
@@ -183,16 +195,20 @@ def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy(draw(seed), "point_id")))
 
 
-def sphere_cover(df: DataFrame, n: int, rounds: int = 64) -> DataFrame:
-    """(scene_id, crop, point_id): crops of the ``n`` points nearest to the least covered point, until all are covered."""
+def sphere_cover(df: DataFrame, n: int) -> DataFrame:
+    """(scene_id, crop, point_id): crops of the ``n`` points nearest to the least covered point, until all are covered. Every
+    round covers at least its centre, so the rounds end; there is no other bound on them. Of each hash bucket of a scene the
+    ``n`` nearest are kept before those of the scene, so no task ranks a whole scene."""
     from pointloom.functions.shared import saved
 
     d = saved(df.select("scene_id", "point_id", *XYZ, F.lit(0.0).alias("_cover"), F.lit(False).alias("_in")), "cover")
     out = []
-    for crop in range(rounds):
+    bucket = F.pmod(F.xxhash64("point_id"), F.lit(64))
+    for crop in count():
         open_ = d.where("not _in").groupBy("scene_id").agg(F.min_by(F.struct("point_id", *XYZ), F.struct("_cover", "point_id")).alias("p"))
         near = d.join(open_, "scene_id").withColumn("_d2", sum((F.col(c) - F.col(f"p.{c}")) ** 2 for c in XYZ))
-        near = near.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy("_d2", "point_id"))).where(F.col("_at") <= n)
+        for keys in (["scene_id", bucket], ["scene_id"]):
+            near = near.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_d2", "point_id"))).where(F.col("_at") <= n)
         near = saved(near.select("scene_id", "point_id", "_d2"), "crop")
         if near.isEmpty():
             break

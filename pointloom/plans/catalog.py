@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.plans import q_aggregate, q_columns, q_linalg, q_relate, q_sampling  # noqa: F401
+from pointloom.plans import q_aggregate, q_columns, q_linalg, q_relate, q_sampling, q_sources  # noqa: F401
 from pointloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -82,7 +82,8 @@ def _(t):
     return P.embedding_outliers(t.features, features_b(t))
 
 
-@query("c12_check_alignment", """select 'unknown_cell' rule, count(*) violations from points where l_mod % 7 = 0 union all select 'empty_cell', 0 union all select 'unknown_label', count(*) from points_l where segment > 4 union all select 'missing_xyz', 0""".replace("points where l_mod % 7 = 0", "(select *, instance l_mod from points) p where l_mod % 7 = 0").replace("points_l", "points"))
+@query("c12_check_alignment", """select 'unknown_cell' rule, count(*) violations from points where l_mod % 7 = 0 union all select 'empty_cell', 0 union all select 'unknown_label', count(*) from points_l where segment > 4 union all select 'missing_xyz', 0 union all select 'mixed_cell', count(*) from (select scene_id, instance from points where segment >= 0 group by 1,2 having min(segment) < max(segment)) q
+    union all select 'count_x', count(x) from points union all select 'count_segment', count(segment) from points union all select 'count_instance', count(instance) from points""".replace("points where l_mod % 7 = 0", "(select *, instance l_mod from points) p where l_mod % 7 = 0").replace("points_l", "points"))
 def _(t):
     p = t.points.withColumn("grid_id", F.col("instance"))
     cells = p.where("instance % 7 <> 0").select("scene_id", "grid_id").distinct()

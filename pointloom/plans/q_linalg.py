@@ -75,6 +75,12 @@ def _(t):
     return rounded(L.projection_quality(d))
 
 
+@query("j8_rotation_quality", "select count(*) n, round(avg(d),6) before, true better from (select f.point_id, sum((f.v-c.v)*(f.v-c.v)) d from long_features f join class_vectors c on c.label=f.segment and c.pos=f.pos group by 1) q")
+def _(t):
+    r = L.procrustes(t.features, view_feats(t))
+    return rounded(L.rotation_quality(t.features, view_feats(t), r).select("n", "before", (F.col("after") <= F.col("before")).alias("better")))
+
+
 @query("j8_procrustes")
 def _(t):
     r = L.procrustes(t.features, view_feats(t))
@@ -85,11 +91,16 @@ MEANS = "(select segment, pos, avg(v) m, var_pop(v) s from long_features group b
 
 
 @query("j9_separability", f"""with c as (select a.segment a, b.segment b, sum(a.m*b.m)/sqrt(sum(a.m*a.m)*sum(b.m*b.m)) c from {MEANS} a join {MEANS} b on a.pos=b.pos and a.segment<>b.segment group by 1,2), k as (select *, row_number() over (partition by a order by c desc, b) rn from c)
-    select a segment, b nearest, round(c,6)+0 cos, round(spread,6) spread from k join (select segment, sqrt(sum(s)) spread from {MEANS} m group by 1) p on p.segment=k.a where rn=1""")
+    select a segment, b nearest, round(c,6)+0 cos, round(spread,6) spread, round(between_,6) "between", round(between_/spread,6) ratio from k join (select x.a segment, avg(x.d) between_ from (select a.segment a, b.segment b, sqrt(sum((a.m-b.m)*(a.m-b.m))) d from {MEANS} a join {MEANS} b on a.pos=b.pos and a.segment<>b.segment group by 1,2) x group by 1) w on w.segment=k.a join (select segment, sqrt(sum(s)) spread from {MEANS} m group by 1) p on p.segment=k.a where rn=1""")
 def _(t):
     return rounded(L.separability(t.features))
 
 
+@query("j9_centroid_cosines", f"select a.segment a, b.segment b, round(sum(a.m*b.m)/sqrt(sum(a.m*a.m)*sum(b.m*b.m)),6)+0 cos from {MEANS} a join {MEANS} b on a.pos=b.pos and a.segment<b.segment group by 1,2")
+def _(t):
+    return rounded(L.centroid_cosines(t.features))
+
+
 @query("j10_silhouette", """with p as (select a.point_id, a.segment, b.segment c, b.point_id o, 1-sum(a.v*b.v)/sqrt(sum(a.v*a.v)*sum(b.v*b.v)) d from long_features a join long_features b on a.pos=b.pos and a.point_id<>b.point_id group by 1,2,3,4), m as (select point_id, segment, c, avg(d) d from p group by 1,2,3),
     s as (select point_id, max(case when c=segment then d end) a, min(case when c<>segment then d end) b from m group by 1) select count(*) n, round(avg(case when a is null then 0 else (b-a)/greatest(a,b) end),6)+0 silhouette from s""")
 def _(t):
@@ -109,6 +120,22 @@ def _(t):
     return rounded(L.jm_histogram(t.features.withColumn("feat", F.transform("feat", lambda v, i: v * (1 + i % 3)))))
 
 
+JM_AXES = """, e as (select axis, quantile_cont(x,0.001) lo, quantile_cont(x,0.999) hi from x group by 1), b as (select x.axis, segment, least(floor((x-lo)/greatest(hi-lo,1e-12)*31),30) bin, count(*) n from x join e on e.axis=x.axis where x between lo and hi group by 1,2,3),
+    p as (select axis, segment, bin, n/sum(n) over (partition by axis, segment) p from b), k as (select distinct axis, segment from p), s as (select a.axis, a.segment a, b.segment b, sum(sqrt(a.p*b.p)) c from p a join p b on a.axis=b.axis and a.bin=b.bin and a.segment<b.segment group by 1,2,3),
+    j as (select a.segment a, b.segment b, coalesce(c,0) c, 2*(1-coalesce(c,0)) jm from k a join k b on a.axis=b.axis and a.segment<b.segment left join s on s.axis=a.axis and s.a=a.segment and s.b=b.segment)
+    select a, b, round(avg(jm),6)+0 jm, round(exp(avg(ln(greatest(jm,1e-12)))),6)+0 geometric, round(2*(1-exp(sum(ln(greatest(c,1e-12))))),6)+0 product from j group by 1,2"""
+
+
+@query("j12_jm_dimensions", "with x as (select segment, pos axis, v x from long_features)" + JM_AXES)
+def _(t):
+    return rounded(L.jm_histogram(t.features, mode="dimensions"))
+
+
+@query("j12_jm_projections", "with x as (select point_id, segment, axis, sum(v*(2*cast('0x' || substr(md5('0|' || axis || '|' || pos),1,8) as bigint)/4294967296e0-1)) x from long_features, (select unnest(range(8)) axis) r group by 1,2,3)" + JM_AXES)
+def _(t):
+    return rounded(L.jm_histogram(t.features, mode="projections"))
+
+
 @query("j13_cross_scene_similarity", "select a.segment, a.scene_id a, b.scene_id b, round(sum(a.v*b.v)/(count(*)/64e0),6)+0 cos from (select *, v/sqrt(sum(v*v) over (partition by point_id)) u from long_features) a0, long_features a join long_features b on a.pos=b.pos group by 1,2,3".replace("from (select *, v/sqrt(sum(v*v) over (partition by point_id)) u from long_features) a0, long_features a join long_features b on a.pos=b.pos group by 1,2,3", "from u a join u b on a.segment=b.segment and a.pos=b.pos and a.scene_id<b.scene_id group by 1,2,3").replace("select a.segment", "with u as (select point_id, scene_id, segment, pos, v/sqrt(sum(v*v) over (partition by point_id)) v from long_features) select a.segment", 1))
 def _(t):
     return rounded(L.cross_scene_similarity(t.features))

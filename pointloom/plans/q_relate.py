@@ -507,7 +507,9 @@ def _(t):
 
 @query("k22_collapse_check", """with b as (select point_id, pos, v*0.9+0.01*pos*case when point_id % 2 = 0 then 1e0 else -1e0 end v from long_features), g as (select a.point_id, max(abs(a.v-b.v)) m, avg(abs(a.v-b.v)) l from long_features a join b on a.point_id=b.point_id and a.pos=b.pos group by 1),
     u as (select pos, v/sqrt(sum(v*v) over (partition by point_id)) v from long_features), s as (select pos, sum(v) s, count(*) k from u group by 1)
-    select count(*) n, round(max(m),6) largest, round(avg(l),6) mean, round(avg(case when m<=1e-6 then 1e0 else 0 end),6) equal, (select round((sum(s*s)-max(k))/(max(k)*(max(k)-1e0)),6)+0 from s) pair_cosine from g""")
+    select count(*) n, round(max(m),6) largest, round(avg(l),6) mean, round(avg(case when m<=1e-6 then 1e0 else 0 end),6) equal, (select round((sum(s*s)-max(k))/(max(k)*(max(k)-1e0)),6)+0 from s) pair_cosine,
+    (select avg(case when c >= 0.95 then 1e0 else 0 end) from (select a.point_id, sum(a.v*b.v)/greatest(sqrt(sum(a.v*a.v))*sqrt(sum(b.v*b.v)),1e-12) c from (select point_id, lead(point_id) over (partition by substr(md5(cast(point_id as varchar)),1,2) order by md5(cast(point_id as varchar))) o from (select distinct point_id from long_features) i) p
+    join long_features a on a.point_id=p.point_id join long_features b on b.point_id=p.o and a.pos=b.pos group by 1) w) alike_pairs from g""")
 def _(t):
     return rounded(E.collapse_check(t.features, features_b(t)))
 

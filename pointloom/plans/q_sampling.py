@@ -112,6 +112,14 @@ def _(t):
     return S.sample_cells(t.points, 2.0, 0.2, 0.8).select("point_id")
 
 
+@query("g6_sample_modes", f"""with a as (select *, count(*) over (partition by scene_id, cx, cy, cz) n, row_number() over (partition by scene_id, cx, cy, cz order by {DRAW}, point_id) at_ from {IN_CELLS} a)
+    select 'single' mode, point_id from a where at_ = 1 union all select 'dense', point_id from a union all select 'half', point_id from a where at_ <= greatest(1, floor(n*0.5e0))""")
+def _(t):
+    named = lambda mode, d: d.select(F.lit(mode).alias("mode"), "point_id")
+    d = named("single", S.sample_cells(t.points, 2.0, mode="single")).unionByName(named("dense", S.sample_cells(t.points, 2.0, mode="dense")))
+    return d.unionByName(named("half", S.sample_cells(t.points, 2.0, 0.5, 0.5)))
+
+
 @query("g7_dropout", f"select point_id from points where cast('0x' || substr({DRAW},1,8) as bigint)/4294967296e0 >= 0.3 or segment = 5")
 def _(t):
     return S.dropout(t.points, 0.3, 0, F.col("segment") == 5).select("point_id")
@@ -175,9 +183,13 @@ def _(t):
     return S.shuffle(t.points).select("scene_id", "point_id", F.col("place").cast("long").alias("place"))
 
 
-@query("g18_sphere_cover")
+@query("g18_sphere_cover", "select scene_id, count(*) points, 0 odd_crops from points group by 1")
 def _(t):
-    return S.sphere_cover(t.points, max(1000, t.points.count() // 24), 64).groupBy("scene_id").agg(F.count_distinct("point_id").alias("points"))
+    """Every point is in a crop, and every crop has as many points as it should."""
+    d = S.sphere_cover(t.points, 2500)
+    n = t.points.groupBy("scene_id").agg(F.least(F.count("*"), F.lit(2500)).alias("due"))
+    odd = d.groupBy("scene_id", "crop").agg(F.count("*").alias("n")).join(n, "scene_id").groupBy("scene_id").agg(F.count_if(F.col("n") != F.col("due")).cast("int").alias("odd_crops"))
+    return d.groupBy("scene_id").agg(F.count_distinct("point_id").alias("points")).join(odd, "scene_id")
 
 
 @query("h1_fuse_frames", f"select scene_id, cx, cy, cz, count(*) n, round(avg(x),9) x, round(avg(y),9) y, round(avg(z),9) z from (select *, {CELLS} from (select scene_id, x, y, z from points union all select scene_id, x, y, z from ref_points) a) b group by 1,2,3,4")

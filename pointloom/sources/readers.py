@@ -27,6 +27,39 @@ def files(spark: SparkSession, path: str, pattern: str, content: bool = True) ->
     return d if content else d.select("path", "modificationTime", "length")
 
 
+def write_files(df: DataFrame, path: str, keys, render) -> None:
+    """One or more files per group of ``keys``: ``render`` gives (name below ``path``, bytes) for a group's rows. Tasks write
+    them where the session's files are; a group has to fit one task, as its file has to fit one reader."""
+    from pyarrow import fs
+
+    base = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        store, root = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+        n = 0
+        for name, raw in render(d):
+            store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(raw)
+            n += 1
+        return pd.DataFrame({"files": [n]})
+
+    df.groupBy(*keys).applyInPandas(run, "files int").agg(F.sum("files")).collect()
+
+
+def array_bytes(values) -> bytes:
+    """An array file."""
+    out = io.BytesIO()
+    np.save(out, np.asarray(values), allow_pickle=False)
+    return out.getvalue()
+
+
+def ply_bytes(d: pd.DataFrame) -> bytes:
+    """A binary vertex file with one double per column."""
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex %d\n%send_header\n" % (len(d), "".join(f"property double {c}\n" for c in d.columns))
+    return head.encode("ascii") + np.ascontiguousarray(d.to_numpy(dtype="<f8")).tobytes()
+
+
 def ingest_arrays(spark: SparkSession, path: str, attributes) -> DataFrame:
     """Scenes stored as folders of one array file per attribute (row i of each is point i): scene, row, and one array column
     per attribute. All files of all scenes are one job; attributes meet by (scene, row)."""
