@@ -112,7 +112,7 @@ def _(t):
 @query("a8_write_chunks", f"{CHUNK} select m.scene_id, chunk_id, count(*) n, 'train_grid2.0_chunk12.0x12.0_stride6.0x6.0' folder from m join k on m.scene_id=k.scene_id and m.wx=k.wx and m.wy=k.wy where chunk_id < 12 group by 1,2")
 def _(t):
     out = readers.write_chunks(S.chunk(t.points, 12.0, 6.0, 100, 12), folder(t, "chunks"), 12.0, 6.0, 2.0, "train")
-    d = t.spark.read.parquet(out).groupBy("scene_id", "chunk_id").agg(F.count("*").alias("n"))
+    d = t.spark.read.schema("point_id long, wx long, wy long, scene_id int, chunk_id int").parquet(out).groupBy("scene_id", "chunk_id").agg(F.count("*").alias("n"))
     return d.select("scene_id", F.col("chunk_id").cast("long").alias("chunk_id"), "n", F.lit(out.rsplit("/", 1)[-1]).alias("folder"))
 
 
