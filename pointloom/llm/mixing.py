@@ -5,8 +5,8 @@ the tokens of the whole corpus; a source gives at most ``max_repeats`` times its
 again by weight. A source's schedule is integrated to its cumulative token demand; a document stands where that demand
 reaches the tokens before it, so inverting the demand gives its training position. The result is range-sorted by position.
 
-Inside a source, documents are dealt in the order of a hash. Their running token sums are built from sums over
-``N_BUCKETS`` hash buckets, so one hot source is spread over as many tasks. All of it is DataFrame operations.
+Inside a source, documents are dealt in the order of a hash, md5, which any engine has. Their running token sums are built
+from sums over buckets of equal first digits, so one hot source is spread over as many tasks. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pointloom.llm.common import let, numbered, scratch, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-N_BUCKETS = 4096
+#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets a source.
+BUCKET_DIGITS = 3
 #: (time, rate) knots by slot, joined by straight lines: the first slot fades out, the last fades in.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
     """
     spark = docs.sparkSession
     sized = written(
-        docs.select("doc_id", *carry, "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 64 - (N_BUCKETS - 1).bit_length()).cast("int")),
+        docs.select("doc_id", *carry, "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, BUCKET_DIGITS), 16, 10).cast("int")),
         "mix-sizes",
     )
     buckets = written(sized.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")

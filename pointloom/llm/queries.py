@@ -11,7 +11,7 @@ from pointloom.llm.common import documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_quality_rules, op4_lm_score, op5_licences, op6_nearest, op7_token_counts, op8_secrets, op9_near_dups, op10_bpe)}
-ORACLES: dict[str, str] = {}
+#: Targets by the level at which sources run full, documents in the order of their hash, positions by the inverse of each
+#: slot's one straight piece.
+MIX_SQL = r"""with d as (select doc_id, source, coalesce('=' || source, '') skey, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size, md5('17|' || coalesce(cast(doc_id as varchar), '')) h from documents),
+    s as (select skey, source, cast(sum(size) as bigint) source_size from d group by 1, 2), w as (select *, (row_number() over (order by source nulls last) - 1) % 3 slot from s),
+    f as (select *, case slot when 0 then 5e0 when 1 then 2e0 else 1e0 end weight, 3e0 * source_size cap from w), g as (select *, cap / weight fill from f),
+    l as (select *, (cast(sum(source_size) over () as double) - coalesce(sum(cap) over (order by fill, skey rows between unbounded preceding and 1 preceding), 0))
+        / (sum(weight) over () - coalesce(sum(weight) over (order by fill, skey rows between unbounded preceding and 1 preceding), 0)) level from g),
+    k as (select (select level from l where level <= fill order by fill, skey limit 1) level), t as (select l.skey, source_size, slot, coalesce(least(cap, weight * k.level), cap) target from l, k),
+    o as (select doc_id, size, source_size, slot, target, cast(round(target) as bigint) goal, cast(coalesce(sum(size) over (partition by d.skey order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) ahead from d join t on t.skey = d.skey),
+    p as (select *, greatest(0, least(size, goal - ahead)) a, greatest(0, least(size, goal - source_size - ahead)) b, greatest(0, least(size, goal - 2 * source_size - ahead)) c,
+        case slot when 0 then 1.5e0 when 1 then 1e0 else 0.5e0 end r0, case slot when 0 then -1e0 when 1 then 0e0 else 1e0 end slope, cast(ahead as double) / greatest(goal, 1) need from o)
+    select doc_id, size, source_size, target, cast(a + b + c as bigint) taken,
+        case when a > 0 then round(least(case when need <= 0 then 0e0 else 2 * need / (r0 + sqrt(greatest(r0 * r0 + 2 * slope * need, 0))) end, 1), 9) end position from p"""
+#: Every pair of documents that shares a shingle, and all that links lead to.
+NEAR_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+    s as (select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) = 1 then w else list_distinct([w[i] || ' ' || w[i+1] for i in range(1, len(w))]) end s from w),
+    n as (select doc_id, cast(len(s) as bigint) n from s), e as (select doc_id, hash(x) x from (select doc_id, unnest(s) x from s) q),
+    p as (select a.doc_id a, b.doc_id b, count(*) k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+    l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)), t as (select a, b from l union all select b, a from l),
+    r as (select doc_id, doc_id c from n union select r.doc_id, t.b from r join t on r.c = t.a), m as (select doc_id, min(c) component_id from r group by 1)
+    select n.doc_id, n.n n_shingles, m.component_id, n.doc_id = m.component_id kept from n join m on m.doc_id = n.doc_id"""
+#: The other queries return learned models' results, hashes of tokens or positions of pattern matches.
+ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_near_dups": NEAR_SQL}
