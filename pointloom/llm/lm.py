@@ -5,8 +5,8 @@ dealt into classes of equal count mass, and every other word is one unknown word
 count. So the model is a distribution over all texts. The recurrent network is gated (update and reset gate), its softmax is
 factored into class and word in class, and its output biases start from the corpus counts.
 
-Training: every round reads all words of all training documents. Documents are dealt at random over tasks; a task reads many
-side by side, each in windows of ``STRETCH`` words from its start to its end, the state carried from window to window. Every
+Training is one pass over all words of all training documents, in ``ROUNDS`` rounds that take a share of the documents each.
+Documents are dealt at random over rounds and tasks; a task reads many side by side, each in windows of ``STRETCH`` words from its start to its end, the state carried from window to window. Every
 window is one truncated back-propagation step in numpy from common weights, and the weighted mean of all tasks' weights starts
 the next round. Scoring: documents of an Arrow batch are packed into lanes that advance together; windows follow each
 other with the state carried over, and a document starts from the empty state wherever it stands in its lane.
@@ -38,6 +38,8 @@ STRETCH = 24
 ROUNDS = 2
 LANES = 384
 WINDOW = 32
+#: Words whose class softmax is laid out at once.
+SLICE = 2048
 #: Documents that a task trains on side by side.
 TRAIN_LANES = 192
 #: Training words that one task takes, about; tasks grow with the corpus.
@@ -97,9 +99,11 @@ class Lexicon:
         known = counts[:n_model]
         rest = total - known.sum()
         mass = np.append(known, rest) + 0.5
-        # classes of about equal mass, ids in order of count
-        edges = np.searchsorted(np.cumsum(mass) / mass.sum(), np.arange(1, CLASSES) / CLASSES)
-        limit = np.concatenate(([0], np.maximum.accumulate(edges + 1), [n_model + 1]))
+        # ids in order of count, dealt by equal sums of roots of mass: this makes a word's two softmaxes shortest on average;
+        # the unknown word is a class of its own
+        roots = np.cumsum(np.sqrt(mass[:n_model]))
+        edges = np.searchsorted(roots / max(roots[-1:], default=1.0), np.arange(1, CLASSES) / CLASSES)
+        limit = np.concatenate(([0], np.maximum.accumulate(edges + 1), [n_model, n_model + 1]))
         first = np.unique(np.minimum(limit, n_model + 1))
         wide: list[int] = []
         for a, b in zip(first, first[1:]):  # none larger than needed for a short softmax
@@ -116,6 +120,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def shifted(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits less a shift that keeps their exponentials finite. States lie within -1 and 1, so weights bound the logits: if
+    the bounds are close, all rows take the same shift, else each takes its own maximum."""
+    reach = np.abs(weights).sum(0)
+    top = (bias + reach).max()
+    out = states @ weights
+    if top - (bias - reach).max() < 60:
+        out += bias - top
+    else:
+        out += bias
+        out -= out.max(axis=1, keepdims=True)
+    return out
+
+
 class Recurrent:
     """The network. ``params`` is a list of float32 arrays: input table (word x 3H, the projected embeddings), recurrent
     weights (H x 3H), class weights and biases, word weights and biases."""
@@ -143,27 +165,32 @@ class Recurrent:
     def log_probs(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log probability of each word after its state: class, then word in class, class by class."""
         lex, (_, _, wc, bc, ww, bw) = self.lex, self.params
-        logits = states @ wc
-        logits += bc
-        cls = lex.cls[words]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(len(words)), cls]
-        np.exp(logits, out=logits)
-        out = picked - np.log(logits.sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(lex.first)))
-        for k in np.flatnonzero(np.diff(ends)):
-            at = order[ends[k] : ends[k + 1]]
-            a, b = lex.first[k], lex.first[k + 1]
-            if b - a > 1:
-                inner = states[at] @ ww[a:b].T
-                inner += bw[a:b]
-                inner -= inner.max(axis=1, keepdims=True)
-                own = inner[np.arange(len(at)), words[at] - a]
-                np.exp(inner, out=inner)
-                out[at] += own - np.log(inner.sum(axis=1))
+        order = np.argsort(words, kind="stable")
+        states, words = states[order], words[order]
+        cls, sums, logp = lex.cls[words], np.empty(len(words), wc.dtype), np.empty(len(words), wc.dtype)
+        for at in range(0, len(words), SLICE):
+            part = slice(at, at + SLICE)
+            logits = shifted(states[part], wc, bc)
+            logp[part] = logits[np.arange(len(logits)), cls[part]]
+            np.exp(logits, out=logits)
+            sums[part] = logits @ ones(logits.shape[1])
+        logp -= np.log(sums)
+        for lo, hi, a, b in self.runs(words):
+            inner = shifted(states[lo:hi], ww[a:b].T, bw[a:b])
+            logp[lo:hi] += inner[np.arange(hi - lo), words[lo:hi] - a]
+            np.exp(inner, out=inner)
+            logp[lo:hi] -= np.log(inner @ ones(b - a))
+        out = np.empty(len(words), wc.dtype)
+        out[order] = logp
         return out
 
+    def runs(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Of ascending words, where each class with more than one word begins and ends; its first id and the next one's."""
+        first = self.lex.first
+        ends = np.searchsorted(words, first)
+        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(first) > 1)):
+            yield int(ends[k]), int(ends[k + 1]), int(first[k]), int(first[k + 1])
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document (ids that end with the end word). Lanes are filled evenly, longest
         documents first; each lane reads its documents one after the other."""
@@ -243,34 +270,28 @@ class Recurrent:
             state[:] = h
         s, y = np.concatenate(states), x.T.ravel()
         real = slice(None) if sizes is None or (sizes == steps).all() else np.flatnonzero((np.arange(steps)[:, None] < sizes).ravel())
-        s, y = s[real], y[real]
+        place = np.arange(len(y)) if isinstance(real, slice) else real
+        place = place[np.argsort(y[real], kind="stable")]  # by word, so by class too
+        s, y = s[place], y[place]
         scale = np.float32(1 / max(len(y), least))
-        logits = s @ wc + bc
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        cls = lex.cls[y]
-        loss = -np.log(p[np.arange(len(y)), cls]).sum()
-        p[np.arange(len(y)), cls] -= 1
-        p *= scale
-        grads = [None, np.zeros_like(rec), s.T @ p, p.sum(0), np.zeros_like(ww), np.zeros_like(bw)]
-        ds = p @ wc.T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(lex.first)))
-        for k in np.flatnonzero(np.diff(ends)):
-            at, a, b = order[ends[k] : ends[k + 1]], lex.first[k], lex.first[k + 1]
-            if b - a > 1:
-                inner = s[at] @ ww[a:b].T + bw[a:b]
-                q = np.exp(inner - inner.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                rows = np.arange(len(at))
-                loss -= np.log(q[rows, y[at] - a]).sum()
-                q[rows, y[at] - a] -= 1
-                q *= scale
-                grads[4][a:b] += q.T @ s[at]
-                grads[5][a:b] += q.sum(0)
-                ds[at] += q @ ww[a:b]
+        cls, loss = lex.cls[y], 0.0
+        grads = [None, np.zeros_like(rec), np.zeros_like(wc), np.zeros_like(bc), np.zeros_like(ww), np.zeros_like(bw)]
+        ds = np.empty_like(s)
+        for at in range(0, len(y), SLICE):
+            part = slice(at, at + SLICE)
+            p, picked = self.error(s[part], wc, bc, cls[part], scale)
+            loss -= picked
+            grads[2] += s[part].T @ p
+            grads[3] += ones(len(p)) @ p
+            ds[part] = p @ wc.T
+        for lo, hi, a, b in self.runs(y):
+            q, picked = self.error(s[lo:hi], ww[a:b].T, bw[a:b], y[lo:hi] - a, scale)
+            loss -= picked
+            grads[4][a:b] = q.T @ s[lo:hi]
+            grads[5][a:b] = ones(hi - lo) @ q
+            ds[lo:hi] += q @ ww[a:b]
         spread = np.zeros((steps * size, n), ds.dtype)
-        spread[real] = ds
+        spread[place] = ds
         ds = spread.reshape(steps, size, n)
         dh = np.zeros((size, n), np.float32)
         da = np.empty((steps, size, 3 * n), np.float32)
@@ -284,12 +305,23 @@ class Recurrent:
             du = np.concatenate([dz, dr, dnew * r], axis=1)
             grads[1] += h0.T @ du
             dh = dh * z + du @ rec.T + ds[t]
-        by_word = np.argsort(y, kind="stable")
-        used, begins = np.unique(y[by_word], return_index=True)
-        grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[real][by_word], begins)
+        used, begins = np.unique(y, return_index=True)
+        grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[place], begins)
         self.update(grads, used, rate)
         return loss / len(y)
 
+    @staticmethod
+    def error(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple[np.ndarray, float]:
+        """What a softmax gives too much to each outcome, times ``scale``, and the sum of the log probabilities of the own ones."""
+        p = shifted(states, weights, bias)
+        rows = np.arange(len(p))
+        picked = p[rows, own]
+        np.exp(p, out=p)
+        sums = p @ ones(p.shape[1])
+        p *= (scale / sums)[:, None]
+        p[rows, own] -= scale
+        return p, float((picked - np.log(sums)).sum(dtype=np.float64))
+
     def update(self, grads: list[np.ndarray], used: np.ndarray, rate: float) -> None:
         """Adaptive steps on clipped gradients; of the input table only the rows in use are touched."""
         if not hasattr(self, "squares"):
@@ -330,7 +362,7 @@ def model_words(docs: DataFrame, shared) -> DataFrame:
 
 
 def fit(docs: DataFrame, shared, lex: Lexicon, rounds: int = ROUNDS) -> Recurrent:
-    """The network after ``rounds`` of training over all words of all training documents. What comes back from a round is one
+    """The network after one pass over all words of all training documents, dealt over ``rounds``. What comes back from a round is one
     sum of weights, added up in Spark by blocks; its size is that of the network."""
     spark = docs.sparkSession
     net = Recurrent(lex)
@@ -352,10 +384,13 @@ def fit(docs: DataFrame, shared, lex: Lexicon, rounds: int = ROUNDS) -> Recurren
                 parts = [flat[i : i + block] for i in range(0, len(flat), block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["block", "seen", "weights"])
 
-        parts = dealt.mapInArrow(run, "block int, seen long, weights array<double>")
+        mine = dealt.where(F.pmod(F.xxhash64("row", F.lit(rounds)), F.lit(rounds)) == turn)
+        parts = mine.mapInArrow(run, "block int, seen long, weights array<double>")
         # tasks send blocks; equal blocks meet and are added up as they arrive
         summed = parts.groupBy("block").applyInArrow(add_blocks, "block int, seen long, weights array<double>")
         rows = sorted(summed.collect())
+        if not rows:  # a tiny corpus may have no document in this round
+            continue
         net.load(np.concatenate([np.array(r.weights) / r.seen for r in rows]))
         start.unpersist()
     return net
