@@ -42,6 +42,8 @@ WINDOW = 32
 SLICE = 2048
 #: Documents that a task trains on side by side.
 TRAIN_LANES = 192
+#: Documents of as many words begin first in their task.
+LONG = 2000
 #: Training words that one task takes, about; tasks grow with the corpus.
 TASK_WORDS = 2_000_000
 
@@ -370,8 +372,10 @@ def fit(docs: DataFrame, shared, lex: Lexicon, rounds: int = ROUNDS) -> Recurren
     n = data.agg(F.sum(F.size("ids"))).first()[0]
     if not n:
         return net
-    # dealt by row, so that a text that occurs often goes to many tasks
-    dealt = written(data.repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")), "lm-dealt")
+    # dealt by row, so that a text that occurs often goes to many tasks; long documents come first, lest they go on in few lanes
+    # when the others are done
+    dealt = data.repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")).sortWithinPartitions(F.size("ids") < LONG, F.xxhash64("row", F.lit(1)))
+    dealt = written(dealt, "lm-dealt")
     block = 1 << 14
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.flat())
