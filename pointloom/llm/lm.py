@@ -15,13 +15,13 @@ other with the state carried over, and a document starts from the empty state wh
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,30 +48,32 @@ LONG = 2000
 TASK_WORDS = 2_000_000
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z made small, then the end."""
-    out = text.lower().split() if text else []
-    out.append(END)
-    return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, A-Z made small, of all texts one after the other, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.list_flatten(split).cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)  # space at either end of a text, or no text at all, leaves an empty word
+    owner = np.repeat(np.arange(len(sizes)), sizes)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(sizes))
+
+
+def placed(words: pa.Array, sizes: np.ndarray, known: pa.Array, end: int) -> np.ndarray:
+    """Place of each word in ``known``, -1 for others, and after each text's words ``end``."""
+    ids = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.insert(ids, np.cumsum(sizes), end)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all training documents. Tasks add up what they read, a bounded table at a time, so the shuffle moves
-    about one row per task and word."""
+    """(word, n) over all training documents. Tasks count each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
         for batch in batches:
-            for text, held in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-                if not held.as_py():
-                    count.update(tokens(text.as_py()))
-            if len(count) > 600_000:
-                yield as_batch(count)
-                count = Counter()
-        yield as_batch(count)
-
-    def as_batch(count: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            batch = batch.filter(pc.invert(batch.column(1)))
+            counts = pc.value_counts(words_of(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["word", "n"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
 
     return docs.select("text", held_out()).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -94,6 +96,10 @@ class Lexicon:
     denominator: float
     rest_mass: float
 
+    def model_end(self) -> int:
+        """The end word as the model knows it."""
+        return min(self.ids.get(END, self.n_model), self.n_model)
+
     @classmethod
     def of(cls, top: list[tuple[bytes, int]], total: int, distinct: int) -> Lexicon:
         counts = np.array([n for _, n in top], dtype=np.float64)
@@ -351,30 +357,28 @@ def model_words(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        get, unknown = lex.ids.get, lex.n_model
+        known, end = pa.array(list(lex.ids)[: lex.n_model], pa.binary()), lex.model_end()
         for batch in batches:
-            rows, ids = [], []
-            for row, text, held in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
-                if not held.as_py():
-                    rows.append(row.as_py())
-                    ids.append(np.minimum([get(w, unknown) for w in tokens(text.as_py())], unknown).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+            batch = batch.filter(pc.invert(batch.column(2)))
+            words, sizes = words_of(batch.column(1))
+            ids = placed(words, sizes, known, end)
+            ids[ids < 0] = lex.n_model
+            limits = np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(limits), pa.array(ids.astype(np.int32)))], names=["row", "ids"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "text", held_out()).mapInArrow(run, "row long, ids array<int>")
 
 
-def fit(docs: DataFrame, shared, lex: Lexicon, rounds: int = ROUNDS) -> Recurrent:
-    """The network after ``rounds`` of training over all words of all training documents. What comes back from a round is one
+def fit(docs: DataFrame, shared, lex: Lexicon, n: int, rounds: int = ROUNDS) -> Recurrent:
+    """The network after ``rounds`` of training over all ``n`` words of all training documents. What comes back from a round is one
     sum of weights, added up in Spark by blocks; its size is that of the network."""
     spark = docs.sparkSession
     net = Recurrent(lex)
-    data = written(model_words(docs, shared), "lm-words")
-    n = data.agg(F.sum(F.size("ids"))).first()[0]
     if not n:
         return net
     # dealt by row, so that a text that occurs often goes to many tasks; long documents come first, lest they go on in few lanes
     # when the others are done
-    dealt = data.repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")).sortWithinPartitions(F.size("ids") < LONG, F.xxhash64("row", F.lit(1)))
+    dealt = model_words(docs, shared).repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")).sortWithinPartitions(F.size("ids") < LONG, F.xxhash64("row", F.lit(1)))
     dealt = written(dealt, "lm-dealt")
     block = 1 << 14
     for turn in range(rounds):
@@ -407,6 +411,14 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([seen], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["block", "seen", "weights"])
 
 
+def rare_words(words: pa.Array, sizes: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> pa.MapArray:
+    """Of each text the words without a place, the end included, and how often it holds them."""
+    with_ends = pc.take(pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.insert(np.arange(len(words)), np.cumsum(sizes), len(words))[ids < 0]))
+    table = pa.table({"owner": owner[ids < 0], "word": with_ends}).group_by(["owner", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("owner")
+    limits = np.searchsorted(table["owner"].to_numpy(), np.arange(n + 1)).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(limits), table["word"].combine_chunks(), table["count_all"].combine_chunks().cast(pa.int32()))
+
+
 def top_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words, at most ``most``: those above the count from which so many are left. How many words have a
     count is summed in Spark, so no more than the words asked for reach the driver; words of equal count come or go together."""
@@ -430,29 +442,23 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lex = Lexicon.of(top_words(counts, TOP_WORDS), total, distinct)
     shared = spark.sparkContext.broadcast(lex)
     with scratch(spark):  # the training words go when the network is there
-        net = spark.sparkContext.broadcast(fit(docs, shared, lex, rounds).flat())
+        net = spark.sparkContext.broadcast(fit(docs, shared, lex, total, rounds).flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         model = Recurrent(lex).load(net.value)
-        get, unknown = lex.ids.get, lex.n_model
+        known, end, unknown = pa.array(list(lex.ids), pa.binary()), lex.ids.get(END, -1), lex.n_model
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                docs_, sizes, known, base, rest, rare = [], [], [], [], [], []
-                for text in batch.column(2).cast(pa.binary()):
-                    words = tokens(text.as_py())
-                    ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-                    hit = ids[ids >= 0]
-                    sizes.append(len(words))
-                    known.append(len(hit))
-                    base.append(float(lex.log_base[hit].sum()))
-                    rest.append(float(lex.log_rest[hit].sum()))
-                    rare.append(list(Counter([words[i] for i in np.flatnonzero(ids < 0)]).items()))
-                    docs_.append(np.where((ids < 0) | (ids > unknown), unknown, ids).astype(np.int32))
-                logp = model.score(docs_) / math.log(10)
+                n = batch.num_rows
+                words, sizes = words_of(batch.column(2))
+                ids, owner = placed(words, sizes, known, end), np.repeat(np.arange(n), sizes + 1)
+                hit, own = ids[ids >= 0], owner[ids >= 0]
+                sums = [np.bincount(own, weights=table[hit], minlength=n).astype(np.float64) for table in (np.ones(len(known)), lex.log_base, lex.log_rest)]
+                logp = model.score(np.split(np.where((ids < 0) | (ids > unknown), unknown, ids).astype(np.int32), np.cumsum(sizes + 1)[:-1])) / math.log(10)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(logp + np.array(rest)), pa.array(rare, pa.map_(pa.binary(), pa.int32()))],
+                    [batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(logp + sums[2]), rare_words(words, sizes, ids, owner, n)],
                     names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare"],
                 )
 
