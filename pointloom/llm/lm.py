@@ -5,8 +5,8 @@ dealt into classes of equal count mass, and every other word is one unknown word
 count. So the model is a distribution over all texts. The recurrent network is gated (update and reset gate), its softmax is
 factored into class and word in class, and its output biases start from the corpus counts.
 
-Training: every round reads all words of all training documents. Documents are dealt at random over tasks; a task reads many
-side by side, each in windows of ``STRETCH`` words from its start to its end, the state carried from window to window. Every
+Training: one pass reads all words of all training documents. Documents are dealt at random over rounds and tasks; a task reads
+many side by side, each in windows of ``STRETCH`` words or more from its start to its end, the state carried from window to window. Every
 window is one truncated back-propagation step in numpy from common weights, and the weighted mean of all tasks' weights starts
 the next round. Scoring: documents of an Arrow batch are packed into lanes that advance together; windows follow each
 other with the state carried over, and a document starts from the empty state wherever it stands in its lane.
@@ -31,8 +31,8 @@ from pointloom.llm.common import scratch, written
 END = b""
 #: Words that every task holds with their counts (the bound on what is broadcast), and those the network knows.
 TOP_WORDS = 120_000
-MODEL_WORDS = 4096
-CLASSES = 64
+MODEL_WORDS = 2048
+CLASSES = 32
 HIDDEN = 24
 STRETCH = 24
 ROUNDS = 2
@@ -40,11 +40,14 @@ LANES = 384
 WINDOW = 32
 #: Words whose class softmax is laid out at once.
 SLICE = 2048
-#: Documents that a task trains on side by side.
+#: Documents that a task trains on side by side at most, and the steps that it is to take at least: with few words it trains on
+#: fewer documents at once. When fewer documents are left than that, their windows get longer instead, up to so many times.
 TRAIN_LANES = 192
+STEPS = 400
+LONGER = 16
 #: Documents of as many words begin first in their task.
 LONG = 2000
-#: Training words that one task takes, about; tasks grow with the corpus.
+#: Training words that one task takes in a round, about; tasks grow with the corpus.
 TASK_WORDS = 2_000_000
 
 
@@ -132,16 +135,18 @@ def ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
+def with_ones(states: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which meets the biases."""
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
 def shifted(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits less a shift that keeps their exponentials finite. States lie within -1 and 1, so weights bound the logits: if
-    the bounds are close, all rows take the same shift, else each takes its own maximum."""
+    """Logits of states ``with_ones`` less a shift that keeps their exponentials finite. States lie within -1 and 1, so weights
+    bound the logits: if the bounds are close, all rows take the same shift, else each takes its own maximum."""
     reach = np.abs(weights).sum(0)
     top = (bias + reach).max()
-    out = states @ weights
-    if top - (bias - reach).max() < 60:
-        out += bias - top
-    else:
-        out += bias
+    out = states @ np.concatenate([weights, (bias - top)[None]])
+    if top - (bias - reach).max() >= 60:
         out -= out.max(axis=1, keepdims=True)
     return out
 
@@ -174,7 +179,7 @@ class Recurrent:
         """Natural log probability of each word after its state: class, then word in class, class by class."""
         lex, (_, _, wc, bc, ww, bw) = self.lex, self.params
         order = np.argsort(words, kind="stable")
-        states, words = states[order], words[order]
+        states, words = with_ones(states[order]), words[order]
         cls, sums, logp = lex.cls[words], np.empty(len(words), wc.dtype), np.empty(len(words), wc.dtype)
         for at in range(0, len(words), SLICE):
             part = slice(at, at + SLICE)
@@ -240,23 +245,25 @@ class Recurrent:
             out += np.bincount(own[real], weights=logp, minlength=len(docs))
         return out
 
-    def read(self, docs: Iterator[np.ndarray], rate: float = 0.1) -> int:
-        """One training pass over whole documents (ids that end with the end word). Each takes a lane from its first window to
-        its last, with the state carried over; the lane then goes to the next document. Returns the number of words read."""
-        docs, lanes, h, seen = iter(docs), [], np.zeros((0, self.h), np.float32), 0
+    def read(self, docs: Iterator[np.ndarray], rate: float = 0.1, most: int | None = None) -> int:
+        """One training pass over whole documents (ids that end with the end word), ``most`` of them at once. Each takes a lane from
+        its first window to its last, with the state carried over; the lane then goes to the next document. Returns the number of
+        words read."""
+        docs, lanes, h, seen, most = iter(docs), [], np.zeros((0, self.h), np.float32), 0, most or TRAIN_LANES
         while True:
             going = [k for k, (ids, at) in enumerate(lanes) if at < len(ids)]
-            fresh = list(islice(docs, TRAIN_LANES - len(going)))
+            fresh = list(islice(docs, most - len(going)))
             lanes = [lanes[k] for k in going] + [[ids, 0] for ids in fresh]
             if not lanes:
                 return seen
             h = np.concatenate([h[going], np.zeros((len(fresh), self.h), np.float32)])
-            x, sizes = np.zeros((len(lanes), STRETCH), np.int32), np.empty(len(lanes), np.int64)
+            wide = STRETCH * min(LONGER, max(1, most // len(lanes)))
+            sizes = np.array([min(wide, len(ids) - at) for ids, at in lanes])
+            x = np.zeros((len(lanes), sizes.max()), np.int32)
             for k, lane in enumerate(lanes):
-                part = lane[0][lane[1] : lane[1] + STRETCH]
-                x[k, : len(part)], sizes[k] = part, len(part)
-                lane[1] += STRETCH
-            self.train(x, rate, h, sizes, TRAIN_LANES * STRETCH)
+                x[k, : sizes[k]] = lane[0][lane[1] : lane[1] + wide]
+                lane[1] += wide
+            self.train(x, rate, h, sizes, most * STRETCH)
             seen += int(sizes.sum())
 
     def train(self, x: np.ndarray, rate: float = 0.1, state: np.ndarray | None = None, sizes: np.ndarray | None = None, least: int = 1) -> float:
@@ -268,67 +275,72 @@ class Recurrent:
         lex, n = self.lex, self.h
         table, rec, wc, bc, ww, bw = self.params
         size, steps = x.shape
-        h = np.zeros((size, n), np.float32) if state is None else state.copy()
-        states, memo = [], []
+        states = np.empty((steps + 1, size, n), rec.dtype)
+        states[0] = 0 if state is None else state
+        gates, new, un = np.empty((steps, size, 2 * n), rec.dtype), np.empty((steps, size, n), rec.dtype), np.empty((steps, size, n), rec.dtype)
+        y = x.T.ravel()
+        inputs = table[y].reshape(steps, size, 3 * n)
         for t in range(steps):
-            states.append(h)
-            h, kept = self.step(h, x[:, t])
-            memo.append(kept)
+            u = states[t] @ rec
+            gates[t] = sigmoid(inputs[t, :, : 2 * n] + u[:, : 2 * n])
+            un[t] = u[:, 2 * n :]
+            np.tanh(inputs[t, :, 2 * n :] + gates[t, :, n:] * un[t], out=new[t])
+            states[t + 1] = new[t] + gates[t, :, :n] * (states[t] - new[t])
         if state is not None:
-            state[:] = h
-        s, y = np.concatenate(states), x.T.ravel()
+            state[:] = states[steps]
+        s = states[:steps].reshape(-1, n)
         real = slice(None) if sizes is None or (sizes == steps).all() else np.flatnonzero((np.arange(steps)[:, None] < sizes).ravel())
         place = np.arange(len(y)) if isinstance(real, slice) else real
         place = place[np.argsort(y[real], kind="stable")]  # by word, so by class too
-        s, y = s[place], y[place]
+        s, y = with_ones(s[place]), y[place]
         scale = np.float32(1 / max(len(y), least))
         cls, loss = lex.cls[y], 0.0
         grads = [None, np.zeros_like(rec), np.zeros_like(wc), np.zeros_like(bc), np.zeros_like(ww), np.zeros_like(bw)]
-        ds = np.empty_like(s)
+        ds = np.empty((len(s), n), s.dtype)
         for at in range(0, len(y), SLICE):
             part = slice(at, at + SLICE)
-            p, picked = self.error(s[part], wc, bc, cls[part], scale)
+            grad, ds[part], picked = self.error(s[part], wc, bc, cls[part], scale)
             loss -= picked
-            grads[2] += s[part].T @ p
-            grads[3] += ones(len(p)) @ p
-            ds[part] = p @ wc.T
+            grads[2] += grad[:n]
+            grads[3] += grad[n]
         for lo, hi, a, b in self.runs(y):
-            q, picked = self.error(s[lo:hi], ww[a:b].T, bw[a:b], y[lo:hi] - a, scale)
+            grad, back, picked = self.error(s[lo:hi], ww[a:b].T, bw[a:b], y[lo:hi] - a, scale)
             loss -= picked
-            grads[4][a:b] = q.T @ s[lo:hi]
-            grads[5][a:b] = ones(hi - lo) @ q
-            ds[lo:hi] += q @ ww[a:b]
+            grads[4][a:b], grads[5][a:b] = grad[:n].T, grad[n]
+            ds[lo:hi] += back
         spread = np.zeros((steps * size, n), ds.dtype)
         spread[place] = ds
         ds = spread.reshape(steps, size, n)
-        dh = np.zeros((size, n), np.float32)
-        da = np.empty((steps, size, 3 * n), np.float32)
+        # what the gradient of a state is multiplied by on its way to each gate, for all steps at once
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z, to_r = (states[:steps] - new) * z * (1 - z), un * r * (1 - r)
+        dh = np.zeros((size, n), rec.dtype)
+        da, du = np.empty((steps, size, 3 * n), rec.dtype), np.empty((steps, size, 3 * n), rec.dtype)
         for t in range(steps - 1, -1, -1):
-            z, r, new, un = memo[t]
-            h0 = states[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h0 - new) * z * (1 - z)
-            dr = dnew * un * r * (1 - r)
-            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dz, dr, dnew
-            du = np.concatenate([dz, dr, dnew * r], axis=1)
-            grads[1] += h0.T @ du
-            dh = dh * z + du @ rec.T + ds[t]
+            dnew = dh * to_new[t]
+            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dh * to_z[t], dnew * to_r[t], dnew
+            du[t] = da[t]
+            du[t, :, 2 * n :] *= r[t]
+            dh = dh * z[t] + du[t] @ rec.T + ds[t]
+        grads[1] = states[:steps].reshape(-1, n).T @ du.reshape(-1, 3 * n)
         used, begins = np.unique(y, return_index=True)
         grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[place], begins)
         self.update(grads, used, rate)
         return loss / len(y)
 
     @staticmethod
-    def error(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple[np.ndarray, float]:
-        """What a softmax gives too much to each outcome, times ``scale``, and the sum of the log probabilities of the own ones."""
+    def error(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of a softmax over states ``with_ones``, of the loss times ``scale``: the gradients of weights (of the biases in the last
+        row) and of the states, and the sum of the log probabilities of the own outcomes."""
         p = shifted(states, weights, bias)
         rows = np.arange(len(p))
         picked = p[rows, own]
         np.exp(p, out=p)
         sums = p @ ones(p.shape[1])
-        p *= (scale / sums)[:, None]
-        p[rows, own] -= scale
-        return p, float((picked - np.log(sums)).sum(dtype=np.float64))
+        p[rows, own] -= sums
+        by = (scale / sums)[:, None]  # the rows of p are to be multiplied by this; the narrower sides take it
+        return (states * by).T @ p, (p @ weights.T) * by, float((picked - np.log(sums)).sum(dtype=np.float64))
 
     def update(self, grads: list[np.ndarray], used: np.ndarray, rate: float) -> None:
         """Adaptive steps on clipped gradients; of the input table only the rows in use are touched."""
@@ -370,7 +382,7 @@ def model_words(docs: DataFrame, shared) -> DataFrame:
 
 
 def fit(docs: DataFrame, shared, lex: Lexicon, n: int, rounds: int = ROUNDS) -> Recurrent:
-    """The network after ``rounds`` of training over all ``n`` words of all training documents. What comes back from a round is one
+    """The network after one pass over all ``n`` words of all training documents, dealt over ``rounds`` with a common start. What comes back from a round is one
     sum of weights, added up in Spark by blocks; its size is that of the network."""
     spark = docs.sparkSession
     net = Recurrent(lex)
@@ -378,25 +390,28 @@ def fit(docs: DataFrame, shared, lex: Lexicon, n: int, rounds: int = ROUNDS) ->
         return net
     # dealt by row, so that a text that occurs often goes to many tasks; long documents come first, lest they go on in few lanes
     # when the others are done
-    dealt = model_words(docs, shared).repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")).sortWithinPartitions(F.size("ids") < LONG, F.xxhash64("row", F.lit(1)))
-    dealt = written(dealt, "lm-dealt")
+    tasks = math.ceil(n / rounds / TASK_WORDS)
+    lanes = min(TRAIN_LANES, max(1, n // (rounds * tasks * STEPS * STRETCH)))
+    dealt = model_words(docs, shared).withColumn("turn", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(rounds)))
+    dealt = written(dealt.repartition(tasks, F.xxhash64("row")).sortWithinPartitions("turn", F.size("ids") < LONG, F.xxhash64("row", F.lit(1))), "lm-dealt")
     block = 1 << 14
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             mine = Recurrent(shared.value).load(start.value)
-            seen = mine.read((np.asarray(ids.values) for batch in batches for ids in batch.column(1)), rate=0.1 / (1 + turn))
+            seen = mine.read((np.asarray(ids.values) for batch in batches for ids in batch.column(0)), 0.1 / (1 + turn), lanes)
             if seen:
                 flat = mine.flat().astype(np.float64) * seen
                 parts = [flat[i : i + block] for i in range(0, len(flat), block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["block", "seen", "weights"])
 
-        parts = dealt.mapInArrow(run, "block int, seen long, weights array<double>")
+        parts = dealt.where(F.col("turn") == turn).select("ids").mapInArrow(run, "block int, seen long, weights array<double>")
         # tasks send blocks; equal blocks meet and are added up as they arrive
         summed = parts.groupBy("block").applyInArrow(add_blocks, "block int, seen long, weights array<double>")
         rows = sorted(summed.collect())
-        net.load(np.concatenate([np.array(r.weights) / r.seen for r in rows]))
+        if rows:
+            net.load(np.concatenate([np.array(r.weights) / r.seen for r in rows]))
         start.unpersist()
     return net
 
