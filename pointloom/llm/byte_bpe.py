@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 
 #: Words whose ids a worker remembers, bytes of new stretches that go to one recursion, characters that are worked on at a time,
 #: matches of a longer text, and ids that are decoded together.
-MEMORY = 500_000
+MEMORY = 300_000
 LOT = 1 << 18
-TEXT = 1 << 22
-MATCHES = 1 << 19
-DECODE = 1 << 20
+TEXT = 1 << 21
+MATCHES = 1 << 18
+DECODE = 1 << 19
 #: Bytes from which a stretch is long.
 LONG = 64
 
@@ -99,7 +99,7 @@ class Codec:
         for token, rank in ranks.items():
             self.joined[list(token[:-1]), list(token[1:])] = True
             rows += [(ranks[a], ranks[b], rank) for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
-        self.db = duckdb.connect(config={"threads": 1})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True)) if rows else [pa.array([], pa.int32())] * 3
         self.table("merges", a=a, b=b, c=c)
         self.table("tokens", id=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
@@ -176,6 +176,26 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def encoded(c: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of (doc_id, text), some texts at a time."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    for i, j in lots([len(t) for t in texts], TEXT):
+        ids = c.encode(texts[i:j])
+        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "ids"])
+
+
+def decoded(c: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and bytes of (doc_id, ids), some rows at a time."""
+    sizes = np.array([len(x) if x.is_valid else 0 for x in batch.column(1)])
+    for i, j in lots(sizes, DECODE):
+        lists = batch.column(1).slice(i, j - i)
+        texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum([0, *sizes[i:j]]))
+        valid = lists.is_valid().to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.binary())], names=["doc_id", "ids", "bytes"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of each row's whole text, special tokens' names being ordinary text. Null text is empty and has no
     ids; rows that repeat count alike; an empty table gives no rows; other columns don't come along. One narrow step, no shuffle."""
@@ -183,12 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in lots(np.array([len(t) for t in texts]), TEXT):
-                ids = c.encode(texts[i:j])
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "ids"])
+            yield from encoded(c, batch)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -200,12 +215,18 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            sizes = np.array([len(x) if x.is_valid else 0 for x in batch.column(1)])
-            for i, j in lots(sizes, DECODE):
-                lists = batch.column(1).slice(i, j - i)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                texts = c.decode(flat, np.cumsum([0, *sizes[i:j]]))
-                valid = lists.is_valid().to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.binary())], names=["doc_id", "ids", "bytes"])
+            yield from decoded(c, batch)
 
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one worker a task, so that words and tables are held once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            for ids in encoded(c, batch):
+                yield from decoded(c, ids)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")

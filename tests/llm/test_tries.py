@@ -141,7 +141,7 @@ def test_byte_bpe(spark, vocabulary, sf):
     texts += [None, "", "<|endoftext|>", "it's 'S it'll", " " * 3000 + "x", "a" * 5000, "the" * 3000, "=" * 4000, "".join(rng.choices("0123456789", k=3000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)), "plain words here " * 4000]
     docs = spark.createDataFrame([(i, t, 0, "y") for i, t in enumerate(texts)] + [(None, "once more", 0, "y")] * 2, "doc_id long, text string, ids long, bytes string")
     rows = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
-    assert len(rows) == len(texts) + 2
+    assert len(rows) == len(texts) + 2 and sorted(byte_bpe.encode_decode(docs, path, public_tokenizers.PATTERN).collect(), key=str) == sorted(rows, key=str)
     for r in rows:
         text = (texts[r["doc_id"]] or "") if r["doc_id"] is not None else "once more"
         assert r["ids"] == own.encode_ordinary(text) and bytes(r["bytes"]) == text.encode()
