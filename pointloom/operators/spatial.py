@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import XYZ, cell, cosine
 from pointloom.functions.shared import saved
-from pointloom.operators.graph import components
 from pointloom.operators.sampling import draw
 
 CELL = ("cx", "cy", "cz")
@@ -251,17 +250,6 @@ def interpolate(src: DataFrame, dst: DataFrame, k: int = 3, src_key: str = "ref_
     return j.groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
-def cluster_components(df: DataFrame, r: float, min_points: int = 1, label: str = "segment") -> DataFrame:
-    """(point_id, component): points of one label that chains of steps shorter than ``r`` connect, in one scene; components
-    with fewer points than ``min_points`` get null. Points with label -1 take no part."""
-    d = df.where(F.col(label) >= 0).withColumn("_scene", F.col("scene_id")).withColumn("scene_id", F.struct("scene_id", label))
-    edges = radius_pairs(d, r)
-    roots = components(edges).select(F.col("node").alias("point_id"), "root")
-    all_ = d.select("point_id").join(roots.hint("merge"), "point_id", "left").withColumn("root", F.coalesce("root", "point_id"))
-    big = all_.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
-    return all_.join(big.hint("merge"), "root", "left").select("point_id", F.when(F.col("n").isNotNull(), F.col("root")).alias("component"))
-
-
 def score_proposals(df: DataFrame, limit: int) -> DataFrame:
     """Per component: majority label, mean and highest score, size; components larger than ``limit`` points."""
     from pointloom.operators.aggregate import majority_label

@@ -62,6 +62,8 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not views:
         return sql
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {views}, {sql[15:]}"
     return f"with {views}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {views} {sql}"
 
 

@@ -9,6 +9,7 @@ from pointloom.operators import aggregate as A
 from pointloom.operators import evaluate as E
 from pointloom.operators import relate as R
 from pointloom.operators import spatial as S
+from pointloom.operators.cellgraph import cluster_components
 from pointloom.plans.q_aggregate import features_b
 from pointloom.plans.registry import query, rounded
 
@@ -241,9 +242,12 @@ def _(t):
     return S.transfer_nearest(t.points, t.ref_points, ["segment"])
 
 
-@query("i5_cluster_components")
+@query("i5_cluster_components", """with recursive p as (select * from points where segment >= 0),
+    e as (select a.point_id a, b.point_id b from p a join p b on a.scene_id = b.scene_id and a.segment = b.segment and a.point_id <> b.point_id where (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 1.2e0*1.2e0),
+    c(id, root) using key (id) as (select point_id, point_id from p union select e.b, min(c.root) from c join e on e.a = c.id join recurring.c old on old.id = e.b where c.root < old.root group by e.b),
+    n as (select root, count(*) n from c group by 1) select id point_id, case when n >= 3 then c.root end component from c join n on n.root = c.root""")
 def _(t):
-    return S.cluster_components(t.points, 1.2, 3)
+    return cluster_components(t.points, 1.2, 3)
 
 
 @query("i6_score_proposals", """with m as (select instance component, segment, row_number() over (partition by instance order by segment = -1, count(*) desc, segment) rn from points group by 1,2), s as (select instance component, count(*) n, avg(y) mean, max(y) top from points group by 1 having count(*) > 100)

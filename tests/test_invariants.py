@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.operators.cellgraph import cluster_components
 from pointloom.functions import curves
 from pointloom.operators import aggregate, evaluate, linalg, sampling, spatial
 from pointloom.plans.fixtures import Tables
@@ -66,7 +67,7 @@ def test_components_are_constant_on_edges(spark):
     sf = "/root/testdata/sf0.001"
     t = Tables(spark, sf)
     p = t.points.dropDuplicates(["point_id"])
-    comp = {r.point_id: r.component for r in spatial.cluster_components(p, 2.0, 1).collect()}
+    comp = {r.point_id: r.component for r in cluster_components(p, 2.0, 1).collect()}
     lab = {r.point_id: r.segment for r in p.collect()}
     edges = [(r.a, r.b) for r in spatial.radius_pairs(p, 2.0).collect() if lab[r.a] == lab[r.b] >= 0]
     assert edges and all(comp[a] == comp[b] for a, b in edges)
