@@ -18,9 +18,14 @@ def brute(rows, queries_, k=10):
     return out
 
 
-@pytest.mark.parametrize("folder", ["sf0.01", "check_s"])
-def test_recall(spark, folder):
-    path = f"/root/testdata/{folder}"
+@pytest.mark.parametrize("table", ["given", "clustered"])
+def test_recall(spark, table, tmp_path):
+    path = "/root/testdata/sf0.01"
+    if table == "clustered":
+        path, rng = str(tmp_path), np.random.default_rng(7)
+        centres = rng.normal(size=(40, 64))
+        vectors = [(i, (centres[i % 40] + rng.normal(size=64) * (0.05 if i % 3 else 0.5)).tolist()) for i in range(5000)]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     want = brute(rows, [i for i, _ in rows if i % 100 == 0])
     got = queries.op6_nearest(spark, path).collect()

@@ -67,7 +67,7 @@ def test_network_gradient():
 
 def test_every_run_is_a_candidate():
     text = "unquestionably 123456789012345 XyZ9Qwdeadbeefdeadbeef01Kq x deadbeefdeadbeef abcdefABCDEF01 password=abcdefghijkl012"
-    got = {text[a:b]: y for a, b, y in secrets.candidates(text, secrets.base_spans(text))}
+    got = {text[a:b]: y for a, b, y, *_ in secrets.candidates(text, secrets.base_spans(text))}
     assert got == {
         "deadbeefdeadbeef01": True, "deadbeefdeadbeef": True, "password=abcdefghijkl012": True, "unquestionably": False, "123456789012345": False,
         "XyZ9Qwdeadbeefdeadbeef01Kq": None, "abcdefABCDEF01": None,
