@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import XYZ, cell, cosine
+from pointloom.operators.order import quantiles
 
 CELL = ("cx", "cy", "cz")
 
@@ -100,10 +101,11 @@ def class_stats(df: DataFrame, key: str = "segment") -> DataFrame:
 def dim_profile(df: DataFrame, dead: float = 1e-6) -> DataFrame:
     """Per dimension: moments, extremes, median, counts of zeros, negatives and nans, the share of variance and a status."""
     v = F.col("v")
-    d = df.select(F.posexplode("feat").alias("pos", "v")).groupBy("pos").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("var"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile("v", F.lit(0.5)).alias("median"),
+    long = df.select(F.posexplode("feat").alias("pos", "v"))
+    d = long.groupBy("pos").agg(
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("var"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.count_if(F.isnan(v)).alias("nans"),
-    )
+    ).join(quantiles(long, ["pos"], {"median": ("v", 0.5)}), "pos")
     d = d.withColumn("share", F.col("var") / F.sum("var").over(Window.partitionBy()))
     return d.withColumn("status", F.when(F.col("std") < dead, "dead").when(F.abs("mean") > 10 * F.col("std"), "collapsed").otherwise("ok"))
 
@@ -223,7 +225,7 @@ def mask_stats(pixels: DataFrame) -> DataFrame:
 def depth_scale(obs: DataFrame, min_rows: int = 10, min_range: float = 1e-3) -> DataFrame:
     """Per image, the scale and offset that map one depth onto another by medians and mean absolute deviations from them;
     images with too few rows or no range give 1 and 0. obs: image, a, b."""
-    m = obs.groupBy("image").agg(F.count("*").alias("n"), F.percentile("a", F.lit(0.5)).alias("ma"), F.percentile("b", F.lit(0.5)).alias("mb"), (F.max("b") - F.min("b")).alias("range"))
+    m = obs.groupBy("image").agg(F.count("*").alias("n"), (F.max("b") - F.min("b")).alias("range")).join(quantiles(obs, ["image"], {"ma": ("a", 0.5), "mb": ("b", 0.5)}), "image")
     d = obs.join(m, "image").groupBy("image", "n", "ma", "mb", "range").agg(F.avg(F.abs(F.col("a") - F.col("ma"))).alias("sa"), F.avg(F.abs(F.col("b") - F.col("mb"))).alias("sb"))
     good = (F.col("n") > min_rows) & (F.col("range") > min_range)
     d = d.withColumn("scale", F.when(good, F.col("sb") / F.col("sa")).otherwise(1.0))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import XYZ, norm
+from pointloom.functions.shared import saved
+from pointloom.operators.order import quantiles
 
 
 def filter_valid(df: DataFrame, flag: str = "valid", strict: bool = False) -> DataFrame:
@@ -19,8 +21,8 @@ def filter_valid(df: DataFrame, flag: str = "valid", strict: bool = False) -> Da
 def filter_outliers(df: DataFrame, lo: float = 0.01, hi: float = 0.99, min_points: int = 100) -> DataFrame:
     """Adds ``kept``: whether a point is inside the box of exact percentiles of its scene. Where fewer than ``min_points``
     would stay, the nearest ones to the scene's median are kept instead."""
-    ends = [f(c).alias(f"_{c}{n}") for c in XYZ for n, f in (("l", lambda c: F.percentile(c, F.lit(lo))), ("h", lambda c: F.percentile(c, F.lit(hi))), ("m", lambda c: F.percentile(c, F.lit(0.5))))]
-    d = df.join(df.groupBy("scene_id").agg(*ends), "scene_id")
+    ends = quantiles(df, ["scene_id"], {f"_{c}{n}": (c, p) for c in XYZ for n, p in (("l", lo), ("h", hi), ("m", 0.5))})
+    d = df.join(ends, "scene_id")
     inside = d.withColumn("_in", sum((F.col(c).between(F.col(f"_{c}l"), F.col(f"_{c}h")).cast("int") for c in XYZ)) == 3)
     few = inside.groupBy("scene_id").agg((F.count_if("_in") < min_points).alias("_few"))
     d2 = sum((F.col(c) - F.col(f"_{c}m")) * (F.col(c) - F.col(f"_{c}m")) for c in XYZ)
@@ -83,12 +85,12 @@ def embedding_outliers(a: DataFrame, b: DataFrame, percent: float = 0.95, method
     two representations."""
     from pointloom.operators.aggregate import centroid_distance
 
-    d = centroid_distance(a).withColumnRenamed("distance", "da").join(centroid_distance(b).withColumnRenamed("distance", "db"), "point_id")
+    d = saved(centroid_distance(a).withColumnRenamed("distance", "da").join(centroid_distance(b).withColumnRenamed("distance", "db"), "point_id"), "distances")
     if method == "percentile":
-        cut = d.agg(*(F.percentile(c, F.lit(percent)).alias(f"_{c}") for c in ("da", "db")))
+        cut = quantiles(d, [], {f"_{c}": (c, percent) for c in ("da", "db")})
     else:
-        q = lambda c, p: F.percentile(c, F.lit(p))
-        cut = d.agg(*((q(c, 0.75) + 1.5 * (q(c, 0.75) - q(c, 0.25))).alias(f"_{c}") for c in ("da", "db")))
+        q = quantiles(d, [], {f"{c}{p}": (c, p / 100) for c in ("da", "db") for p in (25, 75)})
+        cut = q.select(*((F.col(f"{c}75") + 1.5 * (F.col(f"{c}75") - F.col(f"{c}25"))).alias(f"_{c}") for c in ("da", "db")))
     return d.join(F.broadcast(cut)).select("point_id", ((F.col("da") > F.col("_da")) | (F.col("db") > F.col("_db"))).alias("outlier"))
 
 

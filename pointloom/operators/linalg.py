@@ -11,11 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cosine, dot, norm
 from pointloom.functions.shared import saved
+from pointloom.operators.order import quantiles
 
 BLOCK = 512
 
@@ -76,22 +78,56 @@ def times(df: DataFrame, m: np.ndarray, feat: str = "feat", out: str = "feat", s
     return df.withColumn(out, mul(F.col(feat)))
 
 
+def triangle(df: DataFrame, feat: str = "feat", weight: str | None = None, fan: int = 16) -> np.ndarray:
+    """R of the QR decomposition of all rows, times the roots of their weights: each task turns its batches into one triangle, and
+    ``fan`` triangles into one until one is left. R'R is X'WX, but the products are never formed, so small singular values keep
+    their digits. Rows x D in, at most D x D out; an empty table gives no rows."""
+    rows = df.select(F.col(feat).cast("array<double>").alias("x"), F.sqrt(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(0).flatten()).reshape(b.num_rows, -1) * np.array(b.column(1))[:, None]
+                r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        if r is not None:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(r), pa.int64()), pa.array(list(r), pa.list_(pa.float64()))], names=["part", "v"])
+
+    def together(t: pa.Table) -> pa.Table:
+        r = np.linalg.qr(np.array(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1), mode="r")
+        return pa.table({"part": pa.array([t["part"][0].as_py()] * len(r), pa.int64()), "v": pa.array(list(r), pa.list_(pa.float64()))})
+
+    parts = saved(rows.mapInArrow(own, "part long, v array<double>"), "triangles")
+    while (parts.agg(F.max("part")).first()[0] or 0) > 0:
+        parts = saved(parts.withColumn("part", F.floor(F.col("part") / fan)).groupBy("part").applyInArrow(together, "part long, v array<double>"), "triangles")
+    found = parts.toArrow()
+    return np.array(found["v"].combine_chunks().flatten()).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 0))
+
+
+def singular(df: DataFrame, feat: str = "feat", weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All singular values of the rows, largest first, and the right vectors (D x D)."""
+    r = triangle(df, feat, weight)
+    _, s, vt = np.linalg.svd(r)
+    return np.pad(s, (0, len(vt) - len(s))), fixed_signs(vt.T) if len(vt) else vt
+
+
 def grid_svd(cells: DataFrame, ranks) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """Weighted truncated SVD of cell features (feat, n; weight sqrt(n)): scores of the largest rank, the basis, and per rank
     the energy share and the relative error (rank, energy, error)."""
-    g, _, _, _ = cross_sums(cells, weight="n")
-    s, v = basis(g, max(ranks))
-    total = float(np.trace(g))
-    rows = [(int(r), float(s[:r].sum() / total), float(np.sqrt(max(1 - s[:r].sum() / total, 0)))) for r in ranks]
+    s, v = singular(cells, weight="n")
+    v, e, total = v[:, : max(ranks)], s * s, max(float((s * s).sum()), 1e-300)
+    rows = [(int(r), float(e[:r].sum() / total), float(np.sqrt(e[r:].sum() / total))) for r in ranks]
     return times(cells, v, out="code"), v, cells.sparkSession.createDataFrame(rows, "rank int, energy double, error double")
 
 
 def svd_spectrum(df: DataFrame, r: int) -> DataFrame:
     """(k, s, energy, error): singular values, cumulative energy and relative error of each rank."""
-    g, _, _, _ = cross_sums(df)
-    s, _ = basis(g, r)
-    e = np.cumsum(s) / max(np.trace(g), 1e-300)
-    return df.sparkSession.createDataFrame([(k + 1, float(np.sqrt(x)), float(min(y, 1)), float(np.sqrt(max(1 - y, 0)))) for k, (x, y) in enumerate(zip(s, e))], "k int, s double, energy double, error double")
+    s, _ = singular(df)
+    e, total = np.cumsum(s * s), max(float((s * s).sum()), 1e-300)
+    rest = np.append(np.cumsum((s * s)[::-1])[::-1], 0)[1:]
+    rows = [(k + 1, float(s[k]), float(e[k] / total), float(np.sqrt(rest[k] / total))) for k in range(min(r, len(s)))]
+    return df.sparkSession.createDataFrame(rows, "k int, s double, energy double, error double")
 
 
 def robust_pca(df: DataFrame, iters: int = 10, tol: float = 1e-6, lam: float | None = None, weight: str | None = None) -> DataFrame:
@@ -250,7 +286,8 @@ def jm_histogram(df: DataFrame, bins: int = 32, mode: str = "norm", projections:
     else:
         at = F.transform("feat", lambda v, i: v * (2 * drawn(seed, F.col("axis"), i) - 1))
         d = df.withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(projections - 1)))).select("segment", "axis", F.aggregate(at, F.lit(0.0), lambda s, x: s + x).alias("x"))
-    ends = d.groupBy("axis").agg(F.percentile("x", F.lit(0.001)).alias("lo"), F.percentile("x", F.lit(0.999)).alias("hi"))
+    d = saved(d, "axes") if mode != "norm" else d
+    ends = quantiles(d, ["axis"], {"lo": ("x", 0.001), "hi": ("x", 0.999)})
     d = d.join(ends.hint("merge"), "axis").where("x >= lo and x <= hi")
     b = F.least(F.floor((F.col("x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * (bins - 1)), F.lit(bins - 2))
     h = d.groupBy("axis", "segment", b.alias("bin")).agg(F.count("*").alias("n"))
@@ -369,10 +406,9 @@ def pca_colors(df: DataFrame, limit: float = 3.5) -> DataFrame:
     g, s, _, n = cross_sums(df)
     _, v = basis(g / n - np.outer(s / n, s / n), 3)
     d = saved(times(df.select("point_id", "feat"), v, out="p").select("point_id", *(F.col("p")[k].alias(f"p{k}") for k in range(3))), "pca")
-    m = d.agg(*(F.median(f"p{k}").alias(f"m{k}") for k in range(3)))
-    d = d.join(F.broadcast(m))
-    a = d.agg(*(F.median(F.abs(F.col(f"p{k}") - F.col(f"m{k}"))).alias(f"a{k}") for k in range(3)))
-    d = d.join(F.broadcast(a))
+    d = d.join(F.broadcast(quantiles(d, [], {f"m{k}": (f"p{k}", 0.5) for k in range(3)})))
+    gaps = d.select(*(F.abs(F.col(f"p{k}") - F.col(f"m{k}")).alias(f"g{k}") for k in range(3)))
+    d = d.join(F.broadcast(quantiles(gaps, [], {f"a{k}": (f"g{k}", 0.5) for k in range(3)})))
     inside = lambda k: F.when(F.abs(F.col(f"p{k}") - F.col(f"m{k}")) <= limit * 1.4826 * F.col(f"a{k}"), F.col(f"p{k}"))
     e = d.agg(*(f(inside(k)).alias(f"{n}{k}") for k in range(3) for n, f in (("lo", F.min), ("hi", F.max))))
     code = lambda k: (F.least(F.greatest((F.col(f"p{k}") - F.col(f"lo{k}")) / F.greatest(F.col(f"hi{k}") - F.col(f"lo{k}"), F.lit(1e-12)), F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
@@ -381,9 +417,8 @@ def pca_colors(df: DataFrame, limit: float = 3.5) -> DataFrame:
 
 def shared_basis(df: DataFrame, r: int) -> tuple[np.ndarray, float]:
     """One uncentred basis over every row of every scene, with the share of energy that it explains."""
-    g, _, _, _ = cross_sums(df)
-    s, v = basis(g, r)
-    return v, float(s.sum() / np.trace(g))
+    s, v = singular(df)
+    return v[:, :r], float((s[:r] ** 2).sum() / (s**2).sum())
 
 
 def crop_obb(df: DataFrame, ref: DataFrame, margin: float = 0.0) -> DataFrame:

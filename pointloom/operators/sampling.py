@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import XYZ, cell, drawn
+from pointloom.operators.order import placed
 
 CELL = ("cx", "cy", "cz")
 
@@ -191,8 +192,9 @@ def make_views(df: DataFrame, specs) -> DataFrame:
 
 
 def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds ``place``: a random order inside each scene."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy(draw(seed), "point_id")))
+    """Adds ``place``, from 1: a random order inside each scene."""
+    d = placed(df.withColumn("_draw", draw(seed)), ["scene_id"], ["_draw", "point_id"], "place")
+    return d.withColumn("place", F.col("place") + 1).drop("_draw")
 
 
 def sphere_cover(df: DataFrame, n: int) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cell, morton
+from pointloom.operators.order import placed
 
 
 def serialize(df: DataFrame, size: float, depth: int = 16, swapped: bool = False) -> DataFrame:
-    """Adds ``code`` (z-order of the cell) and ``rank``, the place along the curve in the scene, from 0. A scene's order is a
-    sort of that scene; for layout on disk use ``curve_layout``, which range-partitions instead."""
+    """Adds ``code`` (z-order of the cell) and ``rank``, the place along the curve in the scene, from 0. Scenes are range-partitioned,
+    so a large one is sorted by many tasks."""
     d = cell(df, size).withColumn("code", morton(F.col("cx"), F.col("cy"), F.col("cz"), depth, swapped))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("scene_id").orderBy("code", "point_id")) - 1)
+    return placed(d, ["scene_id"], ["code", "point_id"], "rank")
 
 
 def curve_layout(df: DataFrame, size: float, partitions: int) -> DataFrame:

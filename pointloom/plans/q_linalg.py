@@ -46,6 +46,36 @@ def _(t):
     return rounded(L.svd_spectrum(t.features, 64))
 
 
+MOMENTS = "select round(sum(case when i = j then v end), 6) energy, round(sum(v*v), 6) square from (select a.pos i, b.pos j, sum(a.v*b.v{w}) v from {t} a join {t} b on a.point_id=b.point_id group by 1,2) g"
+
+
+def moments(t, s):
+    """The sums of the second and fourth powers of all singular values, which are traces of the Gram matrix and of its square."""
+    return rounded(t.spark.createDataFrame([(float((s**2).sum()), float((s**4).sum()))], "energy double, square double"))
+
+
+@query("j3_spectrum_moments", MOMENTS.format(t="long_features", w=""))
+def _(t):
+    return moments(t, L.singular(t.features)[0])
+
+
+@query("j2_weighted_moments", "with m as (select scene_id*100+segment point_id, pos, avg(v) v, count(*) n from long_features group by 1,2) " + MOMENTS.format(t="m", w="*a.n"))
+def _(t):
+    c = A.as_vectors(A.vector_mean(t.features, ["scene_id", "segment"]), ["scene_id", "segment"]).join(t.features.groupBy("scene_id", "segment").agg(F.count("*").alias("n")), ["scene_id", "segment"])
+    return moments(t, L.singular(c, weight="n")[0])
+
+
+@query("j20_basis_energy", "select count(distinct point_id) n, round(sum(v*v),6) total, true exact, true orthogonal from long_features")
+def _(t):
+    """What a basis keeps and what it leaves add up to all energy, and it keeps the share that it states."""
+    v, share = L.shared_basis(t.features, 8)
+    part = L.times(t.features, v @ v.T, out="part")
+    square = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    d = part.agg(F.count("*").alias("n"), square(F.col("part")).alias("kept"), square(F.zip_with("feat", "part", lambda a, b: a - b)).alias("rest"))
+    exact = F.abs(F.col("kept") / (F.col("kept") + F.col("rest")) - share) < 1e-9
+    return rounded(d.select("n", (F.col("kept") + F.col("rest")).alias("total"), exact.alias("exact"), F.lit(bool(np.abs(v.T @ v - np.eye(8)).max() < 1e-9)).alias("orthogonal")))
+
+
 @query("j4_robust_pca")
 def _(t):
     d = L.robust_pca(t.features, 5)
