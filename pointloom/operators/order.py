@@ -88,7 +88,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, f
 
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """All rows with ``name``, the place (from 0) among the rows of the same keys in the given order. The order has to tell rows
-    apart; nulls come first."""
+    apart; nulls come first. Rows are written once, so select the columns that are needed before."""
     d = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
     d = saved(d, "placed")
     part = F.shiftright("_at", 33)

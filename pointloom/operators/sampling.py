@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import XYZ, cell, drawn
+from pointloom.functions.shared import saved
 from pointloom.operators.order import placed
 
 CELL = ("cx", "cy", "cz")
@@ -157,24 +160,42 @@ def sample_weighted(df: DataFrame, weight: str, n: int, seed: int = 0, buckets:
     return met.groupBy("point_id").agg(F.count("*").alias("times"))
 
 
-def farthest_sample(df: DataFrame, m: int) -> DataFrame:
-    """(scene_id, step, point_id): farthest-point sampling, all scenes in the same round; each starts at its smallest id and
-    ties go to the smaller id. ``m`` is meant to be small (256 at most): every round is one pass."""
-    from pointloom.functions.shared import saved
-
-    d = df.select("scene_id", "point_id", *XYZ).withColumn("_d", F.lit(float("inf")))
-    picks = d.groupBy("scene_id").agg(F.min_by(F.struct("point_id", *XYZ), "point_id").alias("p"))
-    out = []
-    for step in range(m):
-        picks = saved(picks, "picks")
-        out.append(picks.select("scene_id", F.lit(step).alias("step"), "p.point_id"))
-        if step == m - 1:
-            break
-        d = d.join(picks, "scene_id").withColumn("_d", F.least("_d", sum((F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in XYZ))).drop("p")
-        if step % 4 == 3:
-            d = saved(d, "distances")
-        picks = d.groupBy("scene_id").agg(F.max_by(F.struct("point_id", *XYZ), F.struct("_d", -F.col("point_id"))).alias("p"))
-    return reduce(DataFrame.unionByName, out)
+def farthest_sample(df: DataFrame, m: int, keep: int = 4096) -> DataFrame:
+    """(scene_id, step, point_id): farthest-point sampling, exactly; each scene starts at its smallest id and ties go to the smaller
+    id. Scenes with fewer than ``m`` points pick some again.
+
+    A round is one pass: distances to the last round's picks, then the ``keep`` farthest points of each scene. As distances only
+    fall, the next picks are among these for as long as the farthest of them, measured anew after each pick, stays beyond the
+    nearest that was kept. So a round makes many picks, at least one, and all scenes go on at once."""
+    square = lambda x, y, z: x * x + y * y + z * z
+
+    def pick(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("_at")
+        ids, place, d, step = t["point_id"].to_numpy(), t[list(XYZ)].to_numpy(), t["_d"].to_numpy().copy(), int(t["_next"].iloc[0])
+        limit, chosen = d[-1] if len(d) == keep else -1.0, []
+        while step + len(chosen) < m:
+            far = d.max()
+            if chosen and far <= limit:
+                break
+            equal = np.flatnonzero(d == far)
+            chosen.append(equal[ids[equal].argmin()])
+            d = np.minimum(d, square(*(place - place[chosen[-1]]).T))
+        return pd.DataFrame({"scene_id": t["scene_id"].iloc[0], "step": np.arange(step, step + len(chosen), dtype=np.int32), "point_id": ids[chosen], **{c: place[chosen, k] for k, c in enumerate(XYZ)}})
+
+    d = saved(df.select("scene_id", "point_id", *(F.col(c).cast("double").alias(c) for c in XYZ), F.lit(float("inf")).alias("_d")), "distances")
+    first = d.groupBy("scene_id").agg(F.min_by(F.struct("point_id", *XYZ), "point_id").alias("p"))
+    picks = saved(first.select("scene_id", F.lit(0).alias("step"), "p.*"), "picks")
+    types = ", ".join(f"{c} {t}" for c, t in picks.dtypes)
+    out = [picks]
+    while True:
+        open_ = saved(picks.groupBy("scene_id").agg((F.max("step") + 1).alias("_next"), F.collect_list(F.struct(*XYZ)).alias("_p")).where(F.col("_next") < m), "open")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, out).select("scene_id", "step", "point_id")
+        nearer = F.aggregate("_p", F.col("_d"), lambda least, p: F.least(least, square(*(F.col(c) - p[c] for c in XYZ))))
+        d = saved(d.drop("_next").join(open_, "scene_id").select("scene_id", "point_id", *XYZ, nearer.alias("_d"), "_next"), "distances")
+        far = d.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_d"), "point_id"))).where(F.col("_at") <= keep)
+        picks = saved(far.groupBy("scene_id").applyInPandas(pick, types), "picks")
+        out.append(picks)
 
 
 def topk_labels(votes: DataFrame, k: int) -> DataFrame:
@@ -201,8 +222,6 @@ def sphere_cover(df: DataFrame, n: int) -> DataFrame:
     """(scene_id, crop, point_id): crops of the ``n`` points nearest to the least covered point, until all are covered. Every
     round covers at least its centre, so the rounds end; there is no other bound on them. Of each hash bucket of a scene the
     ``n`` nearest are kept before those of the scene, so no task ranks a whole scene."""
-    from pointloom.functions.shared import saved
-
     d = saved(df.select("scene_id", "point_id", *XYZ, F.lit(0.0).alias("_cover"), F.lit(False).alias("_in")), "cover")
     out = []
     bucket = F.pmod(F.xxhash64("point_id"), F.lit(64))

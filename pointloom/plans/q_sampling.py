@@ -19,13 +19,13 @@ SERIAL = f"select scene_id, point_id, row_number() over (partition by scene_id o
 
 @query("f1_serialize", SERIAL)
 def _(t):
-    return windows.serialize(t.points, 1.0).select("scene_id", "point_id", F.col("rank").cast("long").alias("rank"))
+    return windows.serialize(t.points.select("scene_id", "point_id", *C.XYZ), 1.0).select("scene_id", "point_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("f2_patches", f"""with r as ({SERIAL}), n as (select scene_id, count(*) n from r group by 1), d as (select r.*, n from r join n on r.scene_id=n.scene_id), l as (select *, (1024 - n % 1024) % 1024 lack, (n-1)//1024 last_ from d)
     select scene_id, rank//1024 patch, rank % 1024 slot, point_id from l union all select scene_id, last_, n % 1024 + rank - (last_*1024-lack), point_id from l where n > 1024 and rank >= last_*1024-lack and rank < last_*1024""")
 def _(t):
-    return windows.patches(windows.serialize(t.points, 1.0), 1024)
+    return windows.patches(windows.serialize(t.points.select("scene_id", "point_id", *C.XYZ), 1.0), 1024)
 
 
 @query("f3_offsets", "select scene_id, n, cast(sum(n) over (order by scene_id) as bigint) \"offset\" from (select scene_id, count(*) n from points group by 1) q")
@@ -162,9 +162,12 @@ def _(t):
     return S.sample_weighted(t.points, "x", 5000)
 
 
-@query("g14_farthest_sample")
+@query("g14_farthest_sample", """with recursive s as (select 0 step, scene_id, point_id, x, y, z, cast('infinity' as double) d, point_id = min(point_id) over (partition by scene_id) pick from points union all
+    select step + 1, scene_id, point_id, x, y, z, d, row_number() over (partition by scene_id order by d desc, point_id) = 1 from (
+        select s.step, s.scene_id, s.point_id, s.x, s.y, s.z, least(s.d, (s.x-p.x)*(s.x-p.x) + (s.y-p.y)*(s.y-p.y) + (s.z-p.z)*(s.z-p.z)) d from s join s p on p.pick and p.scene_id = s.scene_id) q where step < 11)
+    select scene_id, cast(step as int) step, point_id from s where pick""")
 def _(t):
-    return S.farthest_sample(t.points, 6)
+    return S.farthest_sample(t.points, 12)
 
 
 @query("g15_topk_labels", """with n as (select point, class, count(*) n from contrib group by 1,2), r as (select *, row_number() over (partition by point order by n desc, class) rn from n), k as (select unnest(range(1,4)) rank)
@@ -180,7 +183,7 @@ def _(t):
 
 @query("g17_shuffle", f"select scene_id, point_id, row_number() over (partition by scene_id order by {DRAW}, point_id) place from points")
 def _(t):
-    return S.shuffle(t.points).select("scene_id", "point_id", F.col("place").cast("long").alias("place"))
+    return S.shuffle(t.points.select("scene_id", "point_id")).select("scene_id", "point_id", F.col("place").cast("long").alias("place"))
 
 
 @query("g18_sphere_cover", "select scene_id, count(*) points, 0 odd_crops from points group by 1")

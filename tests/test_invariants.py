@@ -96,6 +96,25 @@ def test_farthest_sample(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("keep", [1, 40, 4096])
+def test_many_farthest_points(spark, keep):
+    rng = np.random.default_rng(3)
+    p = np.vstack([np.round(rng.uniform(0, 9, (700, 3))), rng.normal(50, 0.1, (300, 3))])
+    df = frame(spark, [(0, 10_000 - i, *map(float, v), 0, True) for i, v in enumerate(p)] + [(1, i, float(i), 0.0, 0.0, 0, True) for i in range(3)])
+    m = {1: 4, 40: 30, 4096: 400}[keep]
+    got = sampling.farthest_sample(df, m, keep).orderBy("scene_id", "step").collect()
+    ids, want, d = 10_000 - np.arange(1000), [999], None
+    while len(want) < m:
+        gap = p - p[want[-1]]
+        gap = gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]
+        d = gap if d is None else np.minimum(d, gap)
+        equal = np.flatnonzero(d == d.max())
+        want.append(int(equal[ids[equal].argmin()]))
+    assert [r.point_id for r in got if r.scene_id == 0] == ids[want].tolist()
+    assert [r.point_id for r in got if r.scene_id == 1] == [0, 2, 1, *[0] * (m - 3)]
+    assert sampling.farthest_sample(df.limit(0), 5).collect() == []
+
+
 def test_sphere_cover_and_fragments_hold_every_point(spark):
     p = Tables(spark, "/root/testdata/sf0.001").points.dropDuplicates(["point_id"])
     assert sampling.sphere_cover(p, 200).select("point_id").distinct().count() == p.count()
