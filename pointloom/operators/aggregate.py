@@ -105,7 +105,7 @@ def dim_profile(df: DataFrame, dead: float = 1e-6) -> DataFrame:
     d = long.groupBy("pos").agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("var"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.count_if(F.isnan(v)).alias("nans"),
-    ).join(quantiles(long, ["pos"], {"median": ("v", 0.5)}), "pos")
+    ).join(quantiles(long, ["pos"], {"median": ("v", 0.5)}).hint("merge"), "pos")
     d = d.withColumn("share", F.col("var") / F.sum("var").over(Window.partitionBy()))
     return d.withColumn("status", F.when(F.col("std") < dead, "dead").when(F.abs("mean") > 10 * F.col("std"), "collapsed").otherwise("ok"))
 
@@ -190,7 +190,7 @@ def vote_labels_similarity(obs: DataFrame, feats: DataFrame, texts: DataFrame, t
 
 def lift_features(contrib: DataFrame, feats: DataFrame) -> DataFrame:
     """Features of views lifted to points: sum(w f) / sum(w), made unit, 0 where nothing is seen; long form."""
-    j = contrib.groupBy("point", "view").agg(F.sum("weight").alias("w")).join(feats.select("view", F.posexplode("feat").alias("pos", "v")), "view")
+    j = contrib.groupBy("point", "view").agg(F.sum("weight").alias("w")).join(feats.select("view", F.posexplode("feat").alias("pos", "v")).hint("merge"), "view")
     m = j.groupBy("point", "pos").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     size = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("point")))
     return m.select("point", "pos", F.when(size > 0, F.col("m") / size).otherwise(F.lit(0.0)).alias("v"))
@@ -211,7 +211,7 @@ def merge_fragments(all_points: DataFrame, parts: DataFrame) -> DataFrame:
 def cluster_language(match: DataFrame, masks: DataFrame, min_matches: int = 2) -> DataFrame:
     """Feature of a cluster: the sum of its matched masks' features over their number, with the mean score; clusters with
     fewer matches become zero. match: cluster, mask, score; masks: mask, feat."""
-    j = match.join(masks.select("mask", F.posexplode("feat").alias("pos", "v")), "mask")
+    j = match.join(masks.select("mask", F.posexplode("feat").alias("pos", "v")).hint("merge"), "mask")
     d = j.groupBy("cluster", "pos").agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.avg("score").alias("score"))
     return d.select("cluster", "pos", F.when(F.col("n") >= min_matches, F.col("s") / F.col("n")).otherwise(0.0).alias("v"), "n", "score")
 
@@ -249,6 +249,6 @@ def centroid_distance(df: DataFrame) -> DataFrame:
     """point_id and the Euclidean distance of its feature from the mean of all."""
     long = df.select("point_id", F.posexplode("feat").alias("pos", "v"))
     mean = long.groupBy("pos").agg(F.avg("v").alias("m"))
-    return long.join(mean, "pos").groupBy("point_id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("distance"))
+    return long.join(mean.hint("merge"), "pos").groupBy("point_id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("distance"))
 
 

@@ -44,7 +44,7 @@ def relevancy(scores: DataFrame, negatives, temp: float = 10.0, key: str = "poin
     against the strongest; no pair is formed."""
     neg = scores.where(F.col("label").isin(*negatives)).groupBy(key, *more).agg(F.max("cos").alias("_n"))
     pos = scores.where(~F.col("label").isin(*negatives))
-    return pos.join(neg, [key, *more]).select(key, *more, "label", (1 / (1 + F.exp(temp * (F.col("_n") - F.col("cos"))))).alias("relevancy"))
+    return pos.join(neg.hint("merge"), [key, *more]).select(key, *more, "label", (1 / (1 + F.exp(temp * (F.col("_n") - F.col("cos"))))).alias("relevancy"))
 
 
 def relevancy_levels(scores: DataFrame, negatives, temp: float = 10.0) -> DataFrame:
@@ -219,7 +219,7 @@ def prototype_consistency(df: DataFrame, temp: float = 0.1, seed: int = 0, min_r
     long = df.join(big, "segment").select("segment", half.alias("h"), F.posexplode("feat").alias("pos", "v"))
     m = long.groupBy("segment", "h", "pos").agg(F.avg("v").alias("v"))
     side = lambda h, s: m.where(F.col("h") == h).select(F.col("segment").alias(s), "pos", F.col("v").alias(f"v{s}"))
-    c = side(0, "a").join(side(1, "b"), "pos").groupBy("a", "b").agg((F.sum(F.col("va") * F.col("vb")) / F.sqrt(F.sum(F.col("va") * F.col("va")) * F.sum(F.col("vb") * F.col("vb"))) / temp).alias("z"))
+    c = side(0, "a").join(side(1, "b").hint("merge"), "pos").groupBy("a", "b").agg((F.sum(F.col("va") * F.col("vb")) / F.sqrt(F.sum(F.col("va") * F.col("va")) * F.sum(F.col("vb") * F.col("vb"))) / temp).alias("z"))
     lse = lambda k: c.groupBy(k).agg((F.log(F.sum(F.exp("z"))) - F.sum(F.when(F.col("a") == F.col("b"), F.col("z")))).alias("l")).agg(F.avg("l").alias("l"))
     return lse("a").withColumnRenamed("l", "la").join(lse("b").withColumnRenamed("l", "lb")).select(((F.col("la") + F.col("lb")) / 2).alias("loss"))
 
@@ -266,5 +266,5 @@ def cell_alignment(points: DataFrame, grid: DataFrame) -> DataFrame:
     """Per scene: mean over cells of the squared difference between a cell's mean feature and its stored code (long form:
     scene_id, grid_id, pos, code)."""
     m = points.select("scene_id", "grid_id", F.posexplode("feat").alias("pos", "v")).groupBy("scene_id", "grid_id", "pos").agg(F.avg("v").alias("v"))
-    d = m.join(grid, ["scene_id", "grid_id", "pos"]).groupBy("scene_id", "grid_id").agg(F.avg((F.col("v") - F.col("code")) ** 2).alias("e"))
+    d = m.join(grid.hint("merge"), ["scene_id", "grid_id", "pos"]).groupBy("scene_id", "grid_id").agg(F.avg((F.col("v") - F.col("code")) ** 2).alias("e"))
     return d.groupBy("scene_id").agg(F.count("*").alias("cells"), F.avg("e").alias("error"))

@@ -195,7 +195,7 @@ def procrustes(df: DataFrame, class_vectors: DataFrame) -> np.ndarray:
     the product needs one row per class. df: segment, feat; class_vectors: label, feat."""
     sums = df.select("segment", F.posexplode("feat").alias("pos", "v")).groupBy("segment", "pos").agg(F.sum("v").alias("v"))
     vec = sums.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("s"))
-    m, _, _, _ = cross_sums(vec.join(class_vectors.select(F.col("label").alias("segment"), F.col("feat").alias("t")), "segment"), "s", "t")
+    m, _, _, _ = cross_sums(vec.join(class_vectors.select(F.col("label").alias("segment"), F.col("feat").alias("t")).hint("merge"), "segment"), "s", "t")
     u, _, vt = np.linalg.svd(m)
     flip = np.ones(len(m))
     flip[-1] = np.sign(np.linalg.det(u @ vt))
@@ -207,7 +207,7 @@ def separability(df: DataFrame) -> DataFrame:
     the mean distance to the other centroids to that spread."""
     m = df.select("segment", F.posexplode("feat").alias("pos", "v")).groupBy("segment", "pos").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
     side = lambda a: m.select(F.col("segment").alias(a), "pos", F.col("m").alias(f"m{a}"))
-    c = side("a").join(side("b"), "pos").where("a <> b").groupBy("a", "b").agg((F.sum(F.col("ma") * F.col("mb")) / F.sqrt(F.sum(F.col("ma") * F.col("ma")) * F.sum(F.col("mb") * F.col("mb")))).alias("cos"))
+    c = side("a").join(side("b").hint("merge"), "pos").where("a <> b").groupBy("a", "b").agg((F.sum(F.col("ma") * F.col("mb")) / F.sqrt(F.sum(F.col("ma") * F.col("ma")) * F.sum(F.col("mb") * F.col("mb")))).alias("cos"))
     best = c.withColumn("_at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where("_at = 1").select(F.col("a").alias("segment"), F.col("b").alias("nearest"), "cos")
     apart = side("a").join(side("b").hint("merge"), "pos").where("a <> b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("ma") - F.col("mb")) * (F.col("ma") - F.col("mb")))).alias("d"))
     apart = apart.groupBy(F.col("a").alias("segment")).agg(F.avg("d").alias("between"))
@@ -309,7 +309,7 @@ def cross_scene_similarity(df: DataFrame, mode: str = "pairs") -> DataFrame:
     f = F.transform("feat", lambda x: x / F.greatest(norm(F.col("feat")), F.lit(1e-12))) if mode == "pairs" else F.col("feat")
     m = df.select("scene_id", "segment", F.posexplode(f).alias("pos", "v")).groupBy("scene_id", "segment", "pos").agg(F.avg("v").alias("v"))
     side = lambda a: m.select(F.col("scene_id").alias(a), "segment", "pos", F.col("v").alias(f"v{a}"))
-    j = side("a").join(side("b"), ["segment", "pos"]).where("a < b").groupBy("segment", "a", "b")
+    j = side("a").join(side("b").hint("merge"), ["segment", "pos"]).where("a < b").groupBy("segment", "a", "b")
     p = F.sum(F.col("va") * F.col("vb"))
     return j.agg((p if mode == "pairs" else p / F.sqrt(F.sum(F.col("va") * F.col("va")) * F.sum(F.col("vb") * F.col("vb")))).alias("cos"))
 
@@ -319,7 +319,7 @@ def dataset_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     def m(d: DataFrame, n: str) -> DataFrame:
         return d.select("segment", F.posexplode("feat").alias("pos", "v")).groupBy("segment", "pos").agg(F.avg("v").alias(f"m{n}"), F.stddev_pop("v").alias(f"s{n}"))
 
-    j = m(a, "a").join(m(b, "b"), ["segment", "pos"]).groupBy("segment")
+    j = m(a, "a").join(m(b, "b").hint("merge"), ["segment", "pos"]).groupBy("segment")
     return j.agg((F.sum(F.col("ma") * F.col("mb")) / F.sqrt(F.sum(F.col("ma") * F.col("ma")) * F.sum(F.col("mb") * F.col("mb")))).alias("cos"), F.avg(F.abs(F.col("ma") - F.col("mb"))).alias("mean_drift"), F.avg(F.abs(F.col("sa") - F.col("sb"))).alias("std_drift"))
 
 

@@ -44,14 +44,14 @@ def label_segments(points: DataFrame, groups: DataFrame, classes: DataFrame) ->
     segments (array); classes: class, label."""
     g = groups.select("group_order", "class", F.explode("segments").alias("segment_id"))
     last = g.groupBy("segment_id").agg(F.max("group_order").alias("group_order"), F.max_by("class", "group_order").alias("class"))
-    return points.join(last, "segment_id", "left").join(classes, "class", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return points.join(last.hint("merge"), "segment_id", "left").join(classes, "class", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def multi_label(points: DataFrame, groups: DataFrame) -> DataFrame:
     """(point_id, labels): up to three groups of a point in order of the groups, that of the smallest group first, filled up
     with -1. groups: group_order, label, size, segments."""
     g = groups.select("group_order", "label", "size", F.explode("segments").alias("segment_id"))
-    j = points.join(g, "segment_id").withColumn("at", F.row_number().over(Window.partitionBy("point_id").orderBy("group_order"))).where("at <= 3")
+    j = points.join(g.hint("merge"), "segment_id").withColumn("at", F.row_number().over(Window.partitionBy("point_id").orderBy("group_order"))).where("at <= 3")
     d = j.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("at", "label", "size"))).alias("l"), F.min(F.struct("size", "at")).alias("m"))
     swap = F.transform("l", lambda x: F.when(x["at"] == 1, F.col("l")[F.col("m.at") - 1]["label"]).when(x["at"] == F.col("m.at"), F.col("l")[0]["label"]).otherwise(x["label"]))
     return d.select("point_id", F.slice(F.concat(swap, F.array_repeat(F.lit(-1), 3)), 1, 3).alias("labels"))

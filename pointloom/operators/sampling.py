@@ -103,7 +103,7 @@ def lattice_crops(df: DataFrame, radius: float, step: float, max_crops: int, min
     d = d.where(sum((F.col(f"k{c}") * step - F.col(c)) ** 2 for c in XYZ) <= radius * radius)
     full = d.groupBy("scene_id", "kx", "ky", "kz").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
     top = full.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "kx", "ky", "kz"))).where(F.col("_at") <= max_crops)
-    return d.join(top.drop("_n", "_at"), ["scene_id", "kx", "ky", "kz"], "left_semi").select("scene_id", "kx", "ky", "kz", "point_id")
+    return d.join(top.drop("_n", "_at").hint("merge"), ["scene_id", "kx", "ky", "kz"], "left_semi").select("scene_id", "kx", "ky", "kz", "point_id")
 
 
 def windows_of(df: DataFrame, size: float, stride: float) -> DataFrame:
@@ -123,7 +123,7 @@ def chunk(df: DataFrame, size: float, stride: float, min_size: int, max_chunks:
     d = windows_of(df, size, stride).select("scene_id", "wx", "wy", "point_id")
     n = d.groupBy("scene_id", "wx", "wy").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_size)
     n = n.withColumn("chunk_id", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("_n"), "wx", "wy")) - 1).where(F.col("chunk_id") < max_chunks)
-    return d.join(n.drop("_n"), ["scene_id", "wx", "wy"]).select("scene_id", "chunk_id", "wx", "wy", "point_id")
+    return d.join(n.drop("_n").hint("merge"), ["scene_id", "wx", "wy"]).select("scene_id", "chunk_id", "wx", "wy", "point_id")
 
 
 def chunk_pair(chunks: DataFrame, df: DataFrame, ref: DataFrame, size: float, stride: float, key: str = "ref_id") -> DataFrame:

@@ -18,7 +18,7 @@ def fuse_frames(dfs, size: float, avg_cols=("x", "y", "z"), first_cols=()) -> Da
 def common_cells(a: DataFrame, b: DataFrame, keys) -> DataFrame:
     """Cells that both samples have, with both mean features in long form (keys, pos, a, b)."""
     m = lambda d, n: vector_mean(d, keys).select(*keys, "pos", F.col("v").alias(n))
-    return m(a, "a").join(m(b, "b"), [*keys, "pos"])
+    return m(a, "a").join(m(b, "b").hint("merge"), [*keys, "pos"])
 
 
 def distinct_rows(df: DataFrame, feat: str = "feat") -> DataFrame:
