@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cosine, dot, norm
+from pointloom.functions.shared import saved
 from pointloom.operators.aggregate import majority_label  # noqa: F401
 from pointloom.operators.sampling import draw
 
@@ -155,30 +157,42 @@ def part_iou(df: DataFrame, parts: DataFrame) -> DataFrame:
     return s.groupBy("category").agg(F.count("*").alias("shapes"), F.avg("iou").alias("iou"))
 
 
+def assign_instances(pairs: DataFrame) -> DataFrame:
+    """(scene_id, class, threshold, pred_id, instance): predictions in the order of their scores (then ids) take the free instance
+    that they overlap most (then the least id). pairs: these columns, score and iou, only what may be matched.
+
+    In a round, a prediction and an instance are matched if the one is the prediction's best and no better prediction wants the
+    other; nobody that comes later can change that, so the rounds end in what the order gives. The first prediction of every
+    group is matched in each round, and all groups go on at once; only pairs of two free ends are carried on. There are as many
+    rounds as the longest chain of predictions that each want what the one before takes.
+    """
+    keys = ["scene_id", "class", "threshold"]
+    left, out = saved(pairs.select(*keys, "pred_id", "instance", "score", "iou"), "pairs"), []
+    while not left.isEmpty():
+        best = F.max_by("instance", F.struct("iou", -F.col("instance"))).over(Window.partitionBy(*keys, "pred_id"))
+        first = F.max_by("pred_id", F.struct("score", -F.col("pred_id"))).over(Window.partitionBy(*keys, "instance"))
+        met = left.withColumn("_best", best).withColumn("_first", first).where("_best = instance and _first = pred_id")
+        out.append(saved(met.select(*keys, "pred_id", "instance"), "matched"))
+        for end in ("pred_id", "instance"):
+            left = left.join(out[-1].select(*keys, end).hint("merge"), [*keys, end], "left_anti")
+        left = saved(left, "pairs")
+    return reduce(DataFrame.unionByName, out) if out else left.select(*keys, "pred_id", "instance")
+
+
 def instance_ap(matches: DataFrame, preds: DataFrame, gt: DataFrame, thresholds=(0.25, 0.5, 0.75), min_region: int = 1) -> DataFrame:
     """(class, threshold, ap): average precision of predicted instances.
 
     matches: scene_id, pred_id, instance, class, iou; preds: scene_id, pred_id, class, score, n, void_share; gt: scene_id,
-    instance, class, n. Per scene, class and threshold the predictions are matched greedily by score (then id) to the true
-    instance of highest IoU that is still free; unmatched predictions that are mostly void or small don't count.
+    instance, class, n. Per scene, class and threshold the predictions are matched by score (then id) to the true instance of
+    highest IoU that is still free (``assign_instances``); unmatched predictions that are mostly void or small don't count.
     """
     levels = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    pairs = preds.join(matches, ["scene_id", "pred_id", "class"], "left").select("scene_id", "class", "pred_id", "score", "n", "void_share", "instance", "iou", levels)
-
-    def assign(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        d = d.sort_values(["score", "pred_id"], ascending=[False, True], kind="stable")
-        for pid, g in d.groupby("pred_id", sort=False):
-            ok = g[(g["iou"] > key[2]) & ~g["instance"].isin(taken)].sort_values(["iou", "instance"], ascending=[False, True])
-            first = g.iloc[0]
-            if len(ok):
-                taken.add(ok.iloc[0]["instance"])
-                rows.append((key[1], key[2], float(first["score"]), 1, 0))
-            elif first["void_share"] <= key[2] and first["n"] >= min_region:
-                rows.append((key[1], key[2], float(first["score"]), 0, 1))
-        return pd.DataFrame(rows, columns=["class", "threshold", "score", "tp", "fp"])
-
-    hits = pairs.groupBy("scene_id", "class", "threshold").applyInPandas(assign, "class int, threshold double, score double, tp int, fp int")
+    each = saved(preds.select("scene_id", "class", "pred_id", "score", "n", "void_share", levels), "predictions")
+    pairs = each.join(matches.hint("merge"), ["scene_id", "pred_id", "class"]).where(F.col("iou") > F.col("threshold"))
+    met = assign_instances(pairs).withColumn("_met", F.lit(True))
+    hits = each.join(met.hint("merge"), ["scene_id", "class", "threshold", "pred_id"], "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+    hits = hits.where(F.col("_met") | ((F.col("void_share") <= F.col("threshold")) & (F.col("n") >= min_region)))
+    hits = hits.select("class", "threshold", "score", F.col("_met").cast("int").alias("tp"), (~F.col("_met")).cast("int").alias("fp"))
     total = gt.where(F.col("n") >= min_region).groupBy("class").agg(F.count("*").alias("gts"))
     # precision and recall at each score, then the area under the precision envelope
     by = hits.groupBy("class", "threshold", "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))

@@ -463,7 +463,22 @@ def ap_inputs(t):
     return m.select("scene_id", "pred_id", "instance", "class", "iou"), np_.withColumns({"score": (F.col("pred_id") % 13) / 13, "void_share": F.lit(0.0)}), ng.withColumnRenamed("m", "n")
 
 
-@query("k15_instance_ap")
+AP_SQL = """with recursive g as (select scene_id, point_id, instance % 10 * 10 + segment inst, segment class from points where segment >= 0), p as (select *, case when point_id % 4 = 0 then (inst + 10) % 100 else inst end pred_id from g),
+    np as (select scene_id, pred_id, class, count(*) n, (pred_id % 13)/13e0 score from p group by 1,2,3), ng as (select scene_id, inst, class, count(*) m from g group by 1,2,3),
+    k as (select scene_id, pred_id, inst, class, count(*) k from p group by 1,2,3,4), lv as (select unnest([0.25e0, 0.5e0, 0.75e0]) threshold),
+    m as (select k.scene_id, k.class, lv.threshold, k.pred_id, k.inst, k.k/(n+m-k.k) iou from k join np using (scene_id, pred_id, class) join ng on ng.scene_id=k.scene_id and ng.inst=k.inst and ng.class=k.class cross join lv where k.k/(n+m-k.k) > lv.threshold),
+    q as (select np.*, lv.threshold, row_number() over (partition by scene_id, class, threshold order by score desc, pred_id) rn from np cross join lv),
+    r as (select scene_id, class, threshold, cast(0 as bigint) rn, cast([] as bigint[]) taken, cast(null as double) score, cast(null as bigint) hit from (select distinct scene_id, class, threshold from q) z union all
+        select scene_id, class, threshold, rn, case when hit is null then taken else list_append(taken, hit) end, score, hit from (select q.scene_id, q.class, q.threshold, q.rn, any_value(r.taken) taken, any_value(q.score) score,
+        cast(first(m.inst order by m.iou desc, m.inst) filter (where m.inst is not null and not list_contains(r.taken, m.inst)) as bigint) hit from r join q on q.scene_id=r.scene_id and q.class=r.class and q.threshold=r.threshold and q.rn=r.rn+1
+        left join m on m.scene_id=q.scene_id and m.class=q.class and m.threshold=q.threshold and m.pred_id=q.pred_id group by 1,2,3,4) s),
+    h as (select class, threshold, score, count(hit) tp, count(*)-count(hit) fp from r where rn > 0 group by 1,2,3), c as (select *, sum(tp) over w ctp, sum(fp) over w cfp from h window w as (partition by class, threshold order by score desc)),
+    e as (select c.*, ctp/gts recall, ctp/(ctp+cfp) prec from c join (select class, count(*) gts from ng group by 1) t on t.class=c.class),
+    f as (select *, max(prec) over (partition by class, threshold order by score desc rows between current row and unbounded following) best, recall-coalesce(lag(recall) over (partition by class, threshold order by score desc), 0) step from e)
+    select class, cast(threshold as double) threshold, round(sum(best*step),6)+0 ap from f group by 1,2"""
+
+
+@query("k15_instance_ap", AP_SQL)
 def _(t):
     return rounded(E.instance_ap(*ap_inputs(t)))
 
