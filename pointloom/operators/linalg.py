@@ -419,17 +419,3 @@ def shared_basis(df: DataFrame, r: int) -> tuple[np.ndarray, float]:
     """One uncentred basis over every row of every scene, with the share of energy that it explains."""
     s, v = singular(df)
     return v[:, :r], float((s[:r] ** 2).sum() / (s**2).sum())
-
-
-def crop_obb(df: DataFrame, ref: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Points inside the box of the reference points along their principal axes (not the smallest box), widened."""
-    d = ref.select(F.array("x", "y", "z").alias("feat"))
-    g, s, _, n = cross_sums(d)
-    mean = s / n
-    _, v = basis(g / n - np.outer(mean, mean), 3)
-    turn = lambda f: [sum((F.col(c) - float(mean[i])) * float(v[i, k]) for i, c in enumerate("xyz")) for k in range(3)]
-    ends = ref.agg(*(f(e).alias(f"{n}{k}") for k, e in enumerate(turn(ref)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    out = df
-    for k, e in enumerate(turn(df)):
-        out = out.where(e.between(ends[f"lo{k}"] - margin, ends[f"hi{k}"] + margin))
-    return out

@@ -7,8 +7,10 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from pointloom.functions import columns as C
 from pointloom.functions.shared import shared_dir
 from pointloom.operators import aggregate as A
+from pointloom.operators import boxes as B
 from pointloom.operators import linalg as L
 from pointloom.plans.pipeline import Pipeline
 from pointloom.plans.q_aggregate import PAIR, features_b, view_feats
@@ -224,9 +226,21 @@ def _(t):
     return rounded(table(t, v.T @ v).withColumn("share", F.lit(share)))
 
 
-@query("c4_crop_obb")
+@query("c4_crop_obb", """with b as (select scene_id, min(x) lx, max(x) hx, min(y) ly, max(y) hy, min(z) lz, max(z) hz from ref_points where x < 25 and z > 2 group by 1)
+    select point_id from points p join b on b.scene_id=p.scene_id where x between lx-0.50000037 and hx+0.50000037 and y between ly-0.50000037 and hy+0.50000037 and z between lz-0.50000037 and hz+0.50000037""")
 def _(t):
-    return L.crop_obb(t.points, t.ref_points.where("x < 25 and z > 2"), 0.5).select("point_id")
+    """Reference points with the corners of their bounds, all turned: the smallest box is the one whose axes are turned alike."""
+    ref = t.ref_points.where("x < 25 and z > 2").select("scene_id", *C.XYZ)
+    b = ref.groupBy("scene_id").agg(*(F.array(F.min(c), F.max(c)).alias(c) for c in C.XYZ))
+    for c in C.XYZ:
+        b = b.withColumn(c, F.explode(c))
+    return B.crop_obb(turned(t.points), turned(ref.unionByName(b)), 0.50000037).select("point_id")
+
+
+def turned(df):
+    """Turned by arctan 4/3 round z, then by arctan 3/4 round x."""
+    x, y, z = F.col("x") * 0.6 - F.col("y") * 0.8, F.col("x") * 0.8 + F.col("y") * 0.6, F.col("z")
+    return df.withColumns({"x": x, "y": y * 0.8 - z * 0.6, "z": y * 0.6 + z * 0.8})
 
 
 @query("a1_read_points", "select point_id, scene_id, x, y, z, segment from points where split = 'val'")
