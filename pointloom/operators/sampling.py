@@ -243,8 +243,8 @@ def sphere_cover(df: DataFrame, n: int, lot: int = 256, seed: int = 0) -> DataFr
     are in no crop.
 
     Exactly so, but in lots: the first points that no crop holds are centres together, and those that an earlier accepted centre
-    of the lot holds are left out, as they would have been one after the other. A lot has about as many centres as crops of
-    disjoint points would need, ``lot`` at most. Rounds carry only points that are not held yet."""
+    of the lot holds are left out, as they would have been one after the other. A lot has four times as many centres as crops
+    of disjoint points would need, ``lot`` at most. Rounds carry only points that are not held yet."""
     d = df.select("scene_id", "point_id", *(F.col(c).cast("double").alias(c) for c in XYZ)).where(" and ".join(f"abs({c}) < double('infinity')" for c in XYZ)).withColumn("_o", draw(seed))
     box = d.groupBy("scene_id").agg(F.greatest(*(F.max(c) - F.min(c) for c in XYZ)).alias("_edge"), F.count("*").alias("_all"), *(F.min(c).alias(f"_{c}") for c in XYZ))
     # cells a quarter as wide as a crop of evenly spread points on a surface
@@ -254,7 +254,7 @@ def sphere_cover(df: DataFrame, n: int, lot: int = 256, seed: int = 0) -> DataFr
     cells = saved(d.groupBy("scene_id", "_c").agg(F.count("*").alias("_n"), *(f(c).alias(f"{k}{c}") for c in XYZ for k, f in (("l", F.min), ("h", F.max)))), "cells")
     left, done, out = d.select("scene_id", "point_id", "_o", *XYZ), None, []
     while True:
-        sizes = left.groupBy("scene_id").agg(F.ceil(F.count("*") / n).alias("_due"))
+        sizes = left.groupBy("scene_id").agg((4 * F.ceil(F.count("*") / n)).alias("_due"))
         first = left.withColumn("_at", F.row_number().over(Window.partitionBy("scene_id").orderBy("_o", "point_id"))).where(F.col("_at") <= lot)
         centres = saved(first.join(sizes.hint("merge"), "scene_id").where("_at <= _due").select("scene_id", "_at", "point_id", F.col("_o").alias("_po"), *(F.col(c).alias(f"p{c}") for c in XYZ)), "centres")
         if centres.isEmpty():
