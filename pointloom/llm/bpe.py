@@ -37,6 +37,29 @@ DECODE = 4096
 UNICODE_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_CONTROLS = regex.compile("[\x1c-\x1f]")
 
+#: Fixed values. Letters and numbers that ``regex`` knows and the tokenizers library's splitter, at Unicode 16, does not.
+LATER = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1"
+    r"\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF"
+    r"\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6"
+    r"\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    r"\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479"
+    r"\U0003D000-\U0003FC3F"
+)
+#: Fixed values. Marks that joined Unicode after version 9, which the library's normaliser neither moves nor joins to what stands before.
+LATER_MARKS = (
+    r"\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C"
+    r"\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070"
+    r"\U0001133B\U0001145E\U00011839-\U0001183A\U00011930\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47"
+    r"\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1\U0001E08F"
+    r"\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
+APART = regex.compile(f"([{LATER_MARKS}])")
+#: Fixed values. Capitals of Unicode 16 and 17 with their small letters: one by one, and ranges with the distance.
+NEW_CAPITALS = ((0x1C89, 0x1C8A), (0xA7CB, 0x0264), (0xA7CC, 0xA7CD), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D3), (0xA7D4, 0xA7D5), (0xA7DA, 0xA7DB), (0xA7DC, 0x019B))
+NEW_CAPITAL_RANGES = ((0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+
 
 def byte_letters() -> list[str]:
     """One printable character for each byte: bytes that print stand for themselves, the rest follow from 256 on."""
@@ -45,6 +68,26 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(extra)) for b in range(256)]
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    """The file's pattern with the letters and numbers of Unicode 16; ``LATER`` ones are neither."""
+    for kind in "LN":
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[\\p{{{kind}}}--[{LATER}]]")
+    return regex.compile(pattern.replace("[^\\s\\p{L}\\p{N}]", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{LATER}])"), regex.V1)
+
+
+def composed(text: str) -> str:
+    """NFC as the library's normaliser has it: ``LATER_MARKS`` are ordinary characters, which part what stands on either side."""
+    return "".join([unicodedata.normalize("NFC", part) for part in APART.split(text)])
+
+
+def small_letters() -> dict[int, str]:
+    """Small letters of capitals that joined Unicode after 15.1, and the small sigma wherever a capital one stands."""
+    pairs = dict(NEW_CAPITALS)
+    for first, last, by in NEW_CAPITAL_RANGES:
+        pairs |= {c: c + by for c in range(first, last + 1)}
+    return {c: chr(to) for c, to in pairs.items()} | {ord("\u03a3"): "\u03c3"}
+
+
 class Vocabulary:
     """A BPE model: pieces, merges, the mark of word ends and the special tokens."""
 
@@ -60,8 +103,8 @@ class Vocabulary:
         for k, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank.setdefault((a, b), k)
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.letters = byte_letters()
+        self.pattern = splitter(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.letters, self.small = byte_letters(), small_letters()
         self.window = self.lookahead()
         self.size = {i: len(self.symbols_of_piece(p)) for p, i in self.ids.items()}
         #: What a token can end with: the id where it is a whole token, else -1. Only pieces that the merges rebuild count.
@@ -195,10 +238,10 @@ class Encoder:
         return known
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Text without white space."""
-        if chunk[-1] in PUNCTUATION and len(chunk) > 1 and chunk[-2].lower()[-1].isalpha():  # the mark is a piece of its own
+        """Text without white space. A mark at its end is a piece of its own after an ASCII letter, which nothing joins."""
+        if chunk[-1] in PUNCTUATION and chunk.isascii() and chunk[:-1][-1:].isalpha():
             return (self.seen.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.word(chunk[-1])
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        plain = chunk if chunk.isascii() else composed(chunk).translate(self.v.small)
         out: list[int] = []
         for piece in self.v.pattern.findall(plain.lower()):
             out += self.word(piece)

@@ -1,6 +1,7 @@
 """Secrets, near duplicates and BPE against plain Python versions and the tokenizers library."""
 
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -175,6 +176,29 @@ def test_bpe_odd_text():
         assert e.encode(s) == ids and d.decode(ids) == t.decode(ids, skip_special_tokens=False), repr(s)
 
 
+def test_bpe_every_character():
+    """Every assigned character alone and beside letters, numbers and marks, apart and put together."""
+    t, e = Tokenizer.from_file(VOCAB), bpe.encoder(VOCAB)
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Co"]
+    dense = ((0x3500, 0x9F00), (0xAC80, 0xD780), (0x17100, 0x18A00), (0x20100, 0x2A600), (0x2B000, 0x2CE00), (0x2D000, 0x2EB00), (0x30100, 0x31300), (0x34000, 0x3D000), (0x40000, 0xE0000))
+    known = [c for c in known if not any(a <= ord(c) < b for a, b in dense)]  # ideographs and syllables alike, but for their ends
+    apart = [d for c in known if (d := unicodedata.normalize("NFD", c)) != c]
+    for context in ("{}", "{}.", "a{}", "{}a", "1{}.!"):
+        texts = [context.format(c) for c in known + apart]
+        want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert [s for s, ids in zip(texts, want) if e.encode(s) != ids] == []
+
+
+def test_bpe_random_characters():
+    t, e, rng = Tokenizer.from_file(VOCAB), bpe.encoder(VOCAB), random.Random(5)
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    marks = [c for c in known if unicodedata.combining(c)]
+    pick = lambda r: rng.choice("abcdeST  \n.,;:!?'s12" if r < 0.4 else marks if r < 0.6 else known)
+    texts = ["".join(pick(rng.random()) for _ in range(rng.randrange(1, 25))) for _ in range(100_000)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [s for s, ids in zip(texts, want) if e.encode(s) != ids] == []
+
+
 def test_bpe_streams_in_constant_memory():
     e, rng = bpe.encoder(VOCAB), random.Random(4)
     run, out, most = bpe.Transducer(e.v), [], 0
