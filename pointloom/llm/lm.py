@@ -5,8 +5,8 @@ dealt into classes of equal count mass, and every other word is one unknown word
 count. So the model is a distribution over all texts. The recurrent network is gated (update and reset gate), its softmax is
 factored into class and word in class, and its output biases start from the corpus counts.
 
-Training: one pass reads all words of all training documents. Documents are dealt at random over rounds and tasks; a task reads
-many side by side, each in windows of ``STRETCH`` words or more from its start to its end, the state carried from window to window. Every
+Training: every round reads all words of all training documents. Documents are dealt at random over tasks; a task reads many
+side by side, each in windows of ``STRETCH`` words from its start to its end, the state carried from window to window. Every
 window is one truncated back-propagation step in numpy from common weights, and the weighted mean of all tasks' weights starts
 the next round. Scoring: documents of an Arrow batch are packed into lanes that advance together; windows follow each
 other with the state carried over, and a document starts from the empty state wherever it stands in its lane.
@@ -31,8 +31,8 @@ from pointloom.llm.common import scratch, written
 END = b""
 #: Words that every task holds with their counts (the bound on what is broadcast), and those the network knows.
 TOP_WORDS = 120_000
-MODEL_WORDS = 2048
-CLASSES = 32
+MODEL_WORDS = 4096
+CLASSES = 64
 HIDDEN = 24
 STRETCH = 24
 ROUNDS = 2
@@ -40,14 +40,11 @@ LANES = 384
 WINDOW = 32
 #: Words whose class softmax is laid out at once.
 SLICE = 2048
-#: Documents that a task trains on side by side at most, and the steps that it is to take at least: with few words it trains on
-#: fewer documents at once. When fewer documents are left than that, their windows get longer instead, up to so many times.
+#: Documents that a task trains on side by side, whatever the size of the table.
 TRAIN_LANES = 192
-STEPS = 400
-LONGER = 16
 #: Documents of as many words begin first in their task.
 LONG = 2000
-#: Training words that one task takes in a round, about; tasks grow with the corpus.
+#: Training words that one task takes, about; tasks grow with the corpus.
 TASK_WORDS = 2_000_000
 
 
@@ -245,25 +242,23 @@ class Recurrent:
             out += np.bincount(own[real], weights=logp, minlength=len(docs))
         return out
 
-    def read(self, docs: Iterator[np.ndarray], rate: float = 0.1, most: int | None = None) -> int:
-        """One training pass over whole documents (ids that end with the end word), ``most`` of them at once. Each takes a lane from
-        its first window to its last, with the state carried over; the lane then goes to the next document. Returns the number of
-        words read."""
-        docs, lanes, h, seen, most = iter(docs), [], np.zeros((0, self.h), np.float32), 0, most or TRAIN_LANES
+    def read(self, docs: Iterator[np.ndarray], rate: float = 0.1) -> int:
+        """One training pass over whole documents (ids that end with the end word). Each takes a lane from its first window to
+        its last, with the state carried over; the lane then goes to the next document. Returns the number of words read."""
+        docs, lanes, h, seen = iter(docs), [], np.zeros((0, self.h), np.float32), 0
         while True:
             going = [k for k, (ids, at) in enumerate(lanes) if at < len(ids)]
-            fresh = list(islice(docs, most - len(going)))
+            fresh = list(islice(docs, TRAIN_LANES - len(going)))
             lanes = [lanes[k] for k in going] + [[ids, 0] for ids in fresh]
             if not lanes:
                 return seen
             h = np.concatenate([h[going], np.zeros((len(fresh), self.h), np.float32)])
-            wide = STRETCH * min(LONGER, max(1, most // len(lanes)))
-            sizes = np.array([min(wide, len(ids) - at) for ids, at in lanes])
+            sizes = np.array([min(STRETCH, len(ids) - at) for ids, at in lanes])
             x = np.zeros((len(lanes), sizes.max()), np.int32)
             for k, lane in enumerate(lanes):
-                x[k, : sizes[k]] = lane[0][lane[1] : lane[1] + wide]
-                lane[1] += wide
-            self.train(x, rate, h, sizes, most * STRETCH)
+                x[k, : sizes[k]] = lane[0][lane[1] : lane[1] + STRETCH]
+                lane[1] += STRETCH
+            self.train(x, rate, h, sizes, TRAIN_LANES * STRETCH)
             seen += int(sizes.sum())
 
     def train(self, x: np.ndarray, rate: float = 0.1, state: np.ndarray | None = None, sizes: np.ndarray | None = None, least: int = 1) -> float:
@@ -382,7 +377,7 @@ def model_words(docs: DataFrame, shared) -> DataFrame:
 
 
 def fit(docs: DataFrame, shared, lex: Lexicon, n: int, rounds: int = ROUNDS) -> Recurrent:
-    """The network after one pass over all ``n`` words of all training documents, dealt over ``rounds`` with a common start. What comes back from a round is one
+    """The network after ``rounds`` of training over all ``n`` words of all training documents. What comes back from a round is one
     sum of weights, added up in Spark by blocks; its size is that of the network."""
     spark = docs.sparkSession
     net = Recurrent(lex)
@@ -390,23 +385,21 @@ def fit(docs: DataFrame, shared, lex: Lexicon, n: int, rounds: int = ROUNDS) ->
         return net
     # dealt by row, so that a text that occurs often goes to many tasks; long documents come first, lest they go on in few lanes
     # when the others are done
-    tasks = math.ceil(n / rounds / TASK_WORDS)
-    lanes = min(TRAIN_LANES, max(1, n // (rounds * tasks * STEPS * STRETCH)))
-    dealt = model_words(docs, shared).withColumn("turn", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(rounds)))
-    dealt = written(dealt.repartition(tasks, F.xxhash64("row")).sortWithinPartitions("turn", F.size("ids") < LONG, F.xxhash64("row", F.lit(1))), "lm-dealt")
+    dealt = model_words(docs, shared).repartition(math.ceil(n / TASK_WORDS), F.xxhash64("row")).sortWithinPartitions(F.size("ids") < LONG, F.xxhash64("row", F.lit(1)))
+    dealt = written(dealt, "lm-dealt")
     block = 1 << 14
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             mine = Recurrent(shared.value).load(start.value)
-            seen = mine.read((np.asarray(ids.values) for batch in batches for ids in batch.column(0)), 0.1 / (1 + turn), lanes)
+            seen = mine.read((np.asarray(ids.values) for batch in batches for ids in batch.column(0)), 0.1 / (1 + turn))
             if seen:
                 flat = mine.flat().astype(np.float64) * seen
                 parts = [flat[i : i + block] for i in range(0, len(flat), block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["block", "seen", "weights"])
 
-        parts = dealt.where(F.col("turn") == turn).select("ids").mapInArrow(run, "block int, seen long, weights array<double>")
+        parts = dealt.select("ids").mapInArrow(run, "block int, seen long, weights array<double>")
         # tasks send blocks; equal blocks meet and are added up as they arrive
         summed = parts.groupBy("block").applyInArrow(add_blocks, "block int, seen long, weights array<double>")
         rows = sorted(summed.collect())
