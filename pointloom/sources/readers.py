@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from contextlib import ExitStack
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.sampling import draw
 
+#: Bytes of array and vertex files that one task reads, and the rows that it holds at a time.
+TASK_BYTES = 128 << 20
+READ_ROWS = 16_384
+
 
 def read_points(spark: SparkSession, path: str, split: str | None = None, columns=None) -> DataFrame:
     """Labelled points partitioned by split and scene_id; unknown columns are left out, missing labels become -1."""
@@ -60,59 +68,167 @@ def ply_bytes(d: pd.DataFrame) -> bytes:
     return head.encode("ascii") + np.ascontiguousarray(d.to_numpy(dtype="<f8")).tobytes()
 
 
-def ingest_arrays(spark: SparkSession, path: str, attributes) -> DataFrame:
-    """Scenes stored as folders of one array file per attribute (row i of each is point i): scene, row, and one array column
-    per attribute. All files of all scenes are one job; attributes meet by (scene, row)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for p, raw in zip(d["path"], d["content"]):
-                a = np.load(io.BytesIO(raw), allow_pickle=False)
-                a = a.reshape(len(a), -1).astype(np.float64)
-                scene, name = p.rsplit("/", 2)[-2:]
-                for i in range(0, len(a), 65536):
-                    yield pd.DataFrame({"scene": scene, "attr": name[:-4], "row": np.arange(i, min(i + 65536, len(a))), "value": list(a[i : i + 65536])})
-
-    long = files(spark, path, "*.npy").select("path", "content").mapInPandas(run, "scene string, attr string, row long, value array<double>")
-    out = None
-    for name in attributes:
-        one = long.where(F.col("attr") == name).select("scene", "row", F.col("value").alias(name))
-        out = one if out is None else out.join(one, ["scene", "row"], "left")
-    return out
-
-
-PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "float32": "f4", "float64": "f8", "uint8": "u1", "int32": "i4"}
-
+def opened(path: str):
+    """A file of the session's storage, to be read at any place."""
+    from pyarrow import fs
 
-def parse_ply(raw: bytes) -> np.ndarray:
-    """The vertex table of a binary little-endian or ASCII file."""
-    head, _, body = raw.partition(b"end_header\n")
-    kind, n, fields, inside = "ascii", 0, [], False
-    for line in head.decode("ascii").splitlines():
-        w = line.split()
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def ranges(listed: DataFrame, task_bytes: int) -> DataFrame:
+    """Rows of files (with ``length``) once for each ``task_bytes`` that begin in the file, as ``start``, dealt to about as many
+    tasks as the bytes fill. Only the sum of lengths reaches the driver."""
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    return listed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), "length", F.lit(task_bytes).cast("long")))).repartition(max(1, -(-total // task_bytes)))
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Rows of equal width in a file: where they begin, how many there are, and, if they lie column by column, the place of each."""
+
+    at: int
+    n: int
+    dtype: np.dtype
+    columns: int = 1
+    places: tuple[int, ...] | None = None
+
+    def whole(self, f) -> Rows:
+        """These rows, if the file has them all."""
+        if f.size() < self.at + self.n * self.dtype.itemsize * self.columns:
+            raise ValueError("the file ends before its last row")
+        return self
+
+    def begin(self, byte: int) -> int:
+        """The first row that begins at ``byte`` of the file or after it."""
+        width = self.dtype.itemsize * self.columns
+        return min(self.n, max(0, -(-(byte - self.at) // width))) if width else self.n * (byte > self.at)
+
+    def read(self, f, first: int, last: int) -> np.ndarray:
+        """Rows ``first`` to ``last`` as last - first by ``columns`` values, as many as the file has of them."""
+        n, size = max(first, min(last, self.n)) - first, self.dtype.itemsize
+        part = lambda value, count: np.frombuffer(f.read_at(count * size, self.at + value * size) if count else b"", self.dtype)
+        if self.places is None:
+            return part(first * self.columns, n * self.columns).reshape(n, self.columns)
+        return np.stack([part(k * self.n + first, n) for k in self.places], axis=1)
+
+
+def array_rows(f) -> Rows:
+    """What the header of an array file says."""
+    version = np.lib.format.read_magic(f)
+    shape, by_column, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if dtype.hasobject or not shape:
+        raise ValueError("an array file of numbers, with rows, is needed")
+    columns = int(np.prod(shape[1:], dtype=np.int64))
+    places = tuple(np.arange(columns).reshape(shape[1:], order="F").ravel().tolist()) if by_column and columns > 1 else None
+    return Rows(f.tell(), shape[0], dtype, columns, places).whole(f)
+
+
+def ingest_arrays(spark: SparkSession, path: str, attributes, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Scenes stored as folders of one array file per attribute (row i of each is point i): scene, row, and one array column
+    per attribute. The rows are those of the first attribute; others are null where their file is missing or shorter.
+
+    A task takes the rows of some ``task_bytes`` of the first attribute's file and the same rows of the others, by offset, so
+    large files are shared by many tasks, nothing is joined, and files of other attributes are never opened. A file that is
+    shorter than its header says is an error; a file of no rows gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = dict(r["files"])
+                with ExitStack() as stack:
+                    of = {}
+                    for name in attributes:
+                        if name in held:
+                            f = stack.enter_context(opened(held[name]))
+                            of[name] = (f, array_rows(f))
+                    lead = of[attributes[0]][1]
+                    first, end = lead.begin(r["start"]), lead.begin(r["start"] + task_bytes)
+                    for i in range(first, end, READ_ROWS):
+                        j = min(i + READ_ROWS, end)
+                        columns = [pa.array([r["scene"]] * (j - i)), pa.array(np.arange(i, j))]
+                        for name in attributes:
+                            f, rows = of.get(name, (None, None))
+                            got = rows.read(f, min(i, rows.n), j).astype(np.float64) if rows else np.empty((0, 1))
+                            sizes = np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]
+                            column = pa.ListArray.from_arrays(pa.array(sizes), pa.array(got.ravel()))
+                            columns.append(pa.concat_arrays([column, pa.nulls(j - i - len(got), column.type)]))
+                        yield pa.RecordBatch.from_arrays(columns, names=["scene", "row", *attributes])
+
+    listed = files(spark, path, "*.npy", content=False).select("path", "length", F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("attr"), F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("at"))
+    scenes = listed.where(F.col("attr").isin(list(attributes))).groupBy("at").agg(F.max(F.when(F.col("attr") == attributes[0], F.col("length"))).alias("length"), F.map_from_entries(F.collect_list(F.struct("attr", "path"))).alias("files"))
+    scenes = scenes.where("length is not null").select(F.element_at(F.split("at", "/"), -1).alias("scene"), "length", "files")
+    return ranges(scenes, task_bytes).mapInArrow(run, "scene string, row long, " + ", ".join(f"`{a}` array<double>" for a in attributes))
+
+
+PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "float32": "f4", "float64": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4"}
+
+
+def vertex_rows(f) -> tuple[Rows, int | None]:
+    """Where the vertices of a file are, as its header says. Elements before them have to be of equal width each. If they are
+    text, ``at`` counts lines in place of bytes, and where the lines begin comes second, else None."""
+    head = f.read(4096)
+    while b"end_header" not in head or b"\n" not in head[head.index(b"end_header") :]:
+        more = f.read(4096)
+        if not more:
+            raise ValueError("the file has no whole header")
+        head += more
+    body = at = head.index(b"\n", head.index(b"end_header")) + 1
+    kind, elements = "ascii", []
+    for w in map(str.split, head[:body].decode("ascii", "replace").splitlines()):
         if w[:1] == ["format"]:
             kind = w[1]
         elif w[:1] == ["element"]:
-            inside = w[1] == "vertex"
-            n = int(w[2]) if inside else n
-        elif w[:1] == ["property"] and inside:
-            fields.append((w[2], "<" + PLY_TYPES[w[1]]))
-    if kind == "binary_little_endian":
-        return np.frombuffer(body, dtype=fields, count=n)
-    rows = [tuple(map(float, line.split()[: len(fields)])) for line in body.decode("ascii").splitlines()[:n]]
-    return np.array(rows, dtype=fields)
-
-
-def ingest_ply(spark: SparkSession, path: str, columns=("x", "y", "z")) -> DataFrame:
-    """file, row and the named vertex properties as doubles, null where a file lacks one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for p, raw in zip(d["path"], d["content"]):
-                v = parse_ply(raw)
-                yield pd.DataFrame({"file": p.rsplit("/", 1)[-1], "row": np.arange(len(v))} | {c: v[c].astype(np.float64) if c in v.dtype.names else np.full(len(v), np.nan) for c in columns})
-
-    return files(spark, path, "*.ply").select("path", "content").mapInPandas(run, "file string, row long, " + ", ".join(f"{c} double" for c in columns))
+            elements.append((w[1], int(w[2]), []))
+        elif w[:1] == ["property"]:
+            elements[-1][2].append((w[-1], None if w[1] == "list" else (">" if kind == "binary_big_endian" else "<") + PLY_TYPES[w[1]]))
+    text = kind == "ascii"
+    at = 0 if text else at
+    for name, n, fields in elements:
+        if any(t is None for _, t in fields):
+            raise ValueError(f"lists in or before the vertices ({name})")
+        rows = Rows(at, n, np.dtype(fields))
+        if name == "vertex":
+            return (rows, body) if text else (rows.whole(f), None)
+        at += n * (1 if text else rows.dtype.itemsize)
+    return Rows(at, 0, np.dtype("f8")), None
+
+
+def text_rows(f, rows: Rows, body: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Vertices that are lines of text, some at a time, with the place of the first; the lines begin at ``body``."""
+    f.seek(body)
+    lines = islice(io.TextIOWrapper(f, encoding="ascii"), rows.at, rows.at + rows.n)
+    first = 0
+    while part := list(islice(lines, READ_ROWS)):
+        yield first, np.array([tuple(map(float, line.split()[: len(rows.dtype)])) for line in part], dtype=rows.dtype)
+        first += len(part)
+
+
+def ingest_ply(spark: SparkSession, path: str, columns=("x", "y", "z"), task_bytes: int = TASK_BYTES) -> DataFrame:
+    """file, row and the named vertex properties as doubles, null where a file lacks one.
+
+    A task takes the vertices that begin in ``task_bytes`` of a binary file, little or big end first, so a large one is shared by
+    many tasks; only the named properties leave it. Text has no row width: one task reads a text file, some lines at a time. A
+    file that is shorter than its header says is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with opened(r["path"]) as f:
+                    rows, body = vertex_rows(f)
+                    if body is not None:
+                        parts = text_rows(f, rows, body) if r["start"] == 0 else ()
+                    else:
+                        first, end = rows.begin(r["start"]), rows.begin(r["start"] + task_bytes)
+                        parts = ((i, rows.read(f, i, min(i + READ_ROWS, end))[:, 0]) for i in range(first, end, READ_ROWS))
+                    for i, v in parts:
+                        values = [pa.array(v[c].astype(np.float64)) if c in v.dtype.names else pa.nulls(len(v), pa.float64()) for c in columns]
+                        yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(v)), pa.array(np.arange(i, i + len(v))), *values], names=["file", "row", *columns])
+
+    listed = files(spark, path, "*.ply", content=False).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return ranges(listed, task_bytes).mapInArrow(run, "file string, row long, " + ", ".join(f"`{c}` double" for c in columns))
 
 
 def ingest_camera_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
