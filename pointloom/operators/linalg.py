@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.columns import cosine, dot, norm
 from pointloom.functions.shared import saved
 from pointloom.operators.order import quantiles
+from pointloom.operators.pairs import block_pairs, stacked
 
 BLOCK = 512
 
@@ -242,41 +243,75 @@ def silhouette(df: DataFrame) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.avg(F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("silhouette"))
 
 
-def jm_gaussian(df: DataFrame, min_rows: int = 10, reg: float = 1e-6) -> DataFrame:
-    """(a, b, jm): Jeffries-Matusita distance of Gaussian classes with more than ``min_rows`` rows."""
-    long = gram(df, keys=("segment",))
-    first = df.select("segment", F.posexplode("feat").alias("i", "v")).groupBy("segment", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    stats = {}
-    for r in first.where(F.col("n") > min_rows).toArrow().to_pylist():
-        stats.setdefault(r["segment"], {"n": r["n"], "s": {}, "g": {}})["s"][r["i"]] = r["s"]
-    for r in long.toArrow().to_pylist():
-        if r["segment"] in stats:
-            stats[r["segment"]]["g"][r["i"], r["j"]] = r["v"]
-    form = {}
-    for k, t in stats.items():
-        d = len(t["s"])
-        mean = np.array([t["s"][i] for i in range(d)]) / t["n"]
-        g = np.zeros((d, d))
-        for (i, j), v in t["g"].items():
-            g[i, j] = g[j, i] = v
-        form[k] = mean, g / t["n"] - np.outer(mean, mean) + reg * np.eye(d)
-    rows = []
-    for a in sorted(form):
-        for b in sorted(form):
-            if a < b:
-                (m1, c1), (m2, c2) = form[a], form[b]
-                c = (c1 + c2) / 2
-                ld = lambda x: np.linalg.slogdet(x)[1]
-                dist = (m1 - m2) @ np.linalg.solve(c, m1 - m2) / 8 + 0.5 * (ld(c) - 0.5 * (ld(c1) + ld(c2)))
-                rows.append((int(a), int(b), float(2 * (1 - np.exp(-dist)))))
-    return df.sparkSession.createDataFrame(rows, "a int, b int, jm double")
+def class_sums(df: DataFrame, shift: np.ndarray) -> DataFrame:
+    """(segment, i, j, v): per class X'X of the features less ``shift``, with a last column of ones. Tasks add up one matrix a
+    class and hand them on when they hold many numbers, so rows of a large class are never brought together."""
+    d = len(shift) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, m in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * d, pa.int64()), pa.array(range(d), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["segment", "i", "v"])
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1) - shift
+            x, label = np.hstack([x, np.ones((len(x), 1))]), np.array(batch.column(0))
+            for k in np.unique(label):
+                part = x[label == k]
+                held[int(k)] = held.get(int(k), 0) + part.T @ part
+                if len(held) * d * d > 1 << 24:
+                    yield from out()
+        yield from out()
+
+    rows = df.select(F.col("segment").cast("long"), F.col("feat").cast("array<double>")).where("segment >= 0 and feat is not null")
+    parts = rows.mapInArrow(run, "segment long, i int, v array<double>")
+    return parts.select("segment", "i", F.posexplode("v").alias("j", "v")).groupBy("segment", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def jm_gaussian(df: DataFrame, min_rows: int = 10, reg: float = 1e-10) -> DataFrame:
+    """(a, b, jm): Jeffries-Matusita distance, 0 to sqrt(2), of Gaussian classes (labels from 0 on) with more than ``min_rows``
+    rows. Covariances are those of samples, with ``reg`` on the diagonal. Determinants are taken as logarithms, without a floor.
+    Rows without features take no part. Classes are compared block against block; none reaches the driver."""
+    mean = [r.m for r in df.where("segment >= 0").select(F.posexplode("feat").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]
+
+    def solve(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        size = int(d["j"].max()) + 1
+        m = np.zeros((size, size))
+        m[d["i"], d["j"]] = d["v"]
+        n, first = m[-1, -1], m[-1, :-1]
+        if n <= min_rows:
+            return pd.DataFrame({"segment": [], "mean": [], "cov": []}, dtype=object)
+        cov = (m[:-1, :-1] - np.outer(first, first) / n) / (n - 1) + reg * np.eye(size - 1)
+        return pd.DataFrame({"segment": [key[0]], "mean": [first / n], "cov": [cov.ravel()]})
+
+    def compare(one: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        size = len(one["mean"].iloc[0])
+        own, far, out = stacked(one["cov"], size, size), one["mean"].iloc[0], []
+        own_det = np.linalg.slogdet(own)[1]
+        step = max(1, (1 << 20) // (size * size))
+        for k in range(0, len(more), step):  # some matrices at a time
+            part = more.iloc[k : k + step]
+            cov, gap = stacked(part["cov"], size, size), stacked(part["mean"], size) - far
+            both = (cov + own) / 2
+            term = (gap * np.linalg.solve(both, gap[:, :, None])[:, :, 0]).sum(1) / 8
+            dist = term + (np.linalg.slogdet(both)[1] - (np.linalg.slogdet(cov)[1] + own_det) / 2) / 2
+            out.append(np.sqrt(2 * np.maximum(0, -np.expm1(-dist))))
+        return pd.DataFrame({"a": int(one["segment"].iloc[0]), "b": more["segment"].to_numpy(), "jm": np.concatenate(out)})
+
+    forms = class_sums(df, np.array(mean)).groupBy("segment").applyInPandas(solve, "segment long, mean array<double>, cov array<double>")
+    return block_pairs(forms, "segment", "cov", compare, "a long, b long, jm double").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "jm")
 
 
 def jm_histogram(df: DataFrame, bins: int = 32, mode: str = "norm", projections: int = 8, seed: int = 0) -> DataFrame:
     """(a, b, jm) from histograms of single numbers per row: ``bins`` edges between the 0.1 and 99.9 percentiles give one bin
     less, and values outside are left out. ``norm`` takes the length of features; ``dimensions`` each component, and
-    ``projections`` seeded random directions, of which the mean, the geometric mean and the distance of the product of overlaps
-    are given as jm, geometric and product."""
+    ``projections`` seeded random directions. A distance is the root of 2 (1 - overlap), 0 to sqrt(2); jm takes the mean overlap of
+    dimensions, and of projections the mean distance, geometric and product the geometric mean and the product of overlaps."""
     from pointloom.functions.columns import drawn
 
     if mode == "norm":
@@ -296,11 +331,13 @@ def jm_histogram(df: DataFrame, bins: int = 32, mode: str = "norm", projections:
     k = h.select("axis", "segment").distinct()
     pairs = k.withColumnRenamed("segment", "a").join(k.withColumnRenamed("segment", "b"), "axis").where("a < b")
     s = side("a").join(side("b").hint("merge"), ["axis", "bin"]).where("a < b").groupBy("axis", "a", "b").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("bc"))
-    each = pairs.join(s, ["axis", "a", "b"], "left").select("a", "b", F.coalesce("bc", F.lit(0.0)).alias("bc")).withColumn("jm", 2 * (1 - F.col("bc")))
+    far = lambda bc: F.sqrt(2 * F.greatest(1 - bc, F.lit(0.0)))
+    each = pairs.join(s.hint("merge"), ["axis", "a", "b"], "left").select("a", "b", F.coalesce("bc", F.lit(0.0)).alias("bc"))
     if mode == "norm":
-        return each.select("a", "b", "jm")
-    log = lambda c: F.log(F.greatest(c, F.lit(1e-12)))
-    return each.groupBy("a", "b").agg(F.avg("jm").alias("jm"), F.exp(F.avg(log(F.col("jm")))).alias("geometric"), (2 * (1 - F.exp(F.sum(log(F.col("bc")))))).alias("product"))
+        return each.select("a", "b", far(F.col("bc")).alias("jm"))
+    log = F.log(F.greatest("bc", F.lit(1e-12)))
+    mean = far(F.avg("bc")) if mode == "dimensions" else F.avg(far(F.col("bc")))
+    return each.groupBy("a", "b").agg(mean.alias("jm"), far(F.exp(F.avg(log))).alias("geometric"), far(F.exp(F.sum(log))).alias("product"))
 
 
 def cross_scene_similarity(df: DataFrame, mode: str = "pairs") -> DataFrame:
@@ -338,22 +375,25 @@ def scene_bases(df: DataFrame, r: int) -> DataFrame:
 
 
 def compare_subspaces(bases: DataFrame, r: int) -> DataFrame:
-    """(a, b, ...): principal angles of scene bases: mean angle, Grassmann distance, similarity, and how the spectra differ."""
-    side = lambda a: bases.select(F.col("scene_id").alias(a), F.col("basis").alias(f"v{a}"), F.col("s").alias(f"s{a}"))
-    pairs = side("a").join(side("b"), F.col("a") < F.col("b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for t in d.itertuples():
-                va, vb = np.asarray(t.va).reshape(-1, r), np.asarray(t.vb).reshape(-1, r)
-                c = np.clip(np.linalg.svd(va.T @ vb, compute_uv=False), 0, 1)
-                angle = np.arccos(c)
-                p, q = (np.asarray(x) / np.sum(x) for x in (t.sa, t.sb))
-                rows.append((t.a, t.b, float(angle.mean()), float(np.sqrt((angle**2).sum())), float((c**2).mean()), float((p * np.log(p / q)).sum()), float(np.abs(np.cumsum(p - q)).sum()), float(np.abs((va * vb).sum(0)).mean()), float(np.corrcoef(p, q)[0, 1]) if len(p) > 1 else 1.0))
-            yield pd.DataFrame(rows, columns=["a", "b", "mean_angle", "grassmann", "similarity", "kl", "emd", "stability", "correlation"])
-
-    return pairs.mapInPandas(run, "a int, b int, mean_angle double, grassmann double, similarity double, kl double, emd double, stability double, correlation double")
+    """(a, b, ...): principal angles of scene bases: mean angle, Grassmann distance, similarity, and how the spectra differ.
+    Scenes are compared block against block: one matrix product meets a basis with all those of the other block."""
+
+    def compare(one: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        va, vb = stacked(one["basis"], -1, r)[0], stacked(more["basis"], -1, r)
+        meet = (va.T @ np.moveaxis(vb, 0, 1).reshape(len(va), -1)).reshape(r, len(more), r).transpose(1, 0, 2)
+        c = np.clip(np.linalg.svd(meet, compute_uv=False), 0, 1)
+        angle = np.arccos(c)
+        p, q = stacked(one["s"], r), stacked(more["s"], r)
+        p, q = p / p.sum(1, keepdims=True), q / q.sum(1, keepdims=True)
+        x, y = p - p.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            kl, correlation = (p * np.log(p / q)).sum(1), (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) if r > 1 else np.ones(len(more))
+        return pd.DataFrame({
+            "a": one["scene_id"].iloc[0], "b": more["scene_id"].to_numpy(), "mean_angle": angle.mean(1), "grassmann": np.sqrt((angle**2).sum(1)), "similarity": (c**2).mean(1),
+            "kl": kl, "emd": np.abs(np.cumsum(p - q, axis=1)).sum(1), "stability": np.abs(np.diagonal(meet, axis1=1, axis2=2)).mean(1), "correlation": correlation,
+        })
+
+    return block_pairs(bases, "scene_id", "basis", compare, "a int, b int, mean_angle double, grassmann double, similarity double, kl double, emd double, stability double, correlation double")
 
 
 def encode_codebook(df: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:

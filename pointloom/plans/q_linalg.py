@@ -147,23 +147,23 @@ def _(t):
 
 @query("j12_jm_histogram", """with x as (select point_id, segment, sqrt(sum(w*w)) x from (select point_id, segment, pos, v*(1+pos % 3) w from long_features) q group by 1,2), e as (select quantile_cont(x,0.001) lo, quantile_cont(x,0.999) hi from x),
     b as (select segment, least(floor((x-lo)/greatest(hi-lo,1e-12)*31),30) bin, count(*) n from x, e where x between lo and hi group by 1,2), p as (select segment, bin, n/sum(n) over (partition by segment) p from b), k as (select distinct segment from p),
-    s as (select a.segment a, b.segment b, sum(sqrt(a.p*b.p)) c from p a join p b on a.bin=b.bin and a.segment<b.segment group by 1,2) select a.segment a, b.segment b, round(2*(1-coalesce(c,0)),6)+0 jm from k a join k b on a.segment<b.segment left join s on s.a=a.segment and s.b=b.segment""")
+    s as (select a.segment a, b.segment b, sum(sqrt(a.p*b.p)) c from p a join p b on a.bin=b.bin and a.segment<b.segment group by 1,2) select a.segment a, b.segment b, round(sqrt(2*greatest(1-coalesce(c,0),0)),6)+0 jm from k a join k b on a.segment<b.segment left join s on s.a=a.segment and s.b=b.segment""")
 def _(t):
     return rounded(L.jm_histogram(t.features.withColumn("feat", F.transform("feat", lambda v, i: v * (1 + i % 3)))))
 
 
 JM_AXES = """, e as (select axis, quantile_cont(x,0.001) lo, quantile_cont(x,0.999) hi from x group by 1), b as (select x.axis, segment, least(floor((x-lo)/greatest(hi-lo,1e-12)*31),30) bin, count(*) n from x join e on e.axis=x.axis where x between lo and hi group by 1,2,3),
     p as (select axis, segment, bin, n/sum(n) over (partition by axis, segment) p from b), k as (select distinct axis, segment from p), s as (select a.axis, a.segment a, b.segment b, sum(sqrt(a.p*b.p)) c from p a join p b on a.axis=b.axis and a.bin=b.bin and a.segment<b.segment group by 1,2,3),
-    j as (select a.segment a, b.segment b, coalesce(c,0) c, 2*(1-coalesce(c,0)) jm from k a join k b on a.axis=b.axis and a.segment<b.segment left join s on s.axis=a.axis and s.a=a.segment and s.b=b.segment)
-    select a, b, round(avg(jm),6)+0 jm, round(exp(avg(ln(greatest(jm,1e-12)))),6)+0 geometric, round(2*(1-exp(sum(ln(greatest(c,1e-12))))),6)+0 product from j group by 1,2"""
+    j as (select a.segment a, b.segment b, coalesce(c,0) c, sqrt(2*greatest(1-coalesce(c,0),0)) jm from k a join k b on a.axis=b.axis and a.segment<b.segment left join s on s.axis=a.axis and s.a=a.segment and s.b=b.segment)
+    select a, b, round({mean},6)+0 jm, round(sqrt(2*greatest(1-exp(avg(ln(greatest(c,1e-12)))),0)),6)+0 geometric, round(sqrt(2*greatest(1-exp(sum(ln(greatest(c,1e-12)))),0)),6)+0 product from j group by 1,2"""
 
 
-@query("j12_jm_dimensions", "with x as (select segment, pos axis, v x from long_features)" + JM_AXES)
+@query("j12_jm_dimensions", "with x as (select segment, pos axis, v x from long_features)" + JM_AXES.replace("{mean}", "sqrt(2*greatest(1-avg(c),0))"))
 def _(t):
     return rounded(L.jm_histogram(t.features, mode="dimensions"))
 
 
-@query("j12_jm_projections", "with x as (select point_id, segment, axis, sum(v*(2*cast('0x' || substr(md5('0|' || axis || '|' || pos),1,8) as bigint)/4294967296e0-1)) x from long_features, (select unnest(range(8)) axis) r group by 1,2,3)" + JM_AXES)
+@query("j12_jm_projections", "with x as (select point_id, segment, axis, sum(v*(2*cast('0x' || substr(md5('0|' || axis || '|' || pos),1,8) as bigint)/4294967296e0-1)) x from long_features, (select unnest(range(8)) axis) r group by 1,2,3)" + JM_AXES.replace("{mean}", "avg(jm)"))
 def _(t):
     return rounded(L.jm_histogram(t.features, mode="projections"))
 
