@@ -396,12 +396,34 @@ def compare_subspaces(bases: DataFrame, r: int) -> DataFrame:
     return block_pairs(bases, "scene_id", "basis", compare, "a int, b int, mean_angle double, grassmann double, similarity double, kl double, emd double, stability double, correlation double")
 
 
-def encode_codebook(df: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
-    """point_id, code, error: nearest centre (code, feat), ties to the lowest; the list of centres goes along once."""
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct("code", "feat"))).alias("_c"))
-    gap = (lambda a, b: (a - b) * (a - b)) if metric == "l2" else (lambda a, b: F.abs(a - b))
-    d = df.join(F.broadcast(listed)).select("*", F.array_min(F.transform("_c", lambda c: F.struct(F.round(F.aggregate(F.zip_with("feat", c["feat"], gap), F.lit(0.0), lambda s, x: s + x), 12).alias("e"), c["code"].alias("code")))).alias("_b"))
-    return d.select("point_id", F.col("_b.code").alias("code"), F.col("_b.e").alias("error"))
+def encode_codebook(df: DataFrame, centres: DataFrame, metric: str = "l2", keep: tuple[str, ...] = ("point_id",)) -> DataFrame:
+    """The columns of ``keep``, code and error: nearest centre (code, feat), ties to the lowest. Rows without features, and all
+    rows if there are no centres, have neither. The centres, k rows by the codebook's size, pass the driver and go to each executor
+    once; rows meet them some at a time, so that a task's memory depends on neither number."""
+    found = centres.select("code", F.col("feat").cast("array<double>")).orderBy("code").toArrow()
+    codes = found.column("code").combine_chunks()
+    table = df.sparkSession.sparkContext.broadcast((codes, np.array(found.column("feat").combine_chunks().flatten()).reshape(len(codes), -1) if len(codes) else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, m = table.value
+        for batch in batches:
+            own = np.flatnonzero(batch.column(len(keep)).is_valid().to_numpy(zero_copy_only=False)) if len(codes) else np.empty(0, np.int64)
+            code, error = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
+            x = np.array(batch.column(len(keep)).drop_null().flatten()).reshape(len(own), -1) if len(own) else None
+            step = max(1, (1 << 20) // max(1, m.size)) if len(own) else 1
+            for i in range(0, len(own), step):
+                gap = x[i : i + step, None] - m
+                d = np.round((gap * gap if metric == "l2" else np.abs(gap)).sum(2), 12)
+                code[own[i : i + step]] = d.argmin(1)
+                error[own[i : i + step]] = d.min(1)
+            none = np.ones(batch.num_rows, bool)
+            none[own] = False
+            picked = codes.take(pa.array(code, mask=none)) if len(codes) else pa.nulls(batch.num_rows, codes.type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), picked, pa.array(error, mask=none)], names=[*keep, "code", "error"])
+
+    rows = df.select(*keep, F.col("feat").cast("array<double>").alias("_f"))
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*kinds, f"code {centres.schema['code'].dataType.simpleString()}", "error double"]))
 
 
 def decode_codebook(coded: DataFrame, centres: DataFrame) -> DataFrame:
@@ -416,7 +438,7 @@ def codebook(df: DataFrame, k: int, rounds: int = 8, metric: str = "l2") -> Data
     start = df.select(draw(0).alias("d"), "feat").orderBy("d").limit(k).withColumn("code", (F.row_number().over(Window.orderBy("d")) - 1).cast("int")).select("code", "feat")
     centres = saved(start, "centres")
     for _ in range(rounds):
-        near = encode_codebook(df, centres, metric).join(df.select("point_id", "feat"), "point_id").select("code", F.posexplode("feat").alias("pos", "v"))
+        near = encode_codebook(df, centres, metric, ("feat",)).where("code is not null").select("code", F.posexplode("feat").alias("pos", "v"))
         m = near.groupBy("code", "pos").agg((F.avg("v") if metric == "l2" else F.percentile_approx("v", 0.5, 10000)).alias("v"))
         new = m.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("feat"))
         centres = saved(new.unionByName(centres.join(new, "code", "left_anti")), "centres")
@@ -428,7 +450,7 @@ def codebook_two_level(df: DataFrame, k: int, leaf_k: int, rounds: int = 6) -> D
     joined on the root, so no row meets another root's."""
     from pointloom.operators.sampling import draw
 
-    rooted = saved(df.join(encode_codebook(df, codebook(df, k, rounds)).select("point_id", "code"), "point_id").select("point_id", "feat", "code"), "rooted")
+    rooted = saved(encode_codebook(df, codebook(df, k, rounds), keep=("point_id", "feat")).select("point_id", "feat", "code"), "rooted")
     leaf = rooted.withColumn("leaf", (F.row_number().over(Window.partitionBy("code").orderBy(draw(1), "point_id")) - 1).cast("int")).where(F.col("leaf") < leaf_k).select("code", "leaf", F.col("feat").alias("c"))
     d2 = F.aggregate(F.zip_with("feat", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     for turn in range(rounds + 1):

@@ -171,6 +171,18 @@ def test_codebook_error_falls(spark):
     assert linalg.codebook(df, 3, 2, "l1").count() == 3 and linalg.codebook_two_level(df, 3, 2, 2).count() == 300
 
 
+def test_nearest_codes(spark):
+    x = np.random.default_rng(3).integers(0, 3, (500, 4)) / 2.0
+    df = spark.createDataFrame([*((i, v.tolist(), 7) for i, v in enumerate(x)), (-1, None, 7)], "point_id long, feat array<double>, code int")
+    centres = spark.createDataFrame([(9 - k, x[k].tolist()) for k in range(6)], "code int, feat array<double>")
+    order = x[5::-1]  # by code, so that the first of equals has the lowest
+    for metric, far in (("l2", lambda g: (g * g).sum(2)), ("l1", lambda g: np.abs(g).sum(2))):
+        d = far(x[:, None] - order)
+        want = {i: (int(4 + k), e) for i, (k, e) in enumerate(zip(d.argmin(1), d.min(1)))} | {-1: (None, None)}
+        assert {r.point_id: (r.code, r.error) for r in linalg.encode_codebook(df, centres, metric).collect()} == want
+    assert {r.code for r in linalg.encode_codebook(df, centres.limit(0)).collect()} == {None}
+
+
 def test_perfect_instances_have_full_precision(spark):
     gt = spark.createDataFrame([(0, 1, 2, 10), (0, 2, 2, 5), (0, 3, 4, 7)], "scene_id int, instance long, class int, n long")
     pr = spark.createDataFrame([(0, 11, 2, 0.9, 10, 0.0), (0, 12, 2, 0.8, 5, 0.0), (0, 13, 4, 0.7, 7, 0.0)], "scene_id int, pred_id long, class int, score double, n long, void_share double")
