@@ -90,3 +90,15 @@ def test_weights_count_as_roots(spark):
     df = spark.createDataFrame([(r.tolist(), float(i % 3)) for i, r in enumerate(x)], "feat array<double>, n double").repartition(20)
     r = linalg.triangle(df, weight="n", fan=2)
     assert r.T @ r == pytest.approx(x.T @ (x * (np.arange(50) % 3)[:, None])) and np.allclose(r, np.triu(r))
+
+
+def test_fallback_only_where_too_few_stay(spark):
+    """One scene keeps its box, the other falls back to its nearest points: the rule that the SQL states too."""
+    from pointloom.operators.filters import filter_outliers
+
+    df = spark.range(150).select("id", F.when(F.col("id") < 100, 0).otherwise(1).alias("scene_id"), F.col("id").alias("point_id"), *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    n = filter_outliers(df, 0.05, 0.95, 60).groupBy("scene_id").agg(F.count_if("kept").alias("n")).collect()
+    assert {r.scene_id: r.n for r in n} == {0: 90, 1: 50}
+    from pointloom.plans import catalog
+
+    assert "< 50000" in catalog.ORACLES["c2_filter_outliers_fallback"] and "inside" in catalog.ORACLES["c2_filter_outliers_fallback"]
