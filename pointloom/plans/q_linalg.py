@@ -284,7 +284,7 @@ def _(t):
 
 def streamed(t, df, by, f):
     path = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    return running.drained(f(running.replay(df, path, 5, by)), "s" + uuid.uuid4().hex)
+    return running.drained(f(running.replay(df, f"{path}/in", 5, by)), path)
 
 
 @query("l1_stream_confusion", "select segment gt, pred, count(*) n from points where segment <> -1 group by 1,2")
@@ -308,8 +308,8 @@ def _(t):
 @query("l4_stream_history", "select name, max(iteration) iteration, round(avg(value),6) mean, round(median(value),6) median from (select *, row_number() over (partition by name order by iteration desc) rn from metrics) q where rn <= 20 group by 1")
 def _(t):
     path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
-    d = running.drained(running.stream_history(running.replay(t.metrics, path, 5, "iteration"), 20), "s" + uuid.uuid4().hex, "update")
-    return rounded(d.groupBy("name").agg(F.max("iteration").alias("iteration"), F.max_by("mean", "iteration").alias("mean"), F.max_by("median", "iteration").alias("median")))
+    d = running.drained(running.stream_history(running.replay(t.metrics, f"{path}/in", 5, "iteration"), 20), path, "update")
+    return rounded(d.groupBy("name").agg(F.max_by(F.struct("iteration", "mean", "median"), "seen").alias("s")).select("name", "s.*"))
 
 
 @query("l5_stream_dim_corr", f"select pos, count(*) n, round(corr(a,b),6) corr from {PAIR} q group by 1")

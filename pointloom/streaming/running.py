@@ -60,27 +60,39 @@ def gram_state(spark, state_path: str) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def stream_history(sdf: DataFrame, n: int) -> DataFrame:
-    """Per name, after each batch: latest iteration, mean and median of the last ``n`` values, with state of at most ``n``."""
+    """Per name, after each batch: latest iteration, mean and median of the last ``n`` values, and how many values were seen so
+    far, which tells the newest row; with state of at most ``n`` values."""
 
     def update(key: tuple, batches, state: GroupState):
-        kept = list(zip(*state.get)) if state.exists else []
+        *kept, seen = state.get if state.exists else ([], [], 0)
+        kept = list(zip(*kept))
         for d in batches:
+            seen += len(d)
             kept = sorted([*kept, *zip(d["iteration"].tolist(), d["value"].tolist())])[-n:]
-        state.update(tuple(map(list, zip(*kept))))
+        state.update((*map(list, zip(*kept)), seen))
         v = np.array([x for _, x in kept])
-        yield pd.DataFrame({"name": [key[0]], "iteration": [kept[-1][0]], "mean": [v.mean()], "median": [np.median(v)]})
+        yield pd.DataFrame({"name": [key[0]], "iteration": [kept[-1][0]], "mean": [v.mean()], "median": [np.median(v)], "seen": [seen]})
 
-    return sdf.groupBy("name").applyInPandasWithState(update, "name string, iteration long, mean double, median double", "iterations array<long>, vals array<double>", "update", GroupStateTimeout.NoTimeout)
+    schema = "name string, iteration long, mean double, median double, seen long"
+    return sdf.groupBy("name").applyInPandasWithState(update, schema, "iterations array<long>, vals array<double>, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
 def replay(df: DataFrame, path: str, parts: int, by: str) -> DataFrame:
-    """A table written in ``parts`` files and read back as a stream, one file a batch: for tests and backfills."""
+    """A table written in ``parts`` goes by all tasks and read back as a stream in as many batches: for tests and backfills."""
     for k in range(parts):
-        df.where(F.pmod(F.col(by), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(F.coalesce(F.pmod(F.col(by), F.lit(parts)), F.lit(0)) == k).write.mode("append").parquet(path)
+    files = len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // parts)).parquet(path)
 
 
-def drained(sdf: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its table."""
-    sdf.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return sdf.sparkSession.table(name)
+def drained(sdf: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns what it put out, written by the tasks under ``path``: in complete mode what
+    holds after the last batch, else the rows of all batches. A batch that runs again overwrites its own files."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else batch_id}")
+
+    empty = sdf.sparkSession.createDataFrame([], sdf.schema)
+    empty.write.mode("append").parquet(f"{path}/out/batch=-1")
+    sdf.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/at").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return sdf.sparkSession.read.schema(sdf.schema).parquet(f"{path}/out").select(*sdf.columns)
