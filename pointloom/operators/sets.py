@@ -31,9 +31,14 @@ def incomplete(meta: DataFrame, required: DataFrame) -> DataFrame:
     return required.exceptAll(meta.select(*required.columns).distinct())
 
 
+def classes(df: DataFrame) -> DataFrame:
+    """The distinct classes; each task tells its own, so only these are joined and not all rows of a class in one task."""
+    return df.select("segment").distinct()
+
+
 def common_classes(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("segment").intersect(b.select("segment"))
+    return classes(a).intersect(classes(b))
 
 
 def missing_classes(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("segment").subtract(b.select("segment"))
+    return classes(a).subtract(classes(b))
