@@ -49,8 +49,9 @@ def label_segments(points: DataFrame, groups: DataFrame, classes: DataFrame) ->
 
 def multi_label(points: DataFrame, groups: DataFrame) -> DataFrame:
     """(point_id, labels): up to three groups of a point in order of the groups, that of the smallest group first, filled up
-    with -1. groups: group_order, label, size, segments."""
+    with -1. groups: group_order, label, size, segments. A segment brings its first three groups, as no point takes more."""
     g = groups.select("group_order", "label", "size", F.explode("segments").alias("segment_id"))
+    g = g.withColumn("_at", F.row_number().over(Window.partitionBy("segment_id").orderBy("group_order"))).where("_at <= 3").drop("_at")
     j = points.join(g.hint("merge"), "segment_id").withColumn("at", F.row_number().over(Window.partitionBy("point_id").orderBy("group_order"))).where("at <= 3")
     d = j.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("at", "label", "size"))).alias("l"), F.min(F.struct("size", "at")).alias("m"))
     swap = F.transform("l", lambda x: F.when(x["at"] == 1, F.col("l")[F.col("m.at") - 1]["label"]).when(x["at"] == F.col("m.at"), F.col("l")[0]["label"]).otherwise(x["label"]))
