@@ -30,7 +30,8 @@ AT = ("ix", "iy", "iz")
 
 def boxes(points: DataFrame, *keys: str) -> DataFrame:
     """Of each key's points the number, the least id and the box."""
-    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("point_id").alias("least"), *(f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
+    held = [F.sum("points").alias("points")] if "points" in points.columns else []
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("point_id").alias("least"), *held, *(f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
 
 
 def squares(parts: list[Column]) -> Column:
@@ -94,14 +95,17 @@ def cell_links(points: DataFrame, cells: DataFrame, r: float) -> DataFrame:
 
 def cluster_components(df: DataFrame, r: float, min_points: int = 1, label: str = "segment") -> DataFrame:
     """(point_id, component): points of one label that chains of steps shorter than ``r`` connect, in one scene; the component is
-    its least point. Components with fewer points than ``min_points`` get null. Points with label -1 take no part."""
-    u = [(F.col(c).cast("double") / (SIDE * r)).alias(f"u{c}") for c in XYZ]
-    d = df.where(F.col(label) >= 0).select("scene_id", F.col(label).alias("label"), "point_id", *(F.col(c).cast("double").alias(c) for c in XYZ), *u)
+    its least point. Components with fewer points than ``min_points`` get null. Points with label -1 take no part. Points of one place
+    are one row, which only meets them again with its component."""
+    every = df.where(F.col(label) >= 0).select("scene_id", F.col(label).alias("label"), "point_id", *(F.col(c).cast("double").alias(c) for c in XYZ))
+    spots = saved(every.groupBy(*GROUP, *XYZ).agg(F.min("point_id").alias("point_id"), F.count("*").alias("points")), "spots")
+    d = spots.select("*", *((F.col(c) / (SIDE * r)).alias(f"u{c}") for c in XYZ))
     d = d.select("*", *(F.floor(f"u{c}").cast("long").alias(i) for c, i in zip(XYZ, AT, strict=True)))
     cells = saved(boxes(d, *GROUP, *AT), "cells")
-    named = saved(d.join(cells.select(*GROUP, *AT, F.col("least").alias("cell")).hint("merge"), [*GROUP, *AT]).select("point_id", "cell", *XYZ, *(f"u{c}" for c in XYZ)), "cell-points")
+    named = saved(d.join(cells.select(*GROUP, *AT, F.col("least").alias("cell")).hint("merge"), [*GROUP, *AT]).select(*GROUP, "point_id", "cell", *XYZ, *(f"u{c}" for c in XYZ)), "cell-points")
     roots = components(cell_links(named, cells, r)).select(F.col("node").alias("cell"), "root")
-    rooted = cells.select(F.col("least").alias("cell"), "n").join(roots.hint("merge"), "cell", "left").withColumn("root", F.coalesce("root", "cell"))
-    big = rooted.groupBy("root").agg(F.sum("n").alias("size"))
+    rooted = cells.select(F.col("least").alias("cell"), "points").join(roots.hint("merge"), "cell", "left").withColumn("root", F.coalesce("root", "cell"))
+    big = rooted.groupBy("root").agg(F.sum("points").alias("size"))
     of = saved(rooted.select("cell", "root").join(big.hint("merge"), "root").select("cell", F.when(F.col("size") >= min_points, F.col("root")).alias("component")), "cell-roots")
-    return named.select("point_id", "cell").join(of.hint("merge"), "cell").select("point_id", "component")
+    found = saved(named.select(*GROUP, *XYZ, "cell").join(of.hint("merge"), "cell").drop("cell"), "spot-components")
+    return every.join(found.hint("merge"), [*GROUP, *XYZ]).select("point_id", "component")

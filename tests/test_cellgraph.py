@@ -57,3 +57,14 @@ def test_nothing(spark):
     assert cluster_components(df.limit(0), 1.0).collect() == []
     assert cluster_components(df.where("segment < 0"), 1.0).collect() == []
     assert [tuple(p) for p in cluster_components(df.where("point_id = 5").withColumn("segment", df.segment * 0), 1.0).collect()] == [(5, 5)]
+
+
+def test_a_place_is_one_row(spark, monkeypatch):
+    """Heaps of points in one place cost as much as one point, and still count in full for the size of their component."""
+    seen = {}
+    keep = cellgraph.saved
+    monkeypatch.setattr(cellgraph, "saved", lambda df, name: seen.setdefault(name, keep(df, name)))
+    rows = [(0, 1, i, float(i % 2) * 5, 0.0, 0.0, "clash") for i in range(60)] + [(0, 1, 90, 20.0, 0.0, 0.0, "clash")]
+    got = {p.point_id: p.component for p in cluster_components(spark.createDataFrame(rows, SCHEMA), 1.0, 3).collect()}
+    assert got == {i: i % 2 for i in range(60)} | {90: None}
+    assert seen["cell-points"].count() == 3
