@@ -40,6 +40,8 @@ LANES = 384
 WINDOW = 32
 #: Words whose class softmax is laid out at once.
 SLICE = 2048
+#: More rows of one word are added up as a product.
+LONG_RUN = 32
 #: Documents that a task trains on side by side, whatever the size of the table.
 TRAIN_LANES = 192
 #: Documents of as many words begin first in their task.
@@ -124,12 +126,36 @@ class Lexicon:
         return cls({w: i for i, (w, _) in enumerate(top)}, np.log10((counts + 0.1) / denominator), log_rest, n_model, first, np.searchsorted(first, np.arange(n_model + 1), side="right") - 1, mass / mass.sum(), denominator, rest_mass)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def ones(n: int) -> np.ndarray:
-    return np.ones(n, np.float32)
+def ascending(words: np.ndarray, most: int) -> np.ndarray:
+    """The order of words up to ``most``, equal ones as they stand; short integers are sorted by their digits."""
+    return np.argsort(words.astype(np.uint16 if most < 1 << 16 else np.int32), kind="stable")
+
+
+class Runs:
+    """Sums over runs of rows, each from one of ``begins`` to the next, of ``n`` rows. Runs of about one length are laid side by side,
+    with empty rows as padding, and added up at once; long runs are products with ones."""
+
+    def __init__(self, begins: np.ndarray, n: int):
+        self.begins, self.sizes, self.side = begins, np.diff(begins, append=n), []
+        most, left = 1, np.arange(len(begins))
+        while most <= LONG_RUN:
+            short = self.sizes[left] <= most
+            k, left = left[short], left[~short]
+            if len(k):
+                add = np.arange(most)[:, None]
+                self.side.append((k, np.where(add < self.sizes[k], begins[k] + add, n)))
+            most *= 2
+        self.long = left.tolist()
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The sums of ``x``, which has a last row of zeros beside its own."""
+        out, one = np.empty((len(self.begins), x.shape[1]), x.dtype), np.ones((1, self.sizes.max()), x.dtype)
+        for k, rows in self.side:
+            out[k] = x.take(rows, axis=0).sum(axis=0)
+        for k in self.long:
+            at, size = self.begins[k], self.sizes[k]
+            np.matmul(one[:, :size], x[at : at + size], out=out[k : k + 1])
+        return out
 
 
 def with_ones(states: np.ndarray) -> np.ndarray:
@@ -137,15 +163,14 @@ def with_ones(states: np.ndarray) -> np.ndarray:
     return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
 
 
-def shifted(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits of states ``with_ones`` less a shift that keeps their exponentials finite. States lie within -1 and 1, so weights
-    bound the logits: if the bounds are close, all rows take the same shift, else each takes its own maximum."""
-    reach = np.abs(weights).sum(0)
-    top = (bias + reach).max()
-    out = states @ np.concatenate([weights, (bias - top)[None]])
-    if top - (bias - reach).max() >= 60:
-        out -= out.max(axis=1, keepdims=True)
-    return out
+def bounded(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of softmaxes over the rows from each of ``first`` to the next: the weights with the biases as last column, less a shift that
+    keeps the exponentials of logits finite, and which softmaxes need each row's own maximum taken off beside. States lie within -1
+    and 1, so weights bound the logits: if the bounds of a softmax are close, all rows take the same shift."""
+    reach = np.abs(weights) @ np.ones(weights.shape[1], weights.dtype)
+    top, low = np.maximum.reduceat(bias + reach, first), np.maximum.reduceat(bias - reach, first)
+    shift = np.repeat(top, np.diff(np.append(first, len(bias))))
+    return np.concatenate([weights, (bias - shift)[:, None]], axis=1), top - low >= 60
 
 
 class Recurrent:
@@ -161,45 +186,93 @@ class Recurrent:
             rng.normal(0, 0.05, (hidden, c)), np.log(class_share), rng.normal(0, 0.05, (n, hidden)), np.log(lex.share / class_share[lex.cls]),
         )]
 
+    def gates(self) -> np.ndarray:
+        """Recurrent weights gate by gate (3 x H x H)."""
+        return np.ascontiguousarray(self.params[1].reshape(self.h, 3, self.h).transpose(1, 0, 2))
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What ids (steps x lanes) bring to each gate (steps x 3 x lanes x H)."""
+        return self.params[0].reshape(-1, self.h).take(3 * x.astype(np.intp)[:, None] + np.arange(3)[:, None], axis=0)
+
+    @staticmethod
+    def advance(h: np.ndarray, a: np.ndarray, rec: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
+        """One step for all lanes from ``h`` to ``out``. The ``inputs`` turn into the two gates and the new part of the state; ``u``
+        takes what the old state brings to each gate. A gate that is shut for good overflows to infinity and is then 0."""
+        np.matmul(h, rec, out=u)
+        zr, new = a[:2], a[2]
+        zr += u[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[1], u[2], out=out)
+        new += out
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= zr[0]
+        out += new
+
     def step(self, h: np.ndarray, x: np.ndarray):
-        """One step for all lanes: the new state and what the backward pass needs."""
-        n = self.h
-        a = self.params[0][x]
-        u = h @ self.params[1]
-        gates = sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        un = u[:, 2 * n :]
-        new = np.tanh(a[:, 2 * n :] + r * un)
-        return new + z * (h - new), (z, r, new, un)
+        """One step for all lanes: the new state, and the gates with the new part of it."""
+        a, out = self.inputs(x[None])[0], np.empty((len(x), self.h), self.params[1].dtype)
+        with np.errstate(over="ignore"):
+            self.advance(h.astype(out.dtype), a, self.gates(), np.empty_like(a), out)
+        return out, a
+
+    def inner(self, states: np.ndarray, words: np.ndarray, weights: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, list[tuple], float]:
+        """Logits of ascending words in their classes, all in one array, so that one call works out all exponentials; for each class
+        the rows, the ids and its part of the array; and the sum of the rows' maxima that were taken off."""
+        runs = self.runs(words)
+        flat, parts, at = np.empty(sum((hi - lo) * (b - a) for _, lo, hi, a, b in runs), states.dtype), [], 0
+        taken = 0.0
+        for k, lo, hi, a, b in runs:
+            p = flat[at : at + (hi - lo) * (b - a)].reshape(hi - lo, b - a)
+            np.matmul(states[lo:hi], weights[a:b].T, out=p)
+            if far[k]:
+                most = p.max(axis=1, keepdims=True)
+                taken += float(most.sum(dtype=np.float64))
+                p -= most
+            parts.append((lo, hi, a, b, p))
+            at += p.size
+        return flat, parts, taken
 
     def log_probs(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log probability of each word after its state: class, then word in class, class by class."""
         lex, (_, _, wc, bc, ww, bw) = self.lex, self.params
-        order = np.argsort(words, kind="stable")
+        order = ascending(words, lex.n_model)
         states, words = with_ones(states[order]), words[order]
+        wide, wide_far = bounded(wc.T, bc, np.zeros(1, np.intp))
+        narrow, far = bounded(ww, bw, lex.first[:-1])
         cls, sums, logp = lex.cls[words], np.empty(len(words), wc.dtype), np.empty(len(words), wc.dtype)
+        one, wide = np.ones(len(bc), wc.dtype), np.ascontiguousarray(wide.T)
         for at in range(0, len(words), SLICE):
             part = slice(at, at + SLICE)
-            logits = shifted(states[part], wc, bc)
+            logits = states[part] @ wide
+            if wide_far[0]:
+                logits -= logits.max(axis=1, keepdims=True)
             logp[part] = logits[np.arange(len(logits)), cls[part]]
             np.exp(logits, out=logits)
-            sums[part] = logits @ ones(logits.shape[1])
-        logp -= np.log(sums)
-        for lo, hi, a, b in self.runs(words):
-            inner = shifted(states[lo:hi], ww[a:b].T, bw[a:b])
-            logp[lo:hi] += inner[np.arange(hi - lo), words[lo:hi] - a]
-            np.exp(inner, out=inner)
-            logp[lo:hi] -= np.log(inner @ ones(b - a))
+            np.matmul(logits, one, out=sums[part])
+        flat, parts, _ = self.inner(states, words, narrow, far)
+        for lo, hi, a, b, p in parts:
+            logp[lo:hi] += p[np.arange(hi - lo), words[lo:hi] - a]
+        np.exp(flat, out=flat)
+        inside = np.ones(len(words), wc.dtype)
+        one = np.ones(int(np.diff(lex.first).max()), wc.dtype)
+        for lo, hi, a, b, p in parts:
+            np.matmul(p, one[: b - a], out=inside[lo:hi])
+        logp -= np.log(sums) + np.log(inside)
         out = np.empty(len(words), wc.dtype)
         out[order] = logp
         return out
 
-    def runs(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Of ascending words, where each class with more than one word begins and ends; its first id and the next one's."""
+    def runs(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Of ascending words, each class with more than one word: its number, where it begins and ends; its first id and the next
+        one's."""
         first = self.lex.first
         ends = np.searchsorted(words, first)
-        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(first) > 1)):
-            yield int(ends[k]), int(ends[k + 1]), int(first[k]), int(first[k + 1])
+        k = np.flatnonzero((np.diff(ends) > 0) & (np.diff(first) > 1))
+        return list(zip(k.tolist(), ends[k].tolist(), ends[k + 1].tolist(), first[k].tolist(), first[k + 1].tolist()))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document (ids that end with the end word). Lanes are filled evenly, longest
@@ -220,10 +293,11 @@ class Recurrent:
         # one run of words a lane; only the windows of all lanes are ever laid side by side
         run = [np.concatenate([docs[d] for d in mine]) for mine in lane_of]
         owners = [np.repeat(np.array(mine, np.int32), sizes[mine]) for mine in lane_of]
-        h = np.zeros((lanes, self.h), np.float32)
-        for start in range(0, int(fill.max()), WINDOW):
+        h, gates, start = np.zeros((lanes, self.h), np.float32), self.gates(), 0
+        while start < fill[0]:
             live = int(np.searchsorted(-fill, -start, side="left"))
-            wide = min(WINDOW, int(fill[0]) - start)
+            # as many words at once when few lanes are left; a document's own words and states are the same in any window
+            wide = min(WINDOW * LANES // live, int(fill[0]) - start) if live < LANES else min(WINDOW, int(fill[0]) - start)
             words, owner, before = np.zeros((wide, live), np.int32), np.full((wide, live), -1, np.int32), np.full(live, -1, np.int32)
             for k in range(live):
                 n = min(wide, len(run[k]) - start)
@@ -231,15 +305,20 @@ class Recurrent:
                 before[k] = owners[k][start - 1] if start else -1
             fresh = owner != np.concatenate((before[None], owner[:-1]))
             h = h[:live]
-            states = np.empty((wide, live, self.h), np.float32)
-            for t in range(wide):
-                h[fresh[t]] = 0
-                states[t] = h
-                h, _ = self.step(h, words[t])
+            states, u = np.empty((wide + 1, live, self.h), np.float32), np.empty((3, live, self.h), np.float32)
+            states[0] = h
+            a, some = self.inputs(words), fresh.any(axis=1).tolist()
+            with np.errstate(over="ignore"):
+                for t in range(wide):
+                    if some[t]:
+                        states[t, fresh[t]] = 0
+                    self.advance(states[t], a[t], gates, u, states[t + 1])
+            h = states[wide]
             own = owner.ravel()
             real = own >= 0
-            logp = self.log_probs(states.reshape(-1, self.h)[real], words.ravel()[real])
+            logp = self.log_probs(states[:wide].reshape(-1, self.h)[real], words.ravel()[real])
             out += np.bincount(own[real], weights=logp, minlength=len(docs))
+            start += wide
         return out
 
     def read(self, docs: Iterator[np.ndarray], rate: float = 0.1) -> int:
@@ -268,85 +347,140 @@ class Recurrent:
         ``sizes`` ids count, the rest is padding. Gradients are means over the words, over ``least`` words if there are fewer.
         """
         lex, n = self.lex, self.h
-        table, rec, wc, bc, ww, bw = self.params
-        size, steps = x.shape
-        states = np.empty((steps + 1, size, n), rec.dtype)
+        _, rec, wc, bc, ww, bw = self.params
+        kind, (size, steps) = rec.dtype, x.shape
+        states = np.empty((steps + 1, size, n), kind)
         states[0] = 0 if state is None else state
-        gates, new, un = np.empty((steps, size, 2 * n), rec.dtype), np.empty((steps, size, n), rec.dtype), np.empty((steps, size, n), rec.dtype)
-        y = x.T.ravel()
-        inputs = table[y].reshape(steps, size, 3 * n)
-        for t in range(steps):
-            u = states[t] @ rec
-            gates[t] = sigmoid(inputs[t, :, : 2 * n] + u[:, : 2 * n])
-            un[t] = u[:, 2 * n :]
-            np.tanh(inputs[t, :, 2 * n :] + gates[t, :, n:] * un[t], out=new[t])
-            states[t + 1] = new[t] + gates[t, :, :n] * (states[t] - new[t])
+        a, u, gates = self.inputs(x.T), np.empty((steps, 3, size, n), kind), self.gates()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                self.advance(states[t], a[t], gates, u[t], states[t + 1])
         if state is not None:
             state[:] = states[steps]
-        s = states[:steps].reshape(-1, n)
-        real = slice(None) if sizes is None or (sizes == steps).all() else np.flatnonzero((np.arange(steps)[:, None] < sizes).ravel())
-        place = np.arange(len(y)) if isinstance(real, slice) else real
-        place = place[np.argsort(y[real], kind="stable")]  # by word, so by class too
-        s, y = with_ones(s[place]), y[place]
-        scale = np.float32(1 / max(len(y), least))
-        cls, loss = lex.cls[y], 0.0
-        grads = [None, np.zeros_like(rec), np.zeros_like(wc), np.zeros_like(bc), np.zeros_like(ww), np.zeros_like(bw)]
-        ds = np.empty((len(s), n), s.dtype)
-        for at in range(0, len(y), SLICE):
-            part = slice(at, at + SLICE)
-            grad, ds[part], picked = self.error(s[part], wc, bc, cls[part], scale)
-            loss -= picked
-            grads[2] += grad[:n]
-            grads[3] += grad[n]
-        for lo, hi, a, b in self.runs(y):
-            grad, back, picked = self.error(s[lo:hi], ww[a:b].T, bw[a:b], y[lo:hi] - a, scale)
-            loss -= picked
-            grads[4][a:b], grads[5][a:b] = grad[:n].T, grad[n]
-            ds[lo:hi] += back
-        spread = np.zeros((steps * size, n), ds.dtype)
+        y = x.T.ravel()
+        place = np.arange(len(y)) if sizes is None else np.flatnonzero((np.arange(steps)[:, None] < sizes).ravel())
+        place = place[ascending(y[place], lex.n_model)]  # by word, so by class too
+        states[steps] = 0  # for sums: places past the last one are empty rows
+        s, y = with_ones(states.reshape(-1, n).take(np.append(place, steps * size), axis=0)), y[place]
+        s[-1] = 0
+        scale = kind.type(1 / max(len(y), least))
+        begins = np.flatnonzero(np.diff(y, prepend=-1))
+        used = y[begins]
+        runs = Runs(begins, len(y))
+        ds, grads, loss = self.softmaxes(s[:-1], y, used, runs, runs.sums(s), scale)
+        spread = np.zeros((steps * size, n), kind)
         spread[place] = ds
         ds = spread.reshape(steps, size, n)
-        # what the gradient of a state is multiplied by on its way to each gate, for all steps at once
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        to_new = (1 - z) * (1 - new * new)
-        to_z, to_r = (states[:steps] - new) * z * (1 - z), un * r * (1 - r)
-        dh = np.zeros((size, n), rec.dtype)
-        da, du = np.empty((steps, size, 3 * n), rec.dtype), np.empty((steps, size, 3 * n), rec.dtype)
+        # through the steps backwards; the parts of the gradient: new part as inputs have it, the two gates, new part as the old state has it
+        d = np.empty((4, steps, size, n), kind)
+        back = np.ascontiguousarray(rec.reshape(n, 3, n).transpose(1, 2, 0))
+        dh, before, m = np.zeros((size, n), kind), np.empty((size, n), kind), np.empty((3, size, n), kind)
         for t in range(steps - 1, -1, -1):
-            dnew = dh * to_new[t]
-            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dh * to_z[t], dnew * to_r[t], dnew
-            du[t] = da[t]
-            du[t, :, 2 * n :] *= r[t]
-            dh = dh * z[t] + du[t] @ rec.T + ds[t]
-        grads[1] = states[:steps].reshape(-1, n).T @ du.reshape(-1, 3 * n)
-        used, begins = np.unique(y, return_index=True)
-        grads[0] = np.add.reduceat(da.reshape(-1, 3 * n)[place], begins)
+            z, r, new = a[t]
+            dnew, dz, dr, du = d[:, t]
+            np.multiply(dh, z, out=before)  # what goes straight to the state before
+            dh -= before
+            np.subtract(states[t], new, out=dz)
+            dz *= dh
+            dz *= z
+            np.multiply(new, new, out=dnew)
+            dnew *= dh
+            np.subtract(dh, dnew, out=dnew)
+            np.multiply(dnew, r, out=du)
+            np.subtract(dnew, du, out=dr)
+            dr *= u[t, 2]
+            dr *= r
+            np.matmul(d[1:, t], back, out=m)
+            before += m[0]
+            before += m[1]
+            before += m[2]
+            before += ds[t]
+            dh, before = before, dh
+        ordered = np.zeros((len(place) + 1, 4 * n), kind)
+        d.reshape(-1, n).take(place[:, None] + np.arange(4) * (steps * size), axis=0, out=ordered[:-1].reshape(-1, 4, n), mode="clip")
+        grads[1] = s[:, :n].T @ ordered[:, n:]
+        grads[0] = np.roll(runs.sums(ordered)[:, : 3 * n], -n, axis=1)
         self.update(grads, used, rate)
         return loss / len(y)
 
-    @staticmethod
-    def error(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of a softmax over states ``with_ones``, of the loss times ``scale``: the gradients of weights (of the biases in the last
-        row) and of the states, and the sum of the log probabilities of the own outcomes."""
-        p = shifted(states, weights, bias)
-        rows = np.arange(len(p))
-        picked = p[rows, own]
-        np.exp(p, out=p)
-        sums = p @ ones(p.shape[1])
-        p[rows, own] -= sums
-        by = (scale / sums)[:, None]  # the rows of p are to be multiplied by this; the narrower sides take it
-        return (states * by).T @ p, (p @ weights.T) * by, float((picked - np.log(sums)).sum(dtype=np.float64))
+    def softmaxes(self, s: np.ndarray, y: np.ndarray, used: np.ndarray, runs: Runs, mine: np.ndarray, scale: np.floating) -> tuple[np.ndarray, list, float]:
+        """Of the loss times ``scale`` over ascending words ``y`` after states ``with_ones``: the gradient of the states, those of the
+        output parameters at their places, and the loss itself. ``used``: the distinct words, with their ``runs`` of rows and the sums of their states.
+
+        Gradients are those of the sums, worked out from all outcomes, less those of the words' own outcomes, which are sums over the
+        rows of a word."""
+        lex, n, (_, _, wc, bc, ww, bw) = self.lex, self.h, self.params
+        kind, one = wc.dtype, np.ones((1, 1), wc.dtype)
+        wide, wide_far = bounded(wc.T, bc, np.zeros(1, np.intp))
+        narrow, far = bounded(ww, bw, lex.first[:-1])
+        across, back = np.ascontiguousarray(wide.T), np.concatenate([wc.T, np.broadcast_to(one, (len(bc), 1))], axis=1)
+        top, loss = np.zeros((len(bc), n + 1), kind), 0.0
+        ds = np.empty((len(y), n + 1), kind)
+        for at in range(0, len(y), SLICE):
+            part = slice(at, at + SLICE)
+            p = s[part] @ across
+            if wide_far[0]:
+                most = p.max(axis=1, keepdims=True)
+                loss += float(most.sum(dtype=np.float64))
+                p -= most
+            np.exp(p, out=p)
+            np.matmul(p, back, out=ds[part])  # the last column meets ones: the sums
+            sums = ds[part, n:].copy()
+            loss += float(np.log(sums).sum(dtype=np.float64))
+            by = scale / sums  # the rows of p are to be multiplied by this; the narrower sides take it
+            ds[part] *= by
+            top += p.T @ (s[part] * by)
+        flat, parts, taken = self.inner(s, y, narrow, far)
+        np.exp(flat, out=flat)
+        loss += taken
+        back, low = np.concatenate([ww, np.broadcast_to(one, (len(ww), 1))], axis=1), np.zeros((len(ww), n + 1), kind)
+        end = parts[-1][1] if parts else 0  # the unknown word, alone in its class, comes last
+        inside = np.zeros((end, n + 1), kind)
+        inside[:, n] = 1
+        for lo, hi, a, b, p in parts:
+            np.matmul(p, back[a:b], out=inside[lo:hi])
+        sums = inside[:, n:].copy()
+        loss += float(np.log(sums).sum(dtype=np.float64))
+        by = scale / sums
+        inside *= by
+        ds[:end] += inside
+        by = s[:end] * by
+        for lo, hi, a, b, p in parts:
+            np.matmul(p.T, by[lo:hi], out=low[a:b])
+        cls = lex.cls[used]
+        many = (np.diff(lex.first)[cls] > 1)[:, None]  # words alone in their class have no softmax of their own
+        own = narrow[used] * many + wide[cls]
+        loss -= float(np.vdot(mine, own))
+        ds -= np.repeat(own * scale, runs.sizes, axis=0)
+        mine = mine * scale
+        low[used] -= mine * many
+        cls, starts = np.unique(cls, return_index=True)
+        top[cls] -= np.add.reduceat(mine, starts)
+        return ds[:, :n], [None, None, np.ascontiguousarray(top[:, :n].T), top[:, n], np.ascontiguousarray(low[:, :n]), low[:, n]], loss
 
     def update(self, grads: list[np.ndarray], used: np.ndarray, rate: float) -> None:
         """Adaptive steps on clipped gradients; of the input table only the rows in use are touched."""
         if not hasattr(self, "squares"):
             self.squares = [np.full_like(p, 1e-6) for p in self.params]
-        clip = min(1.0, 1.0 / max(math.sqrt(sum(float((g * g).sum()) for g in grads)), 1e-9))
+        clip = min(1.0, 1.0 / max(math.sqrt(sum(float(np.vdot(g, g)) for g in grads)), 1e-9))
         for k, g in enumerate(grads):
-            g = g * np.float32(clip)
-            at = used if k == 0 else slice(None)
-            self.squares[k][at] += g * g
-            self.params[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+            p, squares = self.params[k], self.squares[k]
+            if clip < 1:
+                g *= p.dtype.type(clip)
+            more = g * g
+            if k == 0:
+                more += squares.take(used, axis=0)
+                squares[used] = more
+                np.sqrt(more, out=more)
+            else:
+                squares += more
+                np.sqrt(squares, out=more)
+            np.divide(g, more, out=more)
+            more *= rate
+            if k == 0:
+                p[used] = p.take(used, axis=0) - more
+            else:
+                p -= more
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])

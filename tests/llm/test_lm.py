@@ -177,3 +177,52 @@ def test_all_training_words_reach_the_network(spark):
     got = lm.model_words(docs, spark.sparkContext.broadcast(lex)).collect()
     sizes = {0: 1001, 1: 3, 2: 1, 3: 1, 4: 1001}
     assert sorted(len(r.ids) for r in got) == sorted(sizes[d] for d in kept)
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [1, 1, 1], [2, 40, 1, 33, 32, 5, 100, 3, 17], rng.integers(1, 70, 200)):
+        begins, n = np.concatenate(([0], np.cumsum(sizes)[:-1])), int(np.sum(sizes))
+        x = np.concatenate([rng.normal(size=(n, 5)), np.zeros((1, 5))])
+        assert np.allclose(lm.Runs(begins, n).sums(x), np.add.reduceat(x[:n], begins))
+
+
+def test_few_lanes_are_scored_in_few_windows():
+    _, net, rng = small()
+    docs = [rng.integers(0, net.lex.n_model + 1, n).astype(np.int32) for n in (4000, 3000, 5, 1)]
+    calls, log_probs = [], net.log_probs
+    net.log_probs = lambda states, words: calls.append(len(words)) or log_probs(states, words)
+    net.score(docs)
+    assert sum(calls) == sum(map(len, docs)) and len(calls) <= 3
+    assert max(calls) <= lm.LANES * lm.WINDOW
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_outputs_in_the_gradient_whatever_the_size_of_weights(scale):
+    """With large weights each row takes its own maximum off its logits."""
+    lex, net, rng = small()
+    x = rng.integers(0, lex.n_model + 1, (40, 9))
+    net.params = [p.astype(np.float64) * (scale if k in (2, 4) else 1) for k, p in enumerate(net.params)]
+    assert lm.bounded(net.params[4], net.params[5], lex.first[:-1])[1].any() == lm.bounded(net.params[2].T, net.params[3], np.zeros(1, np.intp))[1].any() == (scale > 1)
+
+    def loss():
+        h, total = np.zeros((len(x), 6)), 0.0
+        for t in range(x.shape[1]):
+            total -= net.log_probs(h.copy(), x[:, t]).sum()
+            h, _ = net.step(h, x[:, t])
+        return total / x.size
+
+    got = {}
+    net.update = lambda grads, used, rate: got.update(grads=grads, used=used)
+    assert net.train(x) == pytest.approx(loss(), rel=1e-6)
+    for k in (1, 2, 3, 4, 5):
+        p = net.params[k]
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert (up - down) / 2e-6 == pytest.approx(got["grads"][k][at], rel=1e-3, abs=1e-6)
